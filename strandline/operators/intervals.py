@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.health import horizontal_position_ok
-from strandline.functions.numeric import count_true, seconds
 from strandline.operators.asof import latest_before
 from strandline.operators.ordered import WHOLE_CELLS, Chunks, Scan, changed, rank_chunk
 
@@ -163,14 +162,12 @@ def with_flight(rows: DataFrame, segments: DataFrame, chunks: Chunks = WHOLE_CEL
     )
 
 
-def samples_per_flight(segments: DataFrame, rows: DataFrame, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
-    """Rows of each message inside each flight; flights without rows keep a zero."""
-    inside = with_flight(rows.select("log_id", "time_us", "message"), segments, chunks)
+def samples_per_flight(segments: DataFrame, rows: DataFrame, messages, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
+    """Rows of each named message inside each flight; flights without rows keep a zero."""
+    inside = with_flight(rows.where(F.col("message").isin(*messages)).select("log_id", "time_us", "message"), segments, chunks)
     counts = inside.groupBy("log_id", "flight_id", "message").agg(F.count(F.lit(1)).alias("samples"))
-    grid = segments.select("log_id", "flight_id")
-    messages = rows.select("message").distinct()
-    names = messages.agg(F.sort_array(F.collect_set("message")).alias("_all"))
-    grid = grid.join(F.broadcast(names)).select("log_id", "flight_id", F.explode("_all").alias("message"))
+    wanted = F.explode(F.array(*[F.lit(m) for m in messages])).alias("message")
+    grid = segments.select("log_id", "flight_id", wanted)
     return grid.join(counts, ["log_id", "flight_id", "message"], "left").fillna(0, ["samples"])
 
 
