@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions.health import horizontal_position_ok
 from strandline.operators.asof import latest_before
 from strandline.operators.ordered import WHOLE_CELLS, Chunks, Scan, changed, rank_chunk
+from strandline.operators.profile import attach
+from strandline.session import settle
 
 STATUS_HOLD_US = 1_000_000  # Fixed value: longest hold of a status row in duration sums.
 
@@ -106,7 +108,7 @@ def mode_intervals(
         F.coalesce("m.mode", F.lit("UNKNOWN")).alias("mode"),
     )
     tiles = tiles.join(bounds.select("log_id", "last_us"), "log_id").where("time_us < last_us")
-    tiles = chunks.add(tiles)
+    tiles = settle(chunks.add(tiles))
     tiles = Scan(tiles, ["log_id"], ("time_us",)).previous("before", "flight_id", "armed", "mode_number").run()
     starts = tiles.where(changed("before", "flight_id", "armed", "mode_number"))
     starts = Scan(starts, ["log_id"], ("time_us",)).following("after", "time_us").total("interval_id", F.lit(1)).run()
@@ -227,19 +229,22 @@ def status_hold(
     )
 
 
-def evidence_edges(rows: DataFrame, thresholds: DataFrame, ok: Column, keys, index: str = "record_index") -> DataFrame:
-    """Consecutive rows of a group as intervals, where the step is positive, within the group's limit and
-    both ends satisfy ``ok``. ``thresholds`` has the keys and ``threshold_us``."""
-    marked = rank_chunk(rows.withColumn("_ok", F.coalesce(ok, F.lit(False))), index)
+def marked_steps(rows: DataFrame, ok: Column, keys, index: str = "record_index") -> DataFrame:
+    """Every row with the time step from the row before it and whether both satisfy ``ok``. Stored, since the
+    gap limits and the edges both come from it."""
+    marked = rank_chunk(rows.select(*keys, "time_us", index, F.coalesce(ok, F.lit(False)).alias("_ok")), index)
     steps = Scan(marked, keys, (index,)).previous("before", "time_us", "_ok").run()
-    steps = steps.where(F.col("_ok") & F.col("before._ok") & (F.col("time_us") > F.col("before.time_us")))
-    edges = steps.select(*keys, F.col("before.time_us").alias("start_us"), F.col("time_us").alias("end_us"))
-    limits = thresholds.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "threshold_us")
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    joined = edges.join(limits, match).where(F.col("end_us") - F.col("start_us") <= F.col("threshold_us"))
-    return joined.select(*keys, "start_us", "end_us")
+    dt = F.col("time_us") - F.col("before.time_us")
+    good = F.coalesce(F.col("_ok") & F.col("before._ok"), F.lit(False))
+    return settle(steps.select(*keys, "time_us", dt.alias("dt"), good.alias("good")))
+
+
+def evidence_edges(steps: DataFrame, thresholds: DataFrame, keys) -> DataFrame:
+    """Steps as intervals where they are positive and within the group's limit; ``good`` says whether both
+    ends carry evidence. ``thresholds`` has the keys and ``threshold_us``."""
+    joined = attach(steps.where("dt > 0"), thresholds.select(*keys, "threshold_us"), keys, "inner")
+    edges = joined.where(F.col("dt") <= F.col("threshold_us"))
+    return edges.select(*keys, (F.col("time_us") - F.col("dt")).alias("start_us"), F.col("time_us").alias("end_us"), "good")
 
 
 def union_duration(intervals: DataFrame, keys, chunks: Chunks = WHOLE_CELLS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.config import RatePolicy
 from strandline.functions.numeric import clean, count_true, finite, seconds
 from strandline.operators.ordered import Scan, rank_chunk
+from strandline.session import settle
 
 HOT_GROUP = 5_000_000
 SKETCH_ACCURACY = 20_000
@@ -34,6 +35,11 @@ def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFr
     return rows.join(right, match_keys(keys, "_r_"), how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _aggregate_percentiles(rows: DataFrame, keys, points: dict[str, float]) -> DataFrame:
+    picked = F.percentile("_x", F.array(*[F.lit(f) for f in points.values()])).alias("_p")
+    return rows.groupBy(*keys).agg(picked).select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
+
+
 def exact_percentiles(
     df: DataFrame,
     keys,
@@ -48,20 +54,19 @@ def exact_percentiles(
     group never comes together in one task: a sketch brackets every wanted rank, a count tells how many rows
     lie below the bracket, and only the few distinct values inside it are ranked. The list of large groups has
     at most (rows / hot_rows) entries, which bounds the broadcasts. ``value`` must be free of NaN.
+
+    Counts the rows first: with no more than ``hot_rows`` of them no group can be large.
     """
     keys = list(keys)
     fractions = list(points.values())
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    if rows.count() <= hot_rows:
+        return _aggregate_percentiles(rows, keys, points)
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot_keys = F.broadcast(prefixed(hot.select(*keys), keys, "_h_"))
     on_hot = match_keys(keys, "_h_")
 
-    small = (
-        rows.join(hot_keys, on_hot, "left_anti").groupBy(*keys)
-        .agg(F.percentile("_x", F.array(*[F.lit(f) for f in fractions])).alias("_p"))
-        .select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
-    )
-
+    small = _aggregate_percentiles(rows.join(hot_keys, on_hot, "left_anti"), keys, points)
     large = rows.join(hot_keys, on_hot, "left_semi")
     margin = 2.0 / accuracy
     sketch = large.groupBy(*keys).agg(
@@ -186,10 +191,11 @@ def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilo
 
 
 def step_times(rows: DataFrame, keys, index: str = "record_index") -> DataFrame:
-    """Time differences of consecutive timed rows in acquisition order (NULL on the first)."""
+    """Time differences of consecutive timed rows in acquisition order (NULL on the first). Stored, since the
+    median, the thresholds and the sums all read them."""
     timed = rank_chunk(rows.where(F.col("time_us").isNotNull()).select(*keys, "time_us", index), index)
     steps = Scan(timed, keys, (index,)).previous("before", "time_us").run()
-    return steps.select(*keys, "time_us", index, (F.col("time_us") - F.col("before.time_us")).alias("dt"))
+    return settle(steps.select(*keys, "time_us", index, (F.col("time_us") - F.col("before.time_us")).alias("dt")))
 
 
 def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_GROUP) -> DataFrame:

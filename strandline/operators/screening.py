@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from strandline.config import ScreenPolicy
 from strandline.functions.numeric import clean, finite, outside
 from strandline.operators.asof import latest_of_all, ratio_to_latest
-from strandline.operators.intervals import evidence_edges, overlap_duration, union_duration
+from strandline.operators.intervals import evidence_edges, marked_steps, overlap_duration, union_duration
 from strandline.operators.ordered import WHOLE_CELLS, Chunks, Scan, rank_chunk
-from strandline.operators.profile import attach, distribution, gap_thresholds, step_times
+from strandline.operators.profile import attach, distribution, gap_thresholds
 
 CHECK = ["log_id", "code", "message", "instance"]
 STATES = ("disarmed", "armed", "unknown")
@@ -125,43 +125,48 @@ PAIRS = {"PSCN": ("TAN", "AN"), "PSCE": ("TAE", "AE"), "PSCD": ("TAD", "AD")}
 
 
 def evidence(rows: DataFrame, ok: Column, keys=("log_id", "interval_id", "message")) -> DataFrame:
-    """Edges of one kind of evidence within intervals; the gap limit comes from all rows of the group."""
-    limits = gap_thresholds(step_times(rows, list(keys)), list(keys))
-    return evidence_edges(rows, limits, ok, list(keys))
+    """Edges between neighbouring rows of an interval, ``good`` where both ends satisfy ``ok``. The gap limit
+    comes from all rows of the group."""
+    keys = list(keys)
+    steps = marked_steps(rows, ok, keys)
+    return evidence_edges(steps, gap_thresholds(steps, keys), keys)
+
+
+def usable_pair() -> Column:
+    """Actual and target both finite, in verified units."""
+    return F.col("paired_ok") & finite(F.col("actual")) & finite(F.col("target"))
 
 
-def activity(intervals: DataFrame, rows: DataFrame, messages=tuple(PAIRS)) -> DataFrame:
+def activity(intervals: DataFrame, rows: DataFrame, edges: DataFrame, messages=tuple(PAIRS)) -> DataFrame:
     """Every interval and tracked message: samples, active time, time with a usable pair.
 
     ``rows``: log_id, interval_id, message, time_us, record_index, actual, target, paired_ok (units verified).
     """
     keys = ["log_id", "interval_id", "message"]
-    pair = F.col("paired_ok") & finite(F.col("actual")) & finite(F.col("target"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.count_if(pair).alias("paired_samples"))
-    active = union_duration(evidence(rows, F.lit(True)), keys).withColumnRenamed("duration_us", "active_us")
-    paired = union_duration(evidence(rows, pair), keys).withColumnRenamed("duration_us", "paired_us")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.count_if(usable_pair()).alias("paired_samples"))
+    active = union_duration(edges, keys).withColumnRenamed("duration_us", "active_us")
+    paired = union_duration(edges.where("good"), keys).withColumnRenamed("duration_us", "paired_us")
     every = intervals.withColumn("message", F.explode(F.array(*[F.lit(m) for m in messages])))
-    out = attach(attach(attach(every, counts, keys), active, keys), paired, keys)
+    out = every.join(counts, keys, "left").join(active, keys, "left").join(paired, keys, "left")
     return out.fillna(0, ["samples", "paired_samples", "active_us", "paired_us"])
 
 
-def flight_evidence(segments: DataFrame, rows: DataFrame, profile: DataFrame) -> DataFrame:
+def flight_evidence(segments: DataFrame, rows: DataFrame, edges: DataFrame, profile: DataFrame) -> DataFrame:
     """Per flight: active time and paired samples of each message, candidate times of the residuals.
 
-    ``profile`` has log_id and ``verified``; where the firmware is not the audited one the candidate times are
-    unknown, and horizontal candidates are zero by definition since the source is a controller proxy.
+    ``edges`` carry the flight. ``profile`` has log_id and ``verified``; where the firmware is not the audited
+    one the candidate times are unknown, and horizontal candidates are zero by definition since the source is
+    a controller proxy.
     """
     flight = ["log_id", "flight_id"]
-    pair = F.col("paired_ok") & finite(F.col("actual")) & finite(F.col("target"))
     tagged = rows.where("flight_id is not null")
-    names = ["log_id", "flight_id", "interval_id", "message"]
-    active = evidence(tagged, F.lit(True), names)
-    paired = evidence(tagged, pair, names)
-    spans = union_duration(active, [*flight, "message"]).groupBy(*flight).agg(
+    edges = edges.where("flight_id is not null")
+    paired = edges.where("good")
+    spans = union_duration(edges, [*flight, "message"]).groupBy(*flight).agg(
         *[F.max(F.when(F.col("message") == m, F.col("duration_us"))).alias(f"{m.lower()}_active_us") for m in PAIRS]
     )
     counts = tagged.groupBy(*flight).agg(
-        *[F.count_if(pair & (F.col("message") == m)).alias(f"{m.lower()}_paired_samples") for m in PAIRS]
+        *[F.count_if(usable_pair() & (F.col("message") == m)).alias(f"{m.lower()}_paired_samples") for m in PAIRS]
     )
     proxy = overlap_duration(paired.where("message = 'PSCN'"), paired.where("message = 'PSCE'"), flight)
     z = union_duration(paired.where("message = 'PSCD'"), flight)
