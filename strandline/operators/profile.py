@@ -10,7 +10,8 @@ from strandline.functions.numeric import clean, count_true, finite, seconds
 from strandline.operators.ordered import Scan, rank_chunk
 from strandline.session import settle
 
-HOT_GROUP = 5_000_000
+HOT_ROWS = 200_000
+MAX_HOT_GROUPS = 100_000
 SKETCH_ACCURACY = 20_000
 
 
@@ -35,67 +36,65 @@ def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFr
     return rows.join(right, match_keys(keys, "_r_"), how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _aggregate_percentiles(rows: DataFrame, keys, points: dict[str, float]) -> DataFrame:
-    picked = F.percentile("_x", F.array(*[F.lit(f) for f in points.values()])).alias("_p")
-    return rows.groupBy(*keys).agg(picked).select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
-
-
 def exact_percentiles(
     df: DataFrame,
     keys,
     value: str,
     points: dict[str, float],
-    hot_rows: int = HOT_GROUP,
+    hot_rows: int = HOT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group; ``points`` maps column to fraction.
 
-    Groups up to ``hot_rows`` rows use the built-in exact aggregate, whose buffer is then bounded. A larger
-    group never comes together in one task: a sketch brackets every wanted rank, a count tells how many rows
-    lie below the bracket, and only the few distinct values inside it are ranked. The list of large groups has
-    at most (rows / hot_rows) entries, which bounds the broadcasts. ``value`` must be free of NaN.
+    Groups with up to ``hot_rows`` rows use the built-in exact aggregate over counted values, whose buffer is
+    then bounded. A larger group never comes together in one task: a sketch brackets every wanted rank, sums
+    tell how many rows lie below the bracket, and only the few values inside it are shuffled and ranked. There
+    are at most (rows / hot_rows) such groups, which bounds the broadcasts. ``value`` must be free of NaN.
 
-    Counts the rows first: with no more than ``hot_rows`` of them no group can be large.
+    Counts rows first, all of them and then per group, to see whether any group is large.
     """
     keys = list(keys)
     fractions = list(points.values())
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    if rows.count() <= hot_rows:
-        return _aggregate_percentiles(rows, keys, points)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot_keys = F.broadcast(prefixed(hot.select(*keys), keys, "_h_"))
+    total = rows.count()
+    if total <= hot_rows:
+        return _aggregate_percentiles(rows.withColumn("_c", F.lit(1)), keys, points)
+    limit = max(hot_rows, total // MAX_HOT_GROUPS)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large = sizes.collect()
+    if not large:
+        return _aggregate_percentiles(_counted(rows, keys), keys, points)
+    hot = F.broadcast(prefixed(df.sparkSession.createDataFrame(large, sizes.schema), keys, "_h_"))
     on_hot = match_keys(keys, "_h_")
+    small = _aggregate_percentiles(_counted(rows.join(hot.drop("_n"), on_hot, "left_anti"), keys), keys, points)
 
-    small = _aggregate_percentiles(rows.join(hot_keys, on_hot, "left_anti"), keys, points)
-    large = rows.join(hot_keys, on_hot, "left_semi")
     margin = 2.0 / accuracy
-    sketch = large.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", [max(0.0, f - margin) for f in fractions], accuracy).alias("_lo"),
-        F.percentile_approx("_x", [min(1.0, f + margin) for f in fractions], accuracy).alias("_hi"),
-    )
+    around = [max(0.0, f - margin) for f in fractions] + [min(1.0, f + margin) for f in fractions]
+    sketch = rows.join(hot, on_hot).groupBy(*keys, "_n").agg(F.percentile_approx("_x", around, accuracy).alias("_s"))
     brackets = []
     for i, f in enumerate(fractions):
         rank = F.lit(f) * (F.col("_n") - 1)
-        low = F.lit(float("-inf")) if f - margin <= 0 else F.col("_lo")[i]
-        high = F.lit(float("inf")) if f + margin >= 1 else F.col("_hi")[i]
+        low = F.lit(float("-inf")) if f - margin <= 0 else F.col("_s")[i]
+        high = F.lit(float("inf")) if f + margin >= 1 else F.col("_s")[len(fractions) + i]
         brackets.append(F.struct(
             F.lit(i).alias("i"), low.alias("lo"), high.alias("hi"), F.floor(rank).alias("k0"),
             F.ceil(rank).alias("k1"), rank.alias("rank"),
         ))
-    wanted = sketch.select(*keys, F.explode(F.array(*brackets)).alias("_b"))
-    wanted = F.broadcast(prefixed(wanted, keys, "_h_"))
-    judged = large.join(wanted, on_hot).select(*keys, "_b", "_x").where(F.col("_x") <= F.col("_b.hi"))
-    below = F.col("_x") < F.col("_b.lo")
-    pieces = judged.groupBy(*keys, "_b", F.when(~below, F.col("_x")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    # NULL sorts first: it stands for all rows below the bracket.
-    ranked = Window.partitionBy(*keys, "_b.i").orderBy(F.col("_x").asc_nulls_first())
-    pieces = pieces.withColumn("_upto", F.sum("_c").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k)
-    picked = pieces.groupBy(*keys, "_b").agg(
-        F.max(F.when(holds(F.col("_b.k0")), F.col("_x"))).alias("_x0"),
-        F.max(F.when(holds(F.col("_b.k1")), F.col("_x"))).alias("_x1"),
-    )
+    wanted = settle(prefixed(sketch.select(*keys, F.array(*brackets).alias("_bs")), keys, "_h_"))
+    judged = rows.join(F.broadcast(wanted), on_hot).select(*keys, "_bs", "_x")
+    low, high = ([F.col("_bs")[i][end] for i in range(len(fractions))] for end in ("lo", "hi"))
+    below = judged.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_x") < c) for c in low]).alias("_below"))
+    near = F.lit(False)
+    for lo, hi in zip(low, high):
+        near = near | ((F.col("_x") >= lo) & (F.col("_x") <= hi))
+    candidates = _counted(judged.where(near), keys).join(F.broadcast(wanted), on_hot)
+    holds = F.filter("_bs", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"]))
+    inside = candidates.select(*keys, F.explode(holds).alias("_b"), "_x", "_c")
+    inside = inside.join(F.broadcast(prefixed(below, keys, "_h_")), on_hot).withColumn("_low", F.col("_below")[F.col("_b.i")])
+    ranked = Window.partitionBy(*keys, "_b.i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_upto", F.sum("_c").over(ranked) + F.col("_low"))
+    at = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col("_x")))
+    picked = inside.groupBy(*keys, "_b").agg(at(F.col("_b.k0")).alias("_x0"), at(F.col("_b.k1")).alias("_x1"))
     mix = F.when(F.col("_b.k0") == F.col("_b.k1"), F.col("_x0")).otherwise(
         (F.col("_b.k1") - F.col("_b.rank")) * F.col("_x0") + (F.col("_b.rank") - F.col("_b.k0")) * F.col("_x1")
     )
@@ -107,11 +106,21 @@ def exact_percentiles(
     return small.unionByName(big)
 
 
+def _counted(rows: DataFrame, keys) -> DataFrame:
+    """Equal values once, with their number: less to shuffle and to buffer."""
+    return rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _aggregate_percentiles(counts: DataFrame, keys, points: dict[str, float]) -> DataFrame:
+    picked = F.percentile("_x", F.array(*[F.lit(f) for f in points.values()]), F.col("_c")).alias("_p")
+    return counts.groupBy(*keys).agg(picked).select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
+
+
 def percentile_name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
-def distribution(df: DataFrame, keys, value: str, percentiles=(95, 99), hot_rows: int = HOT_GROUP) -> DataFrame:
+def distribution(df: DataFrame, keys, value: str, percentiles=(95, 99), hot_rows: int = HOT_ROWS) -> DataFrame:
     """finite_count, min, max, median, mean, population std, range and percentiles of the finite values.
 
     Groups without a finite value keep a row with a zero count.
@@ -149,7 +158,7 @@ def value_classes(typed: Column) -> list[Column]:
     ]
 
 
-def inventory(values: DataFrame, percentiles=(1, 95, 99), hot_rows: int = HOT_GROUP) -> DataFrame:
+def inventory(values: DataFrame, percentiles=(1, 95, 99), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Field statistics at two scopes in one pass: whole message, and per instance where there is one.
 
     ``values`` holds (log_id, message, instance, field, value) with text or numeric values.
@@ -177,7 +186,7 @@ def with_canonical(stats: DataFrame, catalog: DataFrame, names=("min", "max", "m
     return joined.select("*", *[(F.col(n) * F.col("canonical_factor")).alias(f"{n}_canonical") for n in present])
 
 
-def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilon: float = 1e-3, hot_rows: int = HOT_GROUP) -> DataFrame:
+def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilon: float = 1e-3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Statistics, missing share and constancy of every numeric column (per key where given)."""
     ids = list(keys)
     long = long_fields(table, ids, columns)
@@ -198,7 +207,7 @@ def step_times(rows: DataFrame, keys, index: str = "record_index") -> DataFrame:
     return settle(steps.select(*keys, "time_us", index, (F.col("time_us") - F.col("before.time_us")).alias("dt")))
 
 
-def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_GROUP) -> DataFrame:
+def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Median positive step and gap threshold per group."""
     groups = steps.select(*keys).distinct()
     medians = exact_percentiles(steps.where("dt > 0"), keys, "dt", {"median_dt_us": 0.5}, hot_rows)
@@ -207,7 +216,7 @@ def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy(), ho
     return attach(groups, medians, keys).withColumn("threshold_us", F.coalesce(limit, floor))
 
 
-def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_GROUP) -> DataFrame:
+def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Counts, span, rates, gaps and clock faults per group, in seconds and hertz."""
     keys = list(keys)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -258,7 +267,7 @@ MIXED_NULLS = (
 )
 
 
-def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_GROUP) -> DataFrame:
+def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Timing per message; rate measures are withheld where a message mixes instances."""
     keys = ["log_id", "message"]
     stats = timing_stats(rows, keys, policy, hot_rows)
@@ -270,11 +279,11 @@ def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows:
     return joined.select(*kept, scope.alias("rate_scope"))
 
 
-def instance_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_GROUP) -> DataFrame:
+def instance_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
     return timing_stats(rows.where("instance is not null"), ["log_id", "message", "instance"], policy, hot_rows)
 
 
-def instance_extremes(values: DataFrame, fields, hot_rows: int = HOT_GROUP) -> DataFrame:
+def instance_extremes(values: DataFrame, fields, hot_rows: int = HOT_ROWS) -> DataFrame:
     """min, max and median of the named fields per instance, side by side; ``values`` is (ids, field, value)."""
     keys = ["log_id", "message", "instance"]
     stats = distribution(values.where(F.col("field").isin(*fields)), [*keys, "field"], "value", (), hot_rows)
