@@ -7,6 +7,8 @@ exactly on the deadline is decided exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,18 @@ def latest_before(
     clash = set(sources) & set(targets.columns)
     if clash:
         raise ValueError(f"target already has columns {sorted(clash)}")
-    merged = targets.withColumn(_SIDE, F.lit(1)).withColumn(_RI, F.lit(None).cast("bigint"))
+    shapes = {name: F.struct(*[c for c in source.columns if c not in keys]) for name, source in sources.items()}
+    types = {name: source.select(shapes[name].alias("s")).schema["s"].dataType for name, source in sources.items()}
+    empty = {name: F.lit(None).cast(kind).alias(name) for name, kind in types.items()}
+    extra = [f for f in targets.schema.fields if f.name not in (*keys, time)]
+    parts = [targets.select(*keys, time, F.lit(1).alias(_SIDE), F.lit(None).cast("bigint").alias(_RI), *[f.name for f in extra], *empty.values())]
     for name, source in sources.items():
-        payload = [c for c in source.columns if c not in keys]
-        rows = source.where(F.col(time).isNotNull()).select(
-            *keys, time, F.lit(0).alias(_SIDE), F.col(index).cast("bigint").alias(_RI), F.struct(*payload).alias(name)
-        )
-        merged = merged.unionByName(rows, allowMissingColumns=True)
+        parts.append(source.where(F.col(time).isNotNull()).select(
+            *keys, time, F.lit(0).alias(_SIDE), F.col(index).cast("bigint").alias(_RI),
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra],
+            *[shapes[name].alias(name) if other == name else empty[other] for other in sources],
+        ))
+    merged = reduce(DataFrame.union, parts)
     scan = Scan(chunks.add(merged, time), keys, (time, _SIDE, _RI))
     for name in sources:
         scan.last(f"_latest_{name}", F.col(name))

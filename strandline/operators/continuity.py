@@ -10,6 +10,7 @@ from strandline.functions.numeric import clean
 from strandline.operators.asof import latest_before
 from strandline.operators.intervals import with_flight
 from strandline.operators.ordered import WHOLE_CELLS, Chunks, Scan, changed
+from strandline.session import settle
 
 FLIGHT = ["log_id", "flight_id"]
 STATUS_FIELDS = ("core", "status", "fault", "timeout", "offset_n", "offset_e")
@@ -22,7 +23,7 @@ def primary_status(rows: DataFrame, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
     ``rows`` carry a flight, ``core``, ``primary_core`` and status fields.
     """
     order = ("time_us", "record_index")
-    rows = Scan(chunks.add(rows), FLIGHT, order).previous("_before", "primary_core").run()
+    rows = settle(Scan(chunks.add(rows), FLIGHT, order).previous("_before", "primary_core").run())
     own = F.coalesce(F.col("core") == F.col("primary_core"), F.lit(False))
     place = F.struct(*order)
     rows = (
@@ -40,12 +41,12 @@ def primary_status(rows: DataFrame, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
     return kept.select(*masked)
 
 
-def break_points(rows: DataFrame, signature, max_age_us: int, chunks: Chunks = WHOLE_CELLS, order=("record_index",)) -> DataFrame:
+def break_points(rows: DataFrame, signature, max_age_us: int, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
     """Times at which a status source interrupts continuity: its signature changes, or it was silent for longer
     than it may be held (then at the end of the hold and again when it comes back)."""
     named = [f"_g{i}" for i in range(len(signature))]
     marked = rows.select(*FLIGHT, "time_us", "record_index", *[c.alias(n) for c, n in zip(signature, named)])
-    steps = Scan(chunks.add(marked), FLIGHT, ("time_us", *order)).previous("_before", "time_us", *named).run()
+    steps = Scan(chunks.add(marked), FLIGHT, ("time_us", "record_index")).previous("_before", "time_us", *named).run()
     steps = steps.where("_before is not null")
     silent = F.col("time_us") - F.col("_before.time_us") > F.lit(max_age_us)
     points = F.array(
@@ -82,9 +83,9 @@ def continuity(
 def number_boundaries(points: DataFrame, segments: DataFrame, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
     """Boundary points to intervals with ids that run on across the flights of a log."""
     ends = segments.select(*FLIGHT, F.col("start_us").alias("_s"), F.col("end_us").alias("_e"))
-    inside = points.join(ends, FLIGHT).where("time_us >= _s and time_us < _e")
+    inside = settle(chunks.add(points.join(ends, FLIGHT).where("time_us >= _s and time_us < _e")))
     rows = (
-        Scan(chunks.add(inside), ["log_id"], ("time_us",))
+        Scan(inside, ["log_id"], ("time_us",))
         .total("continuity_id", F.lit(1)).following("_after", "time_us", "flight_id").run()
     )
     same = F.col("_after.flight_id") == F.col("flight_id")

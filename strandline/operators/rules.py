@@ -33,6 +33,9 @@ def _report(rows: DataFrame, rule: str, scope: Column | str, count: Column | str
 
 def row_rules(df: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
     """Many (rule, scope, bad, example) row checks in one pass over the table."""
+    if not rules:
+        text = F.lit("")
+        return _report(df.where(F.lit(False)), "none", "", F.lit(0), text)
     named = df.select("log_id", *[F.coalesce(bad, F.lit(False)).alias(f"_b{i}") for i, (_, _, bad, _) in enumerate(rules)],
                       *[F.when(bad, ex.cast("string")).alias(f"_e{i}") for i, (_, _, bad, ex) in enumerate(rules)])
     sums = []
@@ -217,7 +220,10 @@ def with_eligibility(df: DataFrame, policy: ExtractPolicy) -> tuple[DataFrame, l
     rules, columns = [], {}
     for axis, features in policy.features.items():
         name = f"eligible_d{axis}"
-        parts = [F.col(f"valid_d{axis}"), *[finite(F.col(c)) for c in features]]
+        absent = [c for c in features if c not in df.columns]
+        parts = [F.col(f"valid_d{axis}"), *[F.lit(False) if c in absent else finite(F.col(c)) for c in features]]
+        if absent:
+            rules.append(("missing_feature", name, F.col(f"valid_d{axis}"), F.lit(", ".join(absent))))
         if "outlier" in df.columns:
             parts.append(~F.coalesce(text_flag(F.col("outlier")), F.lit(False)))
         expected = all_of(parts)

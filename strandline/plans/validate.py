@@ -10,9 +10,10 @@ from strandline.operators import digest as dg
 from strandline.operators import flags as fg
 from strandline.operators import profile as pf
 from strandline.operators import rules as ru
+from strandline.session import settle
 
 
-def validate_dataset(
+def find_violations(
     dataset: DataFrame,
     split: DataFrame,
     segments: DataFrame,
@@ -21,16 +22,14 @@ def validate_dataset(
     lineage: DataFrame | None = None,
     expected_digests: DataFrame | None = None,
     actual_digests: DataFrame | None = None,
-    proxy_axes: str = "xy",
-) -> dict[str, DataFrame]:
-    """Violations and reports as tables.
+) -> tuple[DataFrame, DataFrame]:
+    """All violations, and the table with typed columns and recomputed eligibility.
 
     ``dataset`` is the stored table (typed or text) with ``time_us`` and ``row_seq``. Row rules share one
-    aggregate; the table should be a stored one, since the reports read it several times.
+    aggregate; rules between rows and tables are small aggregates and equi-joins of their own.
     """
     full, missing = ru.missing_columns(dataset, REQUIRED_COLUMNS)
-    numeric = [c for c in NUMERIC_COLUMNS]
-    typed, bad_cells = ru.coerce(full, numeric)
+    typed, bad_cells = ru.coerce(full, NUMERIC_COLUMNS)
     flights = segments.select("log_id", "flight_id", F.col("start_us").alias("flight_start_us"), F.col("end_us").alias("flight_end_us"))
     located = typed.join(flights, ["log_id", "flight_id"], "left")
     rules = []
@@ -42,30 +41,44 @@ def validate_dataset(
             rules.append(("provenance_missing", f"d{axis}", F.col(f"valid_d{axis}"), F.col("time_us")))
     rules += ru.provenance_rules(located, policy)
     checked, eligibility = ru.with_eligibility(typed, policy)
-    sampled = ru.sampling(typed, rate_hz=policy.master_rate_hz)
+    # Eligibility rules read the recorded flags, so they run on the table before it is recomputed.
     parts = [
-        missing, bad_cells, ru.presence(typed), ru.duplicates(typed), ru.monotonic(sampled), ru.flight_boundaries(typed, segments),
-        ru.row_rules(located, rules), ru.row_rules(typed, eligibility), ru.split_rules(split), ru.membership(split, typed),
-        ru.reconcile(split, typed, [c for c in numeric if c != "time_s" and c in split.columns],
-                     [c for c in checked.columns if c.startswith(("valid_d", "eligible_d")) and c in split.columns and c in typed.columns]),
+        missing, bad_cells, ru.presence(typed), ru.duplicates(typed), ru.monotonic(ru.sampling(typed, rate_hz=policy.master_rate_hz)),
+        ru.flight_boundaries(typed, segments), ru.row_rules(located, rules + eligibility), ru.split_rules(split), ru.membership(split, typed),
+        ru.reconcile(split, typed, [c for c in NUMERIC_COLUMNS if c != "time_s" and c in split.columns],
+                     [c for c in typed.columns if c.startswith(("valid_d", "eligible_d")) and c in split.columns]),
     ]
-    counts = dg.manifest_counts(checked)
     if recorded_counts is not None:
-        parts.append(dg.reconcile_counts(recorded_counts, counts, [f"valid_d{a}" for a in "xyz"]))
+        parts.append(dg.reconcile_counts(recorded_counts, dg.manifest_counts(checked), [f"valid_d{a}" for a in "xyz"]))
     if lineage is not None:
         parts.append(ru.frame_rules(lineage))
     if expected_digests is not None and actual_digests is not None:
         parts.append(dg.reconcile_digests(expected_digests, actual_digests))
-    found = ru.violations(parts)
+    return ru.violations(parts), checked
 
-    marked = fg.dataset_flags(checked, policy)
+
+def validate_dataset(
+    dataset: DataFrame,
+    split: DataFrame,
+    segments: DataFrame,
+    policy: ExtractPolicy = ExtractPolicy(),
+    proxy_axes: str = "xy",
+    **claims: DataFrame,
+) -> dict[str, DataFrame]:
+    """Violations and quality reports as tables; ``claims`` as in ``find_violations``. The violations and the
+    typed table are stored first, since every report reads them."""
+    found, checked = find_violations(dataset, split, segments, policy, **claims)
+    found, checked = settle(found), settle(checked)
+    counts = dg.manifest_counts(checked)
+    marked = settle(fg.dataset_flags(checked, policy))
+    stats = pf.column_stats(checked, NUMERIC_COLUMNS, ["log_id"], epsilon=policy.constant_range_epsilon)
     fit_split, _ = ru.with_eligibility(split, policy)
     return {
         "violations": found,
-        "sampling": sampled,
+        "sampling": ru.sampling(checked, rate_hz=policy.master_rate_hz),
         "counts": counts,
-        "column_stats": pf.column_stats(checked, numeric, ["log_id"], epsilon=policy.constant_range_epsilon),
-        "constant_columns": pf.column_stats(checked, STATE_COLUMNS, ["log_id"], epsilon=policy.constant_range_epsilon).where("constant"),
+        "column_stats": stats,
+        "constant_columns": stats.where(F.col("constant") & F.col("field").isin(*STATE_COLUMNS)),
         "outlier_flags": marked.select("log_id", "flight_id", "time_us", *fg.FLAG_COLUMNS, "flagged"),
         "flag_counts": fg.flag_counts(marked),
         "quality_by_flight": ru.quality_by(marked, "flight_id"),

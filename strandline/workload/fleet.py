@@ -134,7 +134,7 @@ class Fleet:
 
     @cached_property
     def continuity(self) -> DataFrame:
-        gps = iv.with_flight(self.gps.where("instance = 0"), self.segments, self.chunks)
+        gps = settle(iv.with_flight(self.gps.where("instance = 0"), self.segments, self.chunks))
         limit = MAX_AGE_MS * 1000
         breaks = [
             ct.break_points(gps, [F.col("status").cast("double")], limit, self.chunks),

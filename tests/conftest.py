@@ -23,5 +23,5 @@ def table(spark):
         fields = spark.createDataFrame([], schema).schema.fields
         real = [isinstance(f.dataType, DoubleType) for f in fields]
         fixed = [tuple(float(v) if d and v is not None else v for v, d in zip(row, real)) for row in rows]
-        return spark.createDataFrame(fixed, schema)
+        return spark.createDataFrame(fixed, schema).coalesce(1)
     return make
