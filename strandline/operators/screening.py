@@ -137,21 +137,23 @@ def usable_pair() -> Column:
     return F.col("paired_ok") & finite(F.col("actual")) & finite(F.col("target"))
 
 
-def activity(intervals: DataFrame, rows: DataFrame, edges: DataFrame, messages=tuple(PAIRS)) -> DataFrame:
+def activity(intervals: DataFrame, rows: DataFrame, edges: DataFrame, messages=tuple(PAIRS), chunks: Chunks = WHOLE_CELLS) -> DataFrame:
     """Every interval and tracked message: samples, active time, time with a usable pair.
 
     ``rows``: log_id, interval_id, message, time_us, record_index, actual, target, paired_ok (units verified).
     """
     keys = ["log_id", "interval_id", "message"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.count_if(usable_pair()).alias("paired_samples"))
-    active = union_duration(edges, keys).withColumnRenamed("duration_us", "active_us")
-    paired = union_duration(edges.where("good"), keys).withColumnRenamed("duration_us", "paired_us")
+    active = union_duration(edges, keys, chunks).withColumnRenamed("duration_us", "active_us")
+    paired = union_duration(edges.where("good"), keys, chunks).withColumnRenamed("duration_us", "paired_us")
     every = intervals.withColumn("message", F.explode(F.array(*[F.lit(m) for m in messages])))
     out = every.join(counts, keys, "left").join(active, keys, "left").join(paired, keys, "left")
     return out.fillna(0, ["samples", "paired_samples", "active_us", "paired_us"])
 
 
-def flight_evidence(segments: DataFrame, rows: DataFrame, edges: DataFrame, profile: DataFrame) -> DataFrame:
+def flight_evidence(
+    segments: DataFrame, rows: DataFrame, edges: DataFrame, profile: DataFrame, chunks: Chunks = WHOLE_CELLS
+) -> DataFrame:
     """Per flight: active time and paired samples of each message, candidate times of the residuals.
 
     ``edges`` carry the flight. ``profile`` has log_id and ``verified``; where the firmware is not the audited
@@ -162,14 +164,14 @@ def flight_evidence(segments: DataFrame, rows: DataFrame, edges: DataFrame, prof
     tagged = rows.where("flight_id is not null")
     edges = edges.where("flight_id is not null")
     paired = edges.where("good")
-    spans = union_duration(edges, [*flight, "message"]).groupBy(*flight).agg(
+    spans = union_duration(edges, [*flight, "message"], chunks).groupBy(*flight).agg(
         *[F.max(F.when(F.col("message") == m, F.col("duration_us"))).alias(f"{m.lower()}_active_us") for m in PAIRS]
     )
     counts = tagged.groupBy(*flight).agg(
         *[F.count_if(usable_pair() & (F.col("message") == m)).alias(f"{m.lower()}_paired_samples") for m in PAIRS]
     )
-    proxy = overlap_duration(paired.where("message = 'PSCN'"), paired.where("message = 'PSCE'"), flight)
-    z = union_duration(paired.where("message = 'PSCD'"), flight)
+    proxy = overlap_duration(paired.where("message = 'PSCN'"), paired.where("message = 'PSCE'"), flight, chunks)
+    z = union_duration(paired.where("message = 'PSCD'"), flight, chunks)
     units = tagged.where("message = 'PSCD'").groupBy("log_id").agg(F.bool_and("paired_ok").alias("z_units"))
     out = segments.join(spans, flight, "left").join(counts, flight, "left")
     out = out.join(proxy.withColumnRenamed("duration_us", "_proxy"), flight, "left")

@@ -225,7 +225,7 @@ FROM ivs i CROSS JOIN m LEFT JOIN c ON c.log_id = i.log_id AND c.interval_id = i
 LEFT JOIN d ON d.log_id = i.log_id AND d.interval_id = i.interval_id AND d.message = m.message""")
 def activity(fl):
     every = fl.intervals.select("log_id", F.col("interval_id").cast("bigint").alias("interval_id"))
-    return sc.activity(every, fl.tagged, fl.edges, ("click", "purchase"))
+    return sc.activity(every, fl.tagged, fl.edges, ("click", "purchase"), fl.chunks)
 
 
 SPAN_SQL = f"""WITH {EV},
@@ -270,7 +270,7 @@ def flight_evidence(fl):
     as_psc = F.when(F.col("message") == "click", "PSCN").otherwise("PSCE")
     rows, edges = fl.tagged.withColumn("message", as_psc), fl.flight_edges.withColumn("message", as_psc)
     profile = fl.segments.select("log_id").distinct().withColumn("verified", F.lit(True))
-    out = sc.flight_evidence(fl.segments.select(*FLIGHT), rows, edges, profile)
+    out = sc.flight_evidence(fl.segments.select(*FLIGHT), rows, edges, profile, fl.chunks)
     return out.select(*FLIGHT, "pscn_active_us", "pscn_paired_samples", "psce_active_us", "psce_paired_samples", "xy_proxy_candidate_us")
 
 
