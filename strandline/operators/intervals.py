@@ -210,7 +210,7 @@ def status_hold(
     known = rows.where("core is not null and primary_core is not null and status is not null and fault is not null")
     known = with_flight(known, segments, chunks)
     known = chunks.add(known)
-    known = Scan(known, keys, ("time_us", "record_index")).previous("before", "primary_core").run()
+    known = settle(Scan(known, keys, ("time_us", "record_index")).previous("before", "primary_core").run())
     switch = changed("before", "primary_core")
     nodes = F.array(F.when(switch, F.lit(0)), F.when(F.col("core") == F.col("primary_core"), F.lit(1)))
     nodes = known.withColumn("node", F.explode(F.filter(nodes, lambda n: n.isNotNull())))

@@ -8,29 +8,31 @@ from pyspark.sql import functions as F
 from strandline.functions.numeric import finite
 from strandline.operators.ordered import Scan, changed, rank_chunk
 from strandline.operators.profile import attach, exact_percentiles
+from strandline.session import settle
 
 GAP_FACTOR = 3  # Fixed value: a step longer than three median steps breaks a line.
 DEFAULT_HALF_STEP_US = 50_000.0  # Fixed value: half width of a lone point without neighbours.
 MAX_BINS = 40  # Fixed value.
 
 
-def _steps(rows: DataFrame, keys, breaks, index: str, carry=()) -> DataFrame:
-    chunked = rank_chunk(rows, index)
-    return Scan(chunked, keys, (index,)).previous("_before", "time_us", *breaks, *carry).run()
+def _medians(steps: DataFrame, keys) -> DataFrame:
+    positive = steps.withColumn("_dt", F.col("time_us") - F.col("_before.time_us")).where("_dt > 0")
+    return exact_percentiles(positive, keys, "_dt", {"median_us": 0.5})
 
 
 def median_steps(rows: DataFrame, keys, index: str = "row_seq") -> DataFrame:
     """Median positive step per group."""
-    steps = _steps(rows.select(*keys, "time_us", index), keys, (), index)
-    positive = steps.withColumn("_dt", F.col("time_us") - F.col("_before.time_us")).where("_dt > 0")
-    return exact_percentiles(positive, keys, "_dt", {"median_us": 0.5})
+    steps = Scan(rank_chunk(rows.select(*keys, "time_us", index), index), keys, (index,)).previous("_before", "time_us").run()
+    return _medians(steps, keys)
 
 
 def runs(rows: DataFrame, keys=("log_id",), breaks=("flight_id", "continuity_id", "mode"), index: str = "row_seq") -> DataFrame:
-    """Adds ``run_id``: a new run at every declared boundary, clock fault or long gap, in stored order."""
+    """Adds ``run_id``: a new run at every declared boundary, clock fault or long gap, in stored order.
+
+    The steps are stored once; the median and the breaks both read them."""
     keys = list(keys)
-    steps = _steps(rows, keys, breaks, index)
-    steps = attach(steps, median_steps(rows, keys, index), keys)
+    steps = settle(Scan(rank_chunk(rows, index), keys, (index,)).previous("_before", "time_us", *breaks).run())
+    steps = attach(steps, _medians(steps, keys), keys)
     dt = F.col("time_us") - F.col("_before.time_us")
     broken = changed("_before", *breaks) if breaks else F.col("_before").isNull()
     broken = broken | dt.isNull() | (dt <= 0) | (dt > F.lit(GAP_FACTOR) * F.col("median_us"))

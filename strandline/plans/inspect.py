@@ -22,7 +22,7 @@ SENSOR_UNITS = (("Volt", "V"), ("Curr", "A"))
 def flights(arm: DataFrame, ev: DataFrame, modes: DataFrame, records: DataFrame, names: DataFrame,
             chunks: Chunks = WHOLE_CELLS) -> tuple[DataFrame, DataFrame]:
     """Armed segments and mode intervals, both stored for the later jobs."""
-    bounds = iv.log_bounds(records)
+    bounds = settle(iv.log_bounds(records))
     events = iv.arm_events(arm, ev)
     segments = settle(iv.armed_segments(events, bounds, chunks))
     return segments, settle(iv.mode_intervals(bounds, iv.label_modes(modes, names), events, segments, chunks))

@@ -59,7 +59,7 @@ class Fleet:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return iv.log_bounds(self.records)
+        return settle(iv.log_bounds(self.records))
 
     @cached_property
     def arms(self) -> DataFrame:

@@ -98,7 +98,7 @@ cont AS (SELECT c.log_id, c.flight_id, row_number() OVER (PARTITION BY c.log_id
 
 @query("log_bounds", f"WITH {EV} SELECT log_id, f AS first_us, l AS last_us, l - f AS duration_us FROM bnd")
 def log_bounds(fl):
-    return fl.bounds
+    return iv.log_bounds(fl.records)
 
 
 @query("armed_segments", f"WITH {ARMS} SELECT log_id, flight_id, s AS start_us, e AS end_us, open_ended, e - s AS duration_us FROM seg")
