@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.config import ExtractPolicy, override
@@ -16,9 +15,9 @@ from strandline.operators import series as se
 from strandline.operators import split as sp
 from strandline.session import settle
 from strandline.workload.alignment_queries import WIDE, orders_as_log, wide
-from strandline.workload.fleet import HOUR_US, STEP_US, open_fleet
-from strandline.workload.interval_queries import ARMS, EV, known
-from strandline.workload.profile_queries import META, metadata, rounded, stats_sql
+from strandline.workload.fleet import HOUR_US, open_fleet
+from strandline.workload.interval_queries import ARMS, EV
+from strandline.workload.profile_queries import META, metadata, rounded
 
 QUERIES, ORACLES = {}, {}
 FLIGHT = ["log_id", "flight_id"]

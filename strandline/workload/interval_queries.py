@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from strandline.operators import continuity as ct
 from strandline.operators import intervals as iv
-from strandline.operators import profile as pf
 from strandline.operators import screening as sc
 from strandline.workload.fleet import CONST_POS_BIT, HOUR_US, MAX_AGE_MS, open_fleet
 

@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from strandline.operators import asof as af
 from strandline.operators.grid import master_grid
