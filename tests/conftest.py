@@ -11,7 +11,8 @@ from strandline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=4, shuffle_partitions=4, memory="4g")
+    session = local_session(cores=4, shuffle_partitions=2, memory="4g")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling costs more than it saves
     yield session
     session.stop()
 
