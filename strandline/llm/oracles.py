@@ -14,4 +14,36 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM r
 """
 
-ORACLES = {"op2_warc": OP2}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP9 = f"""
+WITH i AS (
+    SELECT cast(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
+), iw AS (
+    SELECT DISTINCT item, least(len(w), 10) AS span,
+        array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS win
+    FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)
+), d AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), h AS (
+    SELECT doc_id, s, x.span, iw.item
+    FROM (
+        SELECT doc_id, span, s, array_to_string(w[s:s + span - 1], ' ') AS win
+        FROM (
+            SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS s
+            FROM d, (SELECT DISTINCT span FROM iw) WHERE len(w) >= span
+        )
+    ) AS x JOIN iw ON iw.span = x.span AND iw.win = x.win
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM h) GROUP BY doc_id
+), it AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES = {"op2_warc": OP2, "op9_decontaminate": OP9}

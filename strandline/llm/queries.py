@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import packing, token_files, warc
+from strandline.llm import decontaminate, licenses, packing, token_files, toxicity, warc
 from strandline.llm.shared import table
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, folder, "pages"))
 
@@ -20,4 +24,12 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_id_files(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_packing, op7_token_files)}
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op6_packing, op7_token_files, op8_licenses, op9_decontaminate)}
