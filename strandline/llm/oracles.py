@@ -46,4 +46,49 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op2_warc": OP2, "op9_decontaminate": OP9}
+OP3 = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), m AS (
+    SELECT win, min(doc_id) AS least FROM s GROUP BY win HAVING min(doc_id) <> max(doc_id)
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN m USING (win) WHERE doc_id > least
+), k AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN g USING (doc_id, p)
+    GROUP BY doc_id
+)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP4 = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+    SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h
+    FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)
+), m AS (
+    SELECT doc_id, i FROM s SEMI JOIN (SELECT h FROM s GROUP BY h HAVING count(*) > 1) USING (h)
+), r AS (
+    SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+    FROM (
+        SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM m)
+    ) GROUP BY doc_id, run
+), k AS (
+    SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(part, '' ORDER BY b) || substr(any_value(x), 2 * max(b) + 1) AS kept
+    FROM (
+        SELECT doc_id, x, a, b, substr(x, 2 * f + 1, 2 * (a - f)) AS part
+        FROM (SELECT doc_id, x, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM r JOIN d USING (doc_id))
+    ) GROUP BY doc_id
+)
+SELECT doc_id, len(x) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op9_decontaminate": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, licenses, packing, token_files, toxicity, warc
+from strandline.llm import decontaminate, doubling, licenses, packing, suffixes, token_files, toxicity, warc
 from strandline.llm.shared import table
 
 
@@ -16,6 +16,14 @@ def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, folder, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return doubling.substring_digests(table(spark, folder, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.suffix_digests(table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
@@ -32,4 +40,6 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op6_packing, op7_token_files, op8_licenses, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_warc, op3_substring_dedup, op4_suffix_dedup, op6_packing, op7_token_files, op8_licenses, op9_decontaminate,
+)}
