@@ -7,16 +7,42 @@ white space, in order. Chunks repeat, so a bounded cache of their ids replaces m
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000  # of each of two generations, in either of the two caches
+_MARK = b"<|"  # may begin a special token, whose case counts
+
+_LATIN_END = 0x250  # letters below it are letters in every version of Unicode
+
+# The byte-level alphabet by its rule: printable bytes stand for themselves, the others for code points from 256 on.
+_PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_OTHER = [b for b in range(256) if b not in _PRINTABLE]
+_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
+class Generations(dict):
+    """A cache whose entries outlive the next turnover only if they were asked for since the last one."""
+
+    def __init__(self, make, limit: int = CACHE_CHUNKS):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned integers, 16 bits wide where the vocabulary fits."""
 
@@ -26,24 +52,36 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
+        self.words = Generations(self._word)
+        self.chunks = Generations(self._chunk)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        """Latin letters are one piece, which the model takes in the byte-level alphabet; all else takes the whole tokenizer."""
+        text = word.decode("utf-8")
+        if word.isalpha() and word.islower():
+            return self._bytes([t.id for t in self.tokenizer.model.tokenize(text)])
+        plain = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        if plain.isalpha() and max(map(ord, plain)) < _LATIN_END:
+            piece = "".join([_ALPHABET[b] for b in plain.encode()])
+            return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        todo = list(chunks)
-        for start in range(0, len(todo), 4096):
-            part = todo[start:start + 4096]
-            found = self.tokenizer.encode_batch([c.decode("utf-8") for c in part], add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, self.dtype).tobytes()) for c, e in zip(part, found))
+    def _chunk(self, chunk: bytes) -> bytes:
+        """ASCII chunks are lower-cased, as the tokenizer would; a stop after a letter is a piece of its own."""
+        if _MARK in chunk:
+            return self._word(chunk)
+        if chunk.isascii():
+            chunk = chunk.lower()
+        if chunk[-1:] in (b".", b",") and chunk[:-1].decode("utf-8")[-1:].isalpha():
+            return self.words[chunk[:-1]] + self.words[chunk[-1:]]
+        return self.words[chunk]
 
     def encode(self, text: str) -> np.ndarray:
-        chunks = text.encode("utf-8", "replace").split()
-        cache = self.cache
-        missing = {c for c in chunks if c not in cache}
-        if missing:
-            self._learn(missing | (set(chunks) if len(cache) + len(missing) > CACHE_CHUNKS else set()))
-        return np.frombuffer(b"".join([cache[c] for c in chunks]), self.dtype)
+        chunks = self.chunks
+        return np.frombuffer(b"".join([chunks[c] for c in text.encode("utf-8", "replace").split()]), self.dtype)
 
 
 def encoder(path: str = DEFAULT_TOKENIZER) -> ChunkEncoder:
