@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, doubling, licenses, packing, suffixes, token_files, toxicity, warc
+from strandline.llm import decontaminate, doubling, forest, licenses, packing, rotations, suffixes, token_files, toxicity, warc
 from strandline.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.suffix_digests(table(spark, folder, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return rotations.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
@@ -40,6 +44,11 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.jaccard_join(table(spark, folder, "documents")).drop("text_hash")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_warc, op3_substring_dedup, op4_suffix_dedup, op6_packing, op7_token_files, op8_licenses, op9_decontaminate,
+    op1_toxicity, op2_warc, op3_substring_dedup, op4_suffix_dedup, op5_near_vectors, op6_packing, op7_token_files,
+    op8_licenses, op9_decontaminate, op10_jaccard_join,
 )}
