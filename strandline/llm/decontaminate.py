@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import prepare, store, text_or_empty
+from strandline.llm.spans import NO_ID, doc_key
 
 WINDOW = 10
 # Fixed value: what separates words.
@@ -80,6 +81,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: n_words, n_hit words inside any occurrence of a window, n_items, items_sha256, contaminated.
 
+    text_hash says which text of a repeated doc_id a row is about.
+
     A null text has no words. Rows equal in doc_id and text have equal results; null doc_ids are rows like others. Other
     columns are ignored. An empty benchmark hits nothing.
     """
@@ -138,7 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         cuts = part if cuts is None else cuts.unionByName(part)
     if cuts is None:
         return sizes.select(
-            "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"),
+            "doc_id", "text_hash", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"),
             F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"),
         )
     hits = store(cuts.join(wanted, ["span", "window"]).select("doc_id", "text_hash", "i", "span", "item"), "window-hits")
@@ -154,6 +157,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return sizes.alias("s").join(
         found.alias("f"), F.col("s.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("s.text_hash") == F.col("f.text_hash")), "left"
     ).select(
-        "s.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "s.doc_id", "s.text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without those that hold a benchmark window, with all their columns."""
+    bad = decontaminate(docs, benchmark, window).where("contaminated").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text_hash"
+    ).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("key"),
+                       F.xxhash64(text_or_empty()).alias("text_hash"))
+    kept = rows.join(store(bad, "contaminated"), ["key", "text_hash"], "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

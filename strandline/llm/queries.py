@@ -41,7 +41,7 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -295,9 +295,9 @@ def suffix_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the later copies cut out of their texts, the first kept; all other columns stay, null texts stay null.
 
-    A character of which a span takes some bytes goes whole.
+    A character of which a span takes some bytes goes whole. A text that is all copies becomes empty.
     """
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def kept(text: str, spans: list) -> str:
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         return raw[~marked(len(raw), [(s["first"], s["end"]) for s in spans])].tobytes().decode("utf-8", "ignore")

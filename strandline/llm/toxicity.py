@@ -1,7 +1,8 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
 P(grade > k) = sigmoid(w.x - theta_k): the weights are shared by all thresholds, which ascend. x says which words of a
-vocabulary a text holds. The expected severity is the sum of P(grade > k) over all thresholds.
+vocabulary a text holds. Weights are not negative: words can only speak for severity, so a text without any of them, however
+short, has the lowest grade. The expected severity is the sum of P(grade > k) over all thresholds.
 
 The model is fitted on a bounded sample of labelled documents; vocabulary and weights are bounded as well. Every document is
 scored over its whole text.
@@ -22,7 +23,8 @@ from strandline.llm.shared import folded_words, prepare, store, text_or_empty
 SAMPLE_EACH = 4000  # labelled documents of either kind that the model is fitted on, at most
 VOCABULARY = 3000  # words that can have a weight, at most
 MIN_DOCUMENTS = 5  # sampled documents that hold a word before it can have a weight
-L1 = 5e-4
+MIN_ERRORS = 5.0  # standard errors by which its share of toxic texts must exceed that of clean ones
+L1 = 1e-4
 STEPS = 600
 STEP = 0.2
 SCORES = "doc_id bigint, severity double, p_toxic double, grade int"
@@ -46,14 +48,14 @@ class OrdinalModel:
 def fit_ordinal(
     rows: list[np.ndarray], grades: np.ndarray, n_words: int, l1: float = L1, steps: int = STEPS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of a cumulative-link model with an L1 penalty, by adaptive proximal gradient steps.
+    """Weights, none negative, and thresholds of a cumulative-link model with an L1 penalty, by adaptive proximal steps.
 
-    rows: indexes of the words each text holds. grades: 0, 1, ..; all of them must occur. Grades weigh alike in sum.
+    rows: indexes of the words each text holds. grades: 0, 1, ..; all of them must occur.
     """
     levels = int(grades.max())
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    each = 1 / np.bincount(grades)[grades] / (levels + 1)
+    each = 1 / max(len(grades), 1)
     square = np.zeros(n_words + levels)
     ahead = np.concatenate([np.zeros(n_words), np.arange(levels, dtype=float)])
     for _ in range(steps):
@@ -75,7 +77,7 @@ def fit_ordinal(
         square += slope ** 2
         pace = STEP / np.sqrt(square + 1e-10)
         moved = ahead - pace * slope
-        moved[:n_words] = np.sign(moved[:n_words]) * np.maximum(np.abs(moved[:n_words]) - pace[:n_words] * l1, 0)
+        moved[:n_words] = np.maximum(moved[:n_words] - pace[:n_words] * l1, 0)
         moved[n_words:] = np.maximum.accumulate(moved[n_words:] + np.arange(levels) * 1e-6)
         ahead = moved
     return ahead[:n_words], ahead[n_words:]
@@ -124,7 +126,7 @@ def fit_toxicity(
 ) -> OrdinalModel:
     """Fit on the bounded sample. What reaches the driver is bounded by sample and vocabulary.
 
-    The vocabulary holds the words whose share of toxic and clean texts differs most. Without labels of both kinds the model
+    The vocabulary holds the words whose share of toxic texts exceeds that of clean ones the most surely. Without labels of both kinds the model
     gives every text grade 0.
     """
     prepare(docs.sparkSession)
@@ -135,9 +137,11 @@ def fit_toxicity(
     held = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.sum((F.col("toxic") <= 0).cast("long")).alias("good")
     ).where(F.col("bad") + F.col("good") >= min_documents)
-    gap = F.abs(F.col("bad") / sizes[True] - F.col("good") / sizes[False])
-    spread = F.sqrt((F.col("bad") + F.col("good") + 1) / (sizes[True] + sizes[False]))
-    chosen = held.orderBy(F.desc(gap / spread), "word").limit(vocabulary).select("word").collect()
+    gap = F.col("bad") / sizes[True] - F.col("good") / sizes[False]
+    share = (F.col("bad") + F.col("good")) / (sizes[True] + sizes[False])
+    errors = gap / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / sizes[True] + 1 / sizes[False]))
+    held = held.withColumn("errors", errors).where(F.col("errors") >= MIN_ERRORS)
+    chosen = held.orderBy(F.desc("errors"), "word").limit(vocabulary).select("word").collect()
     index = {bytes(r.word): i for i, r in enumerate(chosen)}
     places = sample.sparkSession.createDataFrame([(w, i) for w, i in index.items()], "word binary, at int")
     found = sample.select("doc_id", "toxic", F.explode_outer("words").alias("word")).join(F.broadcast(places), "word", "left")
@@ -175,3 +179,14 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled part of docs and score all of them; toxic is grade > 0."""
     return score_toxicity(docs, fit_toxicity(docs, labels)).withColumn("toxic", F.col("grade") > 0)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs of grade 0, with all their columns."""
+    model = fit_toxicity(docs, labels)
+
+    @F.udf("boolean", useArrow=True)
+    def clean(text: str) -> bool:
+        return not (model.above(text)[:1] >= 0.5).any()
+
+    return docs.where(clean(text_or_empty()))
