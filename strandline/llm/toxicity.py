@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression.
 
-P(grade > k) = sigmoid(w.x - theta_k): the weights are shared by all thresholds, which ascend. x says which words of a
-vocabulary a text holds. Weights are not negative: words can only speak for severity, so a text without any of them, however
+P(grade > k) = sigmoid(w.x - theta_k): the weights are shared by all thresholds, which ascend. x says which words and word
+beginnings of a vocabulary a text holds. Weights are not negative: words can only speak for severity, so a text without any of them, however
 short, has the lowest grade. The expected severity is the sum of P(grade > k) over all thresholds.
 
 The model is fitted on a bounded sample of labelled documents; vocabulary and weights are bounded as well. Every document is
@@ -25,12 +25,19 @@ VOCABULARY = 3000  # words that can have a weight, at most
 MIN_DOCUMENTS = 5  # sampled documents that hold a word before it can have a weight
 MIN_ERRORS = 5.0  # standard errors by which its share of toxic texts must exceed that of clean ones
 L1 = 1e-4
-STEPS = 600
-STEP = 0.2
+STEPS = 1000
+STEP = 1.0
+BEGINNINGS = (4, 5, 6)  # bytes of word beginnings that are features like whole words, so that inflected forms count
 SCORES = "doc_id bigint, severity double, p_toxic double, grade int"
 _OUT = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32())])
 
 
+def features(text: str) -> set[bytes]:
+    """Words of a text, and their beginnings with a star."""
+    words = set(folded_words(text))
+    return words.union(*({w[:k] + b"*" for w in words if len(w) > k} for k in BEGINNINGS))
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     """Word weights and ascending thresholds; without thresholds every text has grade 0."""
@@ -41,7 +48,7 @@ class OrdinalModel:
     def above(self, text: str) -> np.ndarray:
         """P(grade > k) for every threshold k."""
         known = self.weights
-        score = sum(known[w] for w in set(folded_words(text)) if w in known)
+        score = sum(known[w] for w in features(text) if w in known)
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - score, -500, 500)))
 
 
@@ -93,13 +100,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [sorted(set(folded_words(t))) for t in batch.column(2).to_pylist()]
+            held = [sorted(features(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.binary()))], ["doc_id", "toxic", "words"]
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    joined = joined.dropDuplicates(["text", "toxic"])  # copies would make their chance words telling
     return joined.mapInArrow(words, "doc_id bigint, toxic int, words array<binary>")
 
 
