@@ -34,6 +34,7 @@ REQUIRED_COLUMNS = (
     "flight_id", "mode", "valid_dx", "valid_dy", "valid_dz",
 )
 
+# States and numbers among them.
 STATE_COLUMNS = ("px", "py", "pz", "vx", "vy", "vz", "ax", "ay", "az", "yaw")
 NUMERIC_COLUMNS = (
     "time_s", *STATE_COLUMNS, "ax_target", "ay_target", "az_target", "dx", "dy", "dz",
@@ -41,6 +42,7 @@ NUMERIC_COLUMNS = (
 )
 
 
+# The numbers of the three policies below.
 @dataclass(frozen=True)
 class RatePolicy:
     gap_multiplier: float = 5.0

@@ -11,6 +11,8 @@ from strandline.config import AUDITED_REVISION
 FIRMWARE_PREFIXES = ("ArduCopter", "ArduPlane", "ArduRover", "ArduSub")
 BOARD_TOKENS = ("speedybee", "pixhawk", "cube", "matek")
 
+AUDITED_VEHICLE = "ArduCopter "  # Fixed value.
+# Fixed value: how a firmware line states its commit.
 _COMMIT = r"\(([0-9a-f]{8,40})\)"
 
 
@@ -26,5 +28,6 @@ def commit_hash(firmware: Column) -> Column:
 
 
 def audited(firmware: Column, revision: str = AUDITED_REVISION) -> Column:
-    """The stated commit is a prefix of the audited revision."""
-    return F.coalesce(F.startswith(F.lit(revision), commit_hash(firmware)), F.lit(False))
+    """The audited vehicle, and a stated commit that is a prefix of the audited revision."""
+    same = F.startswith(firmware, F.lit(AUDITED_VEHICLE)) & F.startswith(F.lit(revision), commit_hash(firmware))
+    return F.coalesce(same, F.lit(False))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strandline.config import check_limit
 from strandline.functions.numeric import finite
 from strandline.operators.ordered import WHOLE_CELLS, Chunks, Scan, rank_chunk
+from strandline.operators.profile import attach
 
 _SIDE = "_side"
 _RI = "_ri"
@@ -177,26 +178,33 @@ def latest_of_all(
     context: str | None = None,
     chunks: Chunks = WHOLE_CELLS,
 ) -> DataFrame:
-    """At every report the newest row of each instance, kept where all are known, fresh and comparable.
+    """At every report the newest row of each instance, kept where all instances of its log are known, fresh and comparable.
 
-    ``instances`` is the short list of instance labels. Adds ``lowest``, ``highest`` and ``ratio``.
+    ``instances`` is the short list of labels that occur anywhere; which of them a log has is read from its reports. Logs
+    with a single instance have nothing to compare. Adds ``lowest``, ``highest`` and ``ratio``.
     """
     keys = list(keys)
-    base = chunks.add(reports.where(F.col("time_us").isNotNull()))
-    scan = Scan(base, keys, ("time_us", "record_index"))
-    columns = ["time_us", value] + ([context] if context else [])
+    timed = reports.where(F.col("time_us").isNotNull())
     names = [f"_inst{i}" for i in range(len(instances))]
-    for name, label in zip(names, instances):
-        scan.last(name, F.when(F.col(instance).eqNullSafe(F.lit(label)), F.struct(*columns)))
-    rows = scan.run()
-    good = F.lit(True)
+    is_one = {name: F.col(instance).eqNullSafe(F.lit(label)) for name, label in zip(names, instances)}
+    had = timed.groupBy(*keys).agg(*[F.max(on.cast("int")).alias(f"_has{name}") for name, on in is_one.items()])
+    scan = Scan(chunks.add(timed), keys, ("time_us", "record_index"))
+    columns = ["time_us", value] + ([context] if context else [])
+    for name in names:
+        scan.last(name, F.when(is_one[name], F.struct(*columns)))
+    rows = attach(scan.run(), had, keys)
+    several = F.lit(0)
+    for name in names:
+        several = several + F.col(f"_has{name}")
+    good = several > 1 if len(names) > 1 else F.lit(True)
     for name in names:
         v = F.col(f"{name}.{value}")
-        good = good & finite(v) & (F.col("time_us") - F.col(f"{name}.time_us") <= F.lit(max_age_us))
+        fine = finite(v) & (F.col("time_us") - F.col(f"{name}.time_us") <= F.lit(max_age_us))
         if floor is not None:
-            good = good & (v > F.lit(floor))
+            fine = fine & (v > F.lit(floor))
         if context:
-            good = good & F.col(f"{name}.{context}").eqNullSafe(F.col(context))
+            fine = fine & F.col(f"{name}.{context}").eqNullSafe(F.col(context))
+        good = good & ((F.col(f"_has{name}") == 0) | fine)
     picked = [F.col(f"{name}.{value}").cast("double") for name in names]
     low = F.least(*picked) if len(picked) > 1 else picked[0]
     high = F.greatest(*picked) if len(picked) > 1 else picked[0]

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 ROWS_PER_CHUNK = 1_000_000
-CELL_US = 1 << 40  # about 12.7 days
-SPARE_BITS = 5
-MAX_HOT_CELLS = 200_000
+CELL_US = 1 << 36  # about 19 hours: at 400 rows a second some 27 million rows
 
 _SLOT = "_slot"
 
@@ -27,46 +25,17 @@ def rank_chunk(df: DataFrame, index: str = "record_index", rows: int = ROWS_PER_
 
 
 class Chunks:
-    """How sequences ordered by time are cut: fixed cells of time, the crowded ones cut finer.
+    """How sequences ordered by time are cut: fixed cells of time, the same whatever the data.
 
-    ``measure`` counts rows per log and cell once, for example when a fleet is opened, and lists the cells
-    above ``hot_rows``. The list has at most MAX_HOT_CELLS entries whatever the data size, so it is safe to
-    broadcast. Without crowded cells a chunk is a plain expression of the time.
+    A faster source takes a finer ``cell_us``; a chunk is a plain expression of the time.
     """
 
-    def __init__(self, cell_us: int = CELL_US, steps: DataFrame | None = None):
-        self.cell_us, self.steps = cell_us, steps
-
-    @classmethod
-    def measure(cls, rows: DataFrame, time: str = "time_us", cell_us: int = CELL_US,
-                hot_rows: int = ROWS_PER_CHUNK) -> "Chunks":
-        limit = max(hot_rows, rows.count() // MAX_HOT_CELLS)
-        cell = _cell(F.col(time), cell_us)
-        crowded = (
-            rows.where(F.col(time).isNotNull()).groupBy("log_id", cell.alias("_cell"))
-            .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        )
-        bits = F.ceil(F.log2(F.col("_n") / F.lit(float(limit)))) + F.lit(SPARE_BITS)
-        step = F.greatest(F.lit(1.0), F.floor(F.lit(float(cell_us)) / F.pow(F.lit(2.0), bits))).cast("bigint")
-        listed = crowded.select("log_id", "_cell", step.alias("_step"))
-        found = listed.collect()
-        if not found:
-            return cls(cell_us)
-        return cls(cell_us, rows.sparkSession.createDataFrame(found, listed.schema))
+    def __init__(self, cell_us: int = CELL_US):
+        self.cell_us = cell_us
 
     def add(self, df: DataFrame, time: str = "time_us") -> DataFrame:
         """Chunks are named by their start, so they sort like time."""
-        cell = _cell(F.col(time), self.cell_us)
-        if self.steps is None:
-            return df.withColumn(CHUNK, cell)
-        inside = F.col(time) - F.col("_cell")
-        chunk = F.when(F.col("_step").isNull(), F.col("_cell")).otherwise(F.col(time) - F.pmod(inside, F.col("_step")))
-        steps = F.broadcast(self.steps)
-        return df.withColumn("_cell", cell).join(steps, ["log_id", "_cell"], "left").withColumn(CHUNK, chunk).drop("_cell", "_step")
-
-
-def _cell(time: Column, cell_us: int) -> Column:
-    return time - F.pmod(time, F.lit(cell_us).cast("bigint"))
+        return df.withColumn(CHUNK, F.col(time) - F.pmod(F.col(time), F.lit(self.cell_us).cast("bigint")))
 
 
 WHOLE_CELLS = Chunks()

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.config import RatePolicy
-from strandline.functions.numeric import clean, count_true, finite, seconds
+from strandline.functions.numeric import clean, finite, seconds
 from strandline.operators.ordered import Scan, rank_chunk
-from strandline.session import settle
 
-HOT_ROWS = 200_000
-MAX_HOT_GROUPS = 100_000
-SKETCH_ACCURACY = 20_000
+CELLS_PER_OCTAVE = 64
+_SMALLEST = 1075  # no positive number lies below 2 to the power -1075
 
 
 def match_keys(keys, prefix: str) -> Column:
@@ -36,107 +34,83 @@ def attach(rows: DataFrame, table: DataFrame, keys, how: str = "left") -> DataFr
     return rows.join(right, match_keys(keys, "_r_"), how).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_percentiles(
-    df: DataFrame,
-    keys,
-    value: str,
-    points: dict[str, float],
-    hot_rows: int = HOT_ROWS,
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group; ``points`` maps column to fraction.
+def value_cell(x: Column) -> Column:
+    """Cells that sort like the values, whatever the data: 64 for each doubling, mirrored below zero."""
+    size = F.floor(CELLS_PER_OCTAVE * (F.log2(F.abs(x)) + _SMALLEST)) + 1
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("bigint") * size).cast("bigint")
 
-    Groups with up to ``hot_rows`` rows use the built-in exact aggregate over counted values, whose buffer is
-    then bounded. A larger group never comes together in one task: a sketch brackets every wanted rank, sums
-    tell how many rows lie below the bracket, and only the few values inside it are shuffled and ranked. There
-    are at most (rows / hot_rows) such groups, which bounds the broadcasts. ``value`` must be free of NaN.
 
-    Counts rows first, all of them and then per group, to see whether any group is large.
-    """
-    keys = list(keys)
-    fractions = list(points.values())
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    total = rows.count()
-    if total <= hot_rows:
-        return _aggregate_percentiles(rows.withColumn("_c", F.lit(1)), keys, points)
-    limit = max(hot_rows, total // MAX_HOT_GROUPS)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    large = sizes.collect()
-    if not large:
-        return _aggregate_percentiles(_counted(rows, keys), keys, points)
-    hot = F.broadcast(prefixed(df.sparkSession.createDataFrame(large, sizes.schema), keys, "_h_"))
-    on_hot = match_keys(keys, "_h_")
-    small = _aggregate_percentiles(_counted(rows.join(hot.drop("_n"), on_hot, "left_anti"), keys), keys, points)
-
-    margin = 2.0 / accuracy
-    around = [max(0.0, f - margin) for f in fractions] + [min(1.0, f + margin) for f in fractions]
-    sketch = rows.join(hot, on_hot).groupBy(*keys, "_n").agg(F.percentile_approx("_x", around, accuracy).alias("_s"))
-    brackets = []
-    for i, f in enumerate(fractions):
-        rank = F.lit(f) * (F.col("_n") - 1)
-        low = F.lit(float("-inf")) if f - margin <= 0 else F.col("_s")[i]
-        high = F.lit(float("inf")) if f + margin >= 1 else F.col("_s")[len(fractions) + i]
-        brackets.append(F.struct(
-            F.lit(i).alias("i"), low.alias("lo"), high.alias("hi"), F.floor(rank).alias("k0"),
-            F.ceil(rank).alias("k1"), rank.alias("rank"),
-        ))
-    wanted = settle(prefixed(sketch.select(*keys, F.array(*brackets).alias("_bs")), keys, "_h_"))
-    judged = rows.join(F.broadcast(wanted), on_hot).select(*keys, "_bs", "_x")
-    low, high = ([F.col("_bs")[i][end] for i in range(len(fractions))] for end in ("lo", "hi"))
-    below = judged.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_x") < c) for c in low]).alias("_below"))
-    near = F.lit(False)
-    for lo, hi in zip(low, high):
-        near = near | ((F.col("_x") >= lo) & (F.col("_x") <= hi))
-    candidates = _counted(judged.where(near), keys).join(F.broadcast(wanted), on_hot)
-    holds = F.filter("_bs", lambda b: (F.col("_x") >= b["lo"]) & (F.col("_x") <= b["hi"]))
-    inside = candidates.select(*keys, F.explode(holds).alias("_b"), "_x", "_c")
-    inside = inside.join(F.broadcast(prefixed(below, keys, "_h_")), on_hot).withColumn("_low", F.col("_below")[F.col("_b.i")])
-    ranked = Window.partitionBy(*keys, "_b.i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_upto", F.sum("_c").over(ranked) + F.col("_low"))
-    at = lambda k: F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col("_x")))
-    picked = inside.groupBy(*keys, "_b").agg(at(F.col("_b.k0")).alias("_x0"), at(F.col("_b.k1")).alias("_x1"))
-    mix = F.when(F.col("_b.k0") == F.col("_b.k1"), F.col("_x0")).otherwise(
-        (F.col("_b.k1") - F.col("_b.rank")) * F.col("_x0") + (F.col("_b.rank") - F.col("_b.k0")) * F.col("_x1")
-    )
-    checked = F.coalesce(mix, F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-    picked = picked.select(*keys, F.col("_b.i").alias("_i"), checked.alias("_q"))
-    big = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(points)]
-    )
-    return small.unionByName(big)
+def counted(rows: DataFrame, keys, value: str) -> DataFrame:
+    """Equal values once, as ``_x`` with their number ``_c``; missing values are left out. ``value`` is free of NaN."""
+    kept = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    return kept.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _counted(rows: DataFrame, keys) -> DataFrame:
-    """Equal values once, with their number: less to shuffle and to buffer."""
-    return rows.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+def exact_percentiles(df: DataFrame, keys, value: str, points: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group; ``points`` maps column to fraction."""
+    return counted_percentiles(counted(df, keys, value), keys, points)
 
 
-def _aggregate_percentiles(counts: DataFrame, keys, points: dict[str, float]) -> DataFrame:
-    picked = F.percentile("_x", F.array(*[F.lit(f) for f in points.values()]), F.col("_c")).alias("_p")
-    return counts.groupBy(*keys).agg(picked).select(*keys, *[F.col("_p")[i].alias(name) for i, name in enumerate(points)])
+def counted_percentiles(counts: DataFrame, keys, points: dict[str, float]) -> DataFrame:
+    """Percentiles of counted values (keys, ``_x``, ``_c``).
+
+    Values are dealt to cells that sort like them. Running totals over the few cells of a group tell in which cells the
+    wanted ranks lie; only the values of those cells are ranked, one cell a window. No group comes together in one task, and
+    all sizes take the same way.
+    """
+    keys = list(keys)
+    counts = counts.withColumn("_cell", value_cell(F.col("_x")))
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_n"))
+    group = Window.partitionBy(*keys)
+    cells = cells.withColumn("_total", F.sum("_n").over(group)).withColumn(
+        "_below", F.sum("_n").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    )
+    inside = lambda k: (k >= F.col("_below")) & (k < F.col("_below") + F.col("_n"))
+    wanted = []
+    for i, f in enumerate(points.values()):
+        rank = F.lit(float(f)) * (F.col("_total") - 1)
+        for k, share in ((F.floor(rank), F.when(F.floor(rank) == F.ceil(rank), 1.0).otherwise(F.ceil(rank) - rank)),
+                         (F.ceil(rank), F.when(F.floor(rank) == F.ceil(rank), 0.0).otherwise(rank - F.floor(rank)))):
+            wanted.append(F.struct(F.lit(i).alias("i"), k.cast("bigint").alias("k"), share.cast("double").alias("share")))
+    cells = cells.withColumn("_wanted", F.filter(F.array(*wanted), lambda w: inside(w["k"]))).where(F.size("_wanted") > 0)
+    held = attach(counts, cells.select(*keys, "_cell", "_below", "_wanted"), [*keys, "_cell"], "inner")
+    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_upto", F.sum("_c").over(in_cell) + F.col("_below"))
+    hit = F.filter("_wanted", lambda w: (w["k"] < F.col("_upto")) & (w["k"] >= F.col("_upto") - F.col("_c")))
+    found = held.select(*keys, "_x", F.explode_outer(hit).alias("_w")).where("_w is not null")
+    return found.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("_w.i") == i, F.when(F.col("_w.share") == 0, 0.0).otherwise(F.col("_w.share") * F.col("_x")))).alias(name)
+        for i, name in enumerate(points)
+    ])
 
 
 def percentile_name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
-def distribution(df: DataFrame, keys, value: str, percentiles=(95, 99), hot_rows: int = HOT_ROWS) -> DataFrame:
+def distribution(df: DataFrame, keys, value: str, percentiles=(95, 99)) -> DataFrame:
     """finite_count, min, max, median, mean, population std, range and percentiles of the finite values.
 
     Groups without a finite value keep a row with a zero count.
     """
     keys = list(keys)
-    rows = df.select(*keys, clean(F.col(value)).alias("_x"))
-    stats = rows.groupBy(*keys).agg(
-        F.count("_x").alias("finite_count"),
-        F.min("_x").alias("min"),
-        F.max("_x").alias("max"),
-        F.avg("_x").alias("mean"),
-        F.stddev_pop("_x").alias("std"),
-        (F.max("_x") - F.min("_x")).alias("range"),
+    rows = df.select(*keys, clean(F.col(value)).cast("double").alias("_x")).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    return counted_distribution(rows, keys, percentiles)
+
+
+def counted_distribution(rows: DataFrame, keys, percentiles=(95, 99)) -> DataFrame:
+    """The same of counted values (keys, ``_x``, ``_c``); missing values only keep their group."""
+    x, c = F.col("_x"), F.when(F.col("_x").isNotNull(), F.col("_c"))
+    total = F.sum(c)
+    center = rows.groupBy(*keys).agg(
+        F.coalesce(total, F.lit(0)).cast("bigint").alias("finite_count"), F.min(x).alias("min"), F.max(x).alias("max"),
+        (F.sum(x * c) / total).alias("mean"), (F.max(x) - F.min(x)).alias("range"),
     )
+    apart = attach(rows, center.select(*keys, "mean"), keys)
+    spread = apart.groupBy(*keys).agg(F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * c) / total).alias("std"))
     points = {"median": 0.5, **{percentile_name(p): p / 100 for p in percentiles}}
-    return attach(stats, exact_percentiles(rows, keys, "_x", points, hot_rows), keys)
+    stats = attach(center, spread, keys).select(*keys, "finite_count", "min", "max", "mean", "std", "range")
+    return attach(stats, counted_percentiles(rows.where("_x is not null"), keys, points), keys)
 
 
 def message_counts(rows: DataFrame) -> DataFrame:
@@ -148,34 +122,31 @@ def long_fields(table: DataFrame, ids, fields) -> DataFrame:
     return table.select(*ids, *[F.col(f).cast("double").alias(f) for f in fields]).unpivot(list(ids), list(fields), "field", "value")
 
 
-def value_classes(typed: Column) -> list[Column]:
-    """How many values are finite, invalid (missing, NaN, infinite) or no numbers; ``typed`` is text."""
-    num = typed.try_cast("double")
-    return [
-        count_true(finite(num)).alias("finite_count"),
-        count_true(typed.isNull() | (num.isNotNull() & ~finite(num))).alias("invalid_count"),
-        count_true(typed.isNotNull() & num.isNull()).alias("nonnumeric_count"),
-    ]
-
-
-def inventory(values: DataFrame, percentiles=(1, 95, 99), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Field statistics at two scopes in one pass: whole message, and per instance where there is one.
+def inventory(values: DataFrame, percentiles=(1, 95, 99)) -> DataFrame:
+    """Field statistics at two scopes: whole message, and per instance where the message has instances.
 
-    ``values`` holds (log_id, message, instance, field, value) with text or numeric values.
+    ``values`` holds (log_id, message, instance, field, value) with text or numeric values. Rows without an instance are a
+    group of their own in a message that has instances elsewhere. Equal values are counted once; both scopes come from the
+    counts.
     """
-    scopes = F.when(
-        F.col("instance").isNotNull(),
-        F.array(F.struct(F.lit("message").alias("s"), F.lit(None).cast("string").alias("i")),
-                F.struct(F.lit("instance").alias("s"), F.col("instance").cast("string").alias("i"))),
-    ).otherwise(F.array(F.struct(F.lit("message").alias("s"), F.lit(None).cast("string").alias("i"))))
-    rows = values.withColumn("_s", F.explode(scopes)).select(
-        "log_id", "message", "field", F.col("_s.s").alias("inventory_scope"), F.col("_s.i").alias("instance"),
-        F.col("value").cast("string").alias("value"),
+    base = ["log_id", "message", "field"]
+    held = values.select(
+        *base, F.col("instance").cast("string").alias("instance"), F.col("value").cast("string").alias("value")
+    ).groupBy(*base, "instance", "value").agg(F.count(F.lit(1)).alias("_c"))
+    several = held.where("instance is not null").select(F.col("log_id").alias("_l"), F.col("message").alias("_m")).distinct()
+    whole = held.groupBy(*base, "value").agg(F.sum("_c").alias("_c")).withColumn("instance", F.lit(None).cast("string"))
+    each = held.join(several, (F.col("log_id") == F.col("_l")) & (F.col("message") == F.col("_m")), "left_semi")
+    rows = whole.withColumn("inventory_scope", F.lit("message")).unionByName(each.withColumn("inventory_scope", F.lit("instance")))
+    keys = [*base, "inventory_scope", "instance"]
+    num = F.col("value").try_cast("double")
+    number = lambda on: F.coalesce(F.sum(F.when(on, F.col("_c"))), F.lit(0)).cast("bigint")
+    classes = rows.groupBy(*keys).agg(
+        F.sum("_c").cast("bigint").alias("sample_count"), number(finite(num)).alias("finite_count"),
+        number(F.col("value").isNull() | (num.isNotNull() & ~finite(num))).alias("invalid_count"),
+        number(F.col("value").isNotNull() & num.isNull()).alias("nonnumeric_count"),
     )
-    keys = ["log_id", "message", "field", "inventory_scope", "instance"]
-    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("sample_count"), *value_classes(F.col("value")))
-    stats = distribution(rows.withColumn("_num", F.col("value").try_cast("double")), keys, "_num", percentiles, hot_rows)
-    return attach(classes, stats.drop("finite_count"), keys)
+    numbers = rows.select(*keys, clean(num).alias("_x"), "_c").where("_x is not null").groupBy(*keys, "_x").agg(F.sum("_c").alias("_c"))
+    return attach(classes, counted_distribution(numbers, keys, percentiles).drop("finite_count"), keys)
 
 
 def with_canonical(stats: DataFrame, catalog: DataFrame, names=("min", "max", "median", "mean", "std", "range", "p1", "p95", "p99")) -> DataFrame:
@@ -186,60 +157,62 @@ def with_canonical(stats: DataFrame, catalog: DataFrame, names=("min", "max", "m
     return joined.select("*", *[(F.col(n) * F.col("canonical_factor")).alias(f"{n}_canonical") for n in present])
 
 
-def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilon: float = 1e-3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilon: float = 1e-3) -> DataFrame:
     """Statistics, missing share and constancy of every numeric column (per key where given)."""
     ids = list(keys)
-    long = long_fields(table, ids, columns)
     group = [*ids, "field"]
-    stats = distribution(long, group, "value", percentiles, hot_rows)
-    missing = long.groupBy(*group).agg(
-        (F.avg(F.when(F.col("value").isNull() | F.isnan("value"), 1.0).otherwise(0.0)) * 100).alias("missing_pct")
-    )
+    counts = long_fields(table, ids, columns).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_c"))
+    stats = counted_distribution(counts.select(*group, clean(F.col("value")).alias("_x"), "_c"), group, percentiles)
+    absent = F.coalesce(F.sum(F.when(F.col("value").isNull() | F.isnan("value"), F.col("_c"))), F.lit(0))
+    missing = counts.groupBy(*group).agg((absent / F.sum("_c") * 100).alias("missing_pct"))
     joined = attach(stats, missing, group)
     return joined.withColumn("constant", F.coalesce((F.col("finite_count") > 0) & (F.col("range") < F.lit(epsilon)), F.lit(False)))
 
 
-def step_times(rows: DataFrame, keys, index: str = "record_index") -> DataFrame:
-    """Time differences of consecutive timed rows in acquisition order (NULL on the first). Stored, since the
-    median, the thresholds and the sums all read them."""
+def step_counts(rows: DataFrame, keys, index: str = "record_index") -> DataFrame:
+    """Time differences of consecutive timed rows in acquisition order (NULL on the first), equal ones once with ``_c``."""
     timed = rank_chunk(rows.where(F.col("time_us").isNotNull()).select(*keys, "time_us", index), index)
     steps = Scan(timed, keys, (index,)).previous("before", "time_us").run()
-    return settle(steps.select(*keys, "time_us", index, (F.col("time_us") - F.col("before.time_us")).alias("dt")))
+    return steps.groupBy(*keys, (F.col("time_us") - F.col("before.time_us")).alias("dt")).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Median positive step and gap threshold per group."""
-    groups = steps.select(*keys).distinct()
-    medians = exact_percentiles(steps.where("dt > 0"), keys, "dt", {"median_dt_us": 0.5}, hot_rows)
+def _limits(steps: DataFrame, keys, policy: RatePolicy) -> DataFrame:
+    """Median positive step and gap threshold of counted steps (keys, dt, ``_c``)."""
+    positive = steps.where("dt > 0").select(*keys, F.col("dt").cast("double").alias("_x"), "_c")
     floor = F.lit(policy.absolute_gap_threshold_s * 1e6)
     limit = F.greatest(floor, F.lit(policy.gap_multiplier) * F.col("median_dt_us"))
-    return attach(groups, medians, keys).withColumn("threshold_us", F.coalesce(limit, floor))
+    medians = counted_percentiles(positive, keys, {"median_dt_us": 0.5})
+    return attach(steps.select(*keys).distinct(), medians, keys).withColumn("threshold_us", F.coalesce(limit, floor))
+
+
+def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> DataFrame:
+    """Median positive step and gap threshold per group of rows with a step ``dt``."""
+    return _limits(steps.groupBy(*keys, "dt").agg(F.count(F.lit(1)).alias("_c")), keys, policy)
 
 
-def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Counts, span, rates, gaps and clock faults per group, in seconds and hertz."""
+def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> DataFrame:
+    """Counts, span, rates, gaps and clock faults per group, in seconds and hertz. All but the first and last time follow
+    from the number of times each step occurs."""
     keys = list(keys)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    steps = step_times(rows, keys)
-    spans = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("timestamped"),
-        F.min_by("time_us", "record_index").alias("first_us"),
-        F.max_by("time_us", "record_index").alias("last_us"),
-        F.min("dt").alias("min_dt_us"),
-        F.max("dt").alias("max_dt_us"),
-        F.count_if(F.col("dt") == 0).alias("duplicates"),
-        F.count_if(F.col("dt") < 0).alias("backwards"),
+    timed = F.col("time_us").isNotNull()
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count("time_us").alias("timestamped"),
+        F.min_by("time_us", F.when(timed, F.col("record_index"))).alias("first_us"),
+        F.max_by("time_us", F.when(timed, F.col("record_index"))).alias("last_us"),
     )
-    limits = gap_thresholds(steps, keys, policy, hot_rows)
+    steps = step_counts(rows, keys)
+    limits = _limits(steps, keys, policy)
     judged = attach(steps, limits.select(*keys, "threshold_us"), keys)
-    within = (F.col("dt") > 0) & (F.col("dt") <= F.col("threshold_us"))
-    breaks = (F.col("dt") < 0) | (F.col("dt") > F.col("threshold_us"))
+    dt, c = F.col("dt"), F.col("_c")
+    within = (dt > 0) & (dt <= F.col("threshold_us"))
+    number = lambda on: F.coalesce(F.sum(F.when(on, c)), F.lit(0)).cast("bigint")
     active = judged.groupBy(*keys).agg(
-        F.count_if(within).alias("active_steps"),
-        F.coalesce(F.sum(F.when(within, F.col("dt"))), F.lit(0)).alias("active_us"),
-        (F.count_if(breaks) + 1).alias("active_windows"),
+        F.min("dt").alias("min_dt_us"), F.max("dt").alias("max_dt_us"), number(dt == 0).alias("duplicates"),
+        number(dt < 0).alias("backwards"), number(within).alias("active_steps"),
+        F.coalesce(F.sum(F.when(within, dt * c)), F.lit(0)).alias("active_us"),
+        (number((dt < 0) | (dt > F.col("threshold_us"))) + 1).alias("active_windows"),
     )
-    out = attach(attach(attach(counts, spans, keys), limits, keys), active, keys)
+    out = attach(attach(counts, limits, keys), active, keys)
     span = seconds(F.col("last_us") - F.col("first_us"))
     return out.select(
         *keys, "n",
@@ -267,11 +240,13 @@ MIXED_NULLS = (
 )
 
 
-def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Timing per message; rate measures are withheld where a message mixes instances."""
+def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy()) -> DataFrame:
+    """Timing per message; rate measures are withheld where a message mixes instances. Missing instances beside others are
+    one more group."""
     keys = ["log_id", "message"]
-    stats = timing_stats(rows, keys, policy, hot_rows)
-    kinds = rows.groupBy(*keys).agg(F.count_distinct("instance").alias("_instances"))
+    stats = timing_stats(rows, keys, policy)
+    missing = F.max((F.col("instance").isNull()).cast("int"))
+    kinds = rows.groupBy(*keys).agg((F.count_distinct("instance") + missing).alias("_instances"))
     joined = stats.join(kinds, keys)
     mixed = F.col("_instances") > 1
     scope = F.when(mixed, F.lit("mixed_instances_count_only")).otherwise(F.lit("message"))
@@ -279,14 +254,16 @@ def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows:
     return joined.select(*kept, scope.alias("rate_scope"))
 
 
-def instance_timing(rows: DataFrame, policy: RatePolicy = RatePolicy(), hot_rows: int = HOT_ROWS) -> DataFrame:
-    return timing_stats(rows.where("instance is not null"), ["log_id", "message", "instance"], policy, hot_rows)
+def instance_timing(rows: DataFrame, policy: RatePolicy = RatePolicy()) -> DataFrame:
+    """Timing per instance of the messages that have instances; rows without one are a group of their own."""
+    several = rows.where("instance is not null").select("log_id", "message").distinct()
+    return timing_stats(rows.join(several, ["log_id", "message"], "left_semi"), ["log_id", "message", "instance"], policy)
 
 
-def instance_extremes(values: DataFrame, fields, hot_rows: int = HOT_ROWS) -> DataFrame:
+def instance_extremes(values: DataFrame, fields) -> DataFrame:
     """min, max and median of the named fields per instance, side by side; ``values`` is (ids, field, value)."""
     keys = ["log_id", "message", "instance"]
-    stats = distribution(values.where(F.col("field").isin(*fields)), [*keys, "field"], "value", (), hot_rows)
+    stats = distribution(values.where(F.col("field").isin(*fields)), [*keys, "field"], "value", ())
     pick = [
         F.max(F.when(F.col("field") == f, F.col(m))).alias(f"{f}_{m}") for f in fields for m in ("min", "max", "median")
     ]

@@ -11,8 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.config import AXES, NUMERIC_COLUMNS, REQUIRED_COLUMNS, STATE_COLUMNS, ExtractPolicy
+from strandline.config import NUMERIC_COLUMNS, REQUIRED_COLUMNS, SOURCES, STATE_COLUMNS, ExtractPolicy
 from strandline.functions.numeric import all_of, any_of, finite, number, text_flag
+from strandline.lineage import DIRECT, MOTORS, STAND_IN, STATES
 from strandline.operators.ordered import Scan, rank_chunk
 
 VIOLATION = ("log_id", "rule", "scope", "n_bad", "example")
@@ -179,22 +180,20 @@ def age_rules(source: str, used: Column, hold_ms: float, scope: str) -> list[tup
 
 
 def used_sources(df: DataFrame) -> dict[str, Column]:
-    """Which rows draw on which source, from the values present and from the lineage labels."""
-    has = lambda names: any_of([F.col(c).isNotNull() for c in names if c in df.columns])
-    labels = [c for c in df.columns if c.startswith(("source_p", "source_v")) and not c.startswith("source_time_")]
-    named = lambda prefix: any_of([F.upper(F.col(c)).startswith(prefix) for c in labels])
-    used = {
-        "att": has(["yaw"]),
-        "bat": has(["battery_v", "battery_i"]),
-        "rcou": has(["motor1", "motor2", "motor3", "motor4", *[c for c in df.columns if c.startswith("rcou_c")]]),
-        "ctun": has(["throttle"]),
-        "gps": has(["gps_status"]),
-        "xkf4": has(["ekf_primary_core", "ekf_solution_status", "ekf_fault_status"]),
-        "xkf1": named("XKF1") if labels else has(["px", "py", "pz", "vx", "vy", "vz"]),
+    """Which rows draw on which source: it feeds a column that has a value, or a state names it in its label.
+
+    Without labels a state may come from its stand-in.
+    """
+    labels = [f"source_{o.column}" for o in STATES if f"source_{o.column}" in df.columns]
+    fed = {s: [o.column for o in DIRECT if o.message == s] for s in SOURCES}
+    fed["RCOU"] = [*MOTORS, *[c for c in df.columns if c.startswith("rcou_c")]]
+    if not labels:
+        fed[STAND_IN] = fed[STAND_IN] + [o.column for o in STATES]
+    return {
+        source.lower(): any_of([F.col(c).isNotNull() for c in columns if c in df.columns])
+        | any_of([F.upper(F.col(c)).startswith(source) for c in labels])
+        for source, columns in fed.items()
     }
-    for axis, (message, _) in AXES.items():
-        used[message.lower()] = has([f"a{axis}", f"a{axis}_target", f"d{axis}"]) | named(message)
-    return used
 
 
 def provenance_rules(df: DataFrame, policy: ExtractPolicy, continuity=("continuity_start_us", "continuity_end_us")) -> list:

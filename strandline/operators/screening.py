@@ -25,9 +25,10 @@ def check_values(rows: DataFrame, code: str, message: str, value: Column, bad: C
 
 
 def screen(values: DataFrame, minimum_samples: int = 10, warning_fraction: float = 0.8) -> DataFrame:
-    """One row per check, flagged or not: counts, share, sufficiency, verdict and evidence statistics."""
+    """One row per check, flagged or not: counts, share, sufficiency, verdict and evidence statistics. Rows without a value
+    only say that there is such a check."""
     counts = values.groupBy(*CHECK).agg(
-        F.count_if("bad").alias("flagged_count"), F.count(F.lit(1)).alias("evaluated_count")
+        F.count_if(F.col("bad") & F.col("value").isNotNull()).alias("flagged_count"), F.count("value").alias("evaluated_count")
     )
     share = F.try_divide(F.col("flagged_count"), F.col("evaluated_count"))
     enough = F.col("evaluated_count") >= minimum_samples
@@ -38,6 +39,15 @@ def screen(values: DataFrame, minimum_samples: int = 10, warning_fraction: float
     return attach(counts, distribution(values, CHECK, "value"), CHECK)
 
 
+def without_values(reports: DataFrame, codes, message: str) -> DataFrame:
+    """One empty row per log, instance and check, so that a check nothing could be evaluated for is still reported."""
+    who = reports.select("log_id", "instance").distinct().withColumn("_code", F.explode(F.array(*[F.lit(c) for c in codes])))
+    return who.select(
+        "log_id", F.col("_code").alias("code"), F.lit(message).alias("message"), F.col("instance").cast("bigint").alias("instance"),
+        F.lit(None).cast("double").alias("value"), F.lit(False).alias("bad"),
+    )
+
+
 def battery_values(bat: DataFrame, policy: ScreenPolicy) -> DataFrame:
     """Voltage over the whole log, current while armed. ``bat``: log_id, instance, volt, curr, state, canonical."""
     volt = bat.where(finite(F.col("volt")))
@@ -46,7 +56,7 @@ def battery_values(bat: DataFrame, policy: ScreenPolicy) -> DataFrame:
         volt, "BAT_VOLTAGE_IMPLAUSIBLE", "BAT", F.col("volt"), outside(F.col("volt"), *policy.battery_voltage), F.col("instance")
     ).unionByName(check_values(
         armed, "BAT_CURRENT_SUSPICIOUS", "BAT", F.col("curr"), F.col("curr") < policy.battery_min_current_a, F.col("instance")
-    ))
+    )).unionByName(without_values(bat, ("BAT_VOLTAGE_IMPLAUSIBLE", "BAT_CURRENT_SUSPICIOUS"), "BAT"))
 
 
 def esc_values(esc: DataFrame, bat: DataFrame, instances, policy: ScreenPolicy, chunks: Chunks = WHOLE_CELLS) -> DataFrame:
@@ -65,7 +75,12 @@ def esc_values(esc: DataFrame, bat: DataFrame, instances, policy: ScreenPolicy,
     parts = parts.unionByName(check_values(
         ratio, "ESC_VOLTAGE_RATIO_IMPLAUSIBLE", "ESC", F.col("ratio"), outside(F.col("ratio"), *policy.esc_voltage_ratio), F.col("instance")
     ))
+    codes = ("ESC_VOLTAGE_IMPLAUSIBLE", "ESC_CURRENT_UNAVAILABLE", "ESC_VOLTAGE_RATIO_IMPLAUSIBLE")
+    parts = parts.unionByName(without_values(esc, codes, "ESC"))
     if len(instances) > 1:
+        several = esc.select("log_id", "instance").distinct().groupBy("log_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        seed = several.select("log_id", F.lit(None).cast("bigint").alias("instance"))
+        parts = parts.unionByName(without_values(seed, ("ESC_RPM_CROSS_INSTANCE_INCONSISTENT",), "ESC"))
         reports = esc.select("log_id", "time_us", "record_index", "instance", "rpm", "context", "state")
         spread = latest_of_all(reports, instances, "rpm", max_age, policy.rpm_active_floor, context="context", chunks=chunks)
         spread = spread.where("state = 'armed'")
@@ -137,12 +152,20 @@ def usable_pair() -> Column:
     return F.col("paired_ok") & finite(F.col("actual")) & finite(F.col("target"))
 
 
-def activity(intervals: DataFrame, rows: DataFrame, edges: DataFrame, messages=tuple(PAIRS), chunks: Chunks = WHOLE_CELLS) -> DataFrame:
+def activity(
+    intervals: DataFrame, rows: DataFrame, edges: DataFrame, messages=tuple(PAIRS), chunks: Chunks = WHOLE_CELLS,
+    profile: DataFrame | None = None,
+) -> DataFrame:
     """Every interval and tracked message: samples, active time, time with a usable pair.
 
-    ``rows``: log_id, interval_id, message, time_us, record_index, actual, target, paired_ok (units verified).
+    ``rows``: log_id, interval_id, message, time_us, record_index, actual, target, paired_ok (units verified). ``profile`` has
+    log_id and ``verified``; where it is given, pairs of logs with other firmware do not count.
     """
     keys = ["log_id", "interval_id", "message"]
+    if profile is not None:
+        known = profile.where("verified").select("log_id", F.lit(True).alias("_known"))
+        rows = rows.join(known, "log_id", "left").withColumn("paired_ok", F.col("paired_ok") & F.col("_known").isNotNull()).drop("_known")
+        edges = edges.join(known, "log_id", "left").withColumn("good", F.col("good") & F.col("_known").isNotNull()).drop("_known")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.count_if(usable_pair()).alias("paired_samples"))
     active = union_duration(edges, keys, chunks).withColumnRenamed("duration_us", "active_us")
     paired = union_duration(edges.where("good"), keys, chunks).withColumnRenamed("duration_us", "paired_us")
@@ -173,15 +196,16 @@ def flight_evidence(
     proxy = overlap_duration(paired.where("message = 'PSCN'"), paired.where("message = 'PSCE'"), flight, chunks)
     z = union_duration(paired.where("message = 'PSCD'"), flight, chunks)
     units = tagged.where("message = 'PSCD'").groupBy("log_id").agg(F.bool_and("paired_ok").alias("z_units"))
-    out = segments.join(spans, flight, "left").join(counts, flight, "left")
+    out = segments.join(spans, flight, "left").join(counts, flight, "left")  # paired samples count in audited firmware only
     out = out.join(proxy.withColumnRenamed("duration_us", "_proxy"), flight, "left")
     out = out.join(z.withColumnRenamed("duration_us", "_z"), flight, "left")
     out = out.join(profile, "log_id", "left").join(units, "log_id", "left")
     known = F.coalesce("verified", F.lit(False))
     zero = F.lit(0).cast("bigint")
     measured = [f"{m.lower()}_{k}" for m in PAIRS for k in ("active_us", "paired_samples")]
+    gated = [F.when(known, F.col(c)).otherwise(zero).alias(c) if c.endswith("_paired_samples") else F.col(c) for c in measured]
     return out.fillna(0, measured).select(
-        *segments.columns, *measured,
+        *segments.columns, *gated,
         F.when(known, F.coalesce("_proxy", zero)).alias("xy_proxy_candidate_us"),
         F.when(known, zero).alias("x_residual_candidate_us"),
         F.when(known, zero).alias("y_residual_candidate_us"),

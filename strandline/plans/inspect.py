@@ -86,12 +86,17 @@ def sensor_status(logs: DataFrame, message: str, catalog: DataFrame, counts: Dat
 def status_board(
     logs: DataFrame, parser: DataFrame, errors: DataFrame, parts: dict[str, DataFrame], segments: DataFrame,
     profile: DataFrame, evidence: DataFrame, checks: DataFrame, policy: ScreenPolicy = ScreenPolicy(),
+    arming: DataFrame | None = None,
 ) -> DataFrame:
-    """Eight statuses per log in one row."""
+    """Eight statuses per log in one row. ``arming`` lists the logs with any arm or disarm report; without it a log has such a
+    source only if it has flights."""
     structural = errors.groupBy("log_id").agg(
         F.lit(True).alias("_broken"), F.bool_or(F.col("reason").rlike("definition|metadata")).alias("_meta")
     )
     flown = segments.groupBy("log_id").agg(F.bool_or("open_ended").alias("_open"))
+    if arming is not None:
+        heard = arming.select("log_id").distinct().join(flown, "log_id", "left")
+        flown = heard.withColumn("_open", F.coalesce("_open", F.lit(False)))
     loose = parts["unknown_units"].select("log_id").distinct().withColumn("_loose", F.lit(True))
     z = evidence.groupBy("log_id").agg(
         F.bool_or(F.col("z_residual_candidate_us").isNull()).alias("_z_unknown"),

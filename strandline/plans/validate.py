@@ -43,7 +43,7 @@ def find_violations(
     checked, eligibility = ru.with_eligibility(typed, policy)
     # Eligibility rules read the recorded flags, so they run on the table before it is recomputed.
     parts = [
-        missing, bad_cells, ru.presence(typed), ru.duplicates(typed), ru.monotonic(ru.sampling(typed, rate_hz=policy.master_rate_hz)),
+        missing, bad_cells, ru.presence(typed, segments.select("log_id").distinct()), ru.duplicates(typed), ru.monotonic(ru.sampling(typed, rate_hz=policy.master_rate_hz)),
         ru.flight_boundaries(typed, segments), ru.row_rules(located, rules + eligibility), ru.split_rules(split), ru.membership(split, typed),
         ru.reconcile(split, typed, [c for c in NUMERIC_COLUMNS if c != "time_s" and c in split.columns],
                      [c for c in typed.columns if c.startswith(("valid_d", "eligible_d")) and c in split.columns]),

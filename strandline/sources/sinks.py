@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,18 +45,24 @@ def sidecar(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [flat(p) for p in parts])
 
 
+def json_safe(c: Column, kind: T.DataType) -> Column:
+    """Non-finite numbers as NULL and bytes as hexadecimal text, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(finite(c), c)
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(c))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: json_safe(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[json_safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON document: non-finite numbers become null, bytes hexadecimal text."""
-    safe = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(finite(c), c)
-        elif isinstance(f.dataType, T.BinaryType):
-            c = F.lower(F.hex(c))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x: F.when(finite(x), x))
-        safe.append(c.alias(f.name))
+    safe = [json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("value"))
 
 

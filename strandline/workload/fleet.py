@@ -52,7 +52,7 @@ class Fleet:
 
     @cached_property
     def chunks(self) -> Chunks:
-        return Chunks.measure(self.records.select("log_id", "time_us"))
+        return Chunks()
 
     def message(self, name: str) -> DataFrame:
         return self.records.where(F.col("message") == name).drop("message")
@@ -149,12 +149,22 @@ class Fleet:
         return gr.master_grid(flights, STEP_US).select("log_id", "flight_id", "k", "time_us")
 
 
-_FLEETS: dict[tuple[str, str], Fleet] = {}
+_FLEETS: dict[tuple, Fleet] = {}
+
+
+def _version(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of the folder's files, through Spark's own file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def open_fleet(spark: SparkSession, folder: str) -> Fleet:
-    """The fleet of a folder, opened once per session."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The fleet of a folder as it is now, opened once per session; rewritten data open anew and the old one is forgotten."""
+    place = (spark.sparkContext.applicationId, folder)
+    key = (*place, _version(spark, folder))
     if key not in _FLEETS:
+        for old in [k for k in _FLEETS if k[:2] == place or k[0] != place[0]]:
+            del _FLEETS[old]
         _FLEETS[key] = Fleet(configure(spark), folder)
     return _FLEETS[key]

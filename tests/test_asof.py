@@ -96,6 +96,13 @@ def test_latest_of_all_instances(table):
     assert [(r.record_index, r.ratio) for r in got] == [(1, 2.0), (2, 2.0), (3, 2.0)]
 
 
+def test_latest_of_all_asks_each_log_for_its_own_instances(table):
+    schema = "log_id int, time_us long, record_index long, instance int, rpm double"
+    rows = [(1, i, i, i % 2, 100.0 + i) for i in range(4)] + [(2, i, i, i % 4, 100.0) for i in range(6)] + [(3, 1, 0, 0, 5.0)]
+    got = af.latest_of_all(table(schema, rows), [0, 1, 2, 3], "rpm", 10).groupBy("log_id").count().collect()
+    assert {r.log_id: r["count"] for r in got} == {1: 3, 2: 3}
+
+
 def test_ratio_needs_a_fresh_positive_base(table):
     schema = "log_id int, time_us long, record_index long, volt double, ctx int"
     a = table(schema, [(1, 10, 0, 6.0, 0), (1, 30, 1, 6.0, 0), (1, 11, 2, 6.0, 1)])

@@ -62,9 +62,10 @@ def test_status_bits(table):
 
 
 def test_firmware_and_text(table):
-    df = table("t string", [("ArduCopter V4.8.0-dev (2b5cebb9)",), ("ArduCopter (deadbeef00)",), ("none",), (None,)])
+    df = table("t string", [("ArduCopter V4.8.0-dev (2b5cebb9)",), ("ArduCopter (deadbeef00)",), ("none",), (None,),
+                            ("ArduPlane V4.8 (2b5cebb9)",)])
     got = df.select(commit_hash(F.col("t")), audited(F.col("t"))).collect()
-    assert [tuple(r) for r in got] == [("2b5cebb9", True), ("deadbeef00", False), (None, False), (None, False)]
+    assert [tuple(r) for r in got] == [("2b5cebb9", True), ("deadbeef00", False), (None, False), (None, False), ("2b5cebb9", False)]
     raw = table("b binary", [(b"ab\x00cd",), (b"x\xff",)])
     assert [r[0] for r in raw.select(clean_text(F.col("b"), binary=True)).collect()] == ["ab", "x�"]
 

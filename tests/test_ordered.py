@@ -42,14 +42,6 @@ def test_scan_equals_plain_windows_for_any_chunk_size(rows, cell):
     assert sorted(map(str, got.collect())) == sorted(map(str, expected(rows).collect()))
 
 
-def test_crowded_cells_are_cut_finer_and_results_stay_the_same(rows):
-    chunks = Chunks.measure(rows, cell_us=4096, hot_rows=20)
-    assert chunks.steps is not None and chunks.steps.count() > 0
-    cut = chunks.add(rows)
-    assert cut.groupBy("log_id", "_chunk").count().agg(F.max("count")).first()[0] <= 20
-    assert sorted(map(str, scanned(cut).collect())) == sorted(map(str, expected(rows).collect()))
-
-
 def test_rank_chunks_hold_a_bounded_number_of_rows(rows):
     cut = rank_chunk(rows, rows=50)
     assert cut.groupBy("log_id", "_chunk").count().agg(F.max("count")).first()[0] <= 50

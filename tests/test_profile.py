@@ -17,14 +17,13 @@ def test_distribution_by_hand(table):
     assert got[2]["finite_count"] == 0 and got[2]["median"] is None
 
 
-@pytest.mark.parametrize("hot,accuracy", [(10**9, 100), (5, 100), (5, 20)])
-def test_percentiles_of_large_groups_are_exact(spark, hot, accuracy):
+def test_percentiles_are_exact(spark):
     rng = random.Random(5)
     data = [(0, rng.gauss(0, 1)) for _ in range(900)] + [(0, 0.25)] * 300 + [(None, float(rng.randint(0, 9))) for _ in range(200)]
     data += [(g, rng.random()) for g in range(1, 4) for _ in range(5)]
     df = spark.createDataFrame(data, "g int, v double")
     points = {"lo": 0.0, "p1": 0.01, "q": 0.3, "med": 0.5, "p99": 0.99, "hi": 1.0}
-    got = {r.g: r for r in pf.exact_percentiles(df, ["g"], "v", points, hot, accuracy).collect()}
+    got = {r.g: r for r in pf.exact_percentiles(df, ["g"], "v", points).collect()}
     for g in (0, 1, 2, 3, None):
         values = [v for h, v in data if h == g]
         for name, f in points.items():
@@ -70,6 +69,21 @@ def test_inventory_counts_three_classes_at_two_scopes(table):
     assert got["A", "instance", "0"].sample_count == 3 and ("B", "instance", None) not in got
 
 
+def test_value_cells_sort_like_values(spark):
+    values = sorted([0.0, 5e-324, 1e-300, 0.1, 0.5, 1.0, 1.5, 2.0, 1e6, 1e300] + [-v for v in (5e-324, 0.1, 1.0, 7.0, 1e300)])
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", pf.value_cell(F.col("v")).alias("c")).orderBy("v").collect()
+    assert [r.c for r in rows] == sorted(r.c for r in rows)
+
+
+def test_missing_instances_are_a_group(table):
+    rows = records(table, [0, 0.1, 0.2], 0).unionByName(records(table, [0.05, 0.15]).withColumn("record_index", F.col("record_index") + 10))
+    assert pf.message_timing(rows).first().rate_scope == "mixed_instances_count_only"
+    assert {r.instance: r.n for r in pf.instance_timing(rows).collect()} == {0: 3, None: 2}
+    values = table("log_id int, message string, instance int, field string, value string", [(1, "A", 0, "f", "1"), (1, "A", None, "f", "2")])
+    got = {(r.inventory_scope, r.instance): r.sample_count for r in pf.inventory(values).collect()}
+    assert got == {("message", None): 2, ("instance", "0"): 1, ("instance", None): 1}
+
+
 def test_column_stats_flag_constant_and_missing(table):
     df = table("a double, b double", [(1, 5), (2, 5), (None, 5), (3, None)])
     got = {r.field: r for r in pf.column_stats(df, ["a", "b"]).collect()}

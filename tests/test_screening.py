@@ -73,6 +73,18 @@ def test_vibration_by_state_and_counters(table, intervals):
     assert got[3, "unknown"]["count"] == 2 and got[3, "disarmed"]["count"] == 0
 
 
+def test_checks_without_values_are_reported(table):
+    schema = "log_id int, time_us long, record_index long, instance int, volt double, curr double, rpm double, state string, context string"
+    bat = table(schema, [(1, 1, 0, 0, 12.0, None, 0, "disarmed", "a")])
+    esc = table(schema, [(1, 1, 0, i, None, None, None, "disarmed", "a") for i in (0, 1)])
+    policy = ScreenPolicy()
+    checks = sc.screen(sc.battery_values(bat, policy).unionByName(sc.esc_values(esc, bat, [0, 1], policy))).collect()
+    got = {(c.code, c.instance): (c.flagged_count, c.evaluated_count, c.fraction, c.sufficient_samples, c.warning) for c in checks}
+    assert got["BAT_CURRENT_SUSPICIOUS", 0] == (0, 0, None, False, False) and got["BAT_VOLTAGE_IMPLAUSIBLE", 0][1] == 1
+    assert {k for k, v in got.items() if v[1] == 0} == {("BAT_CURRENT_SUSPICIOUS", 0), ("ESC_RPM_CROSS_INSTANCE_INCONSISTENT", None)} | {
+        (c, i) for c in ("ESC_VOLTAGE_IMPLAUSIBLE", "ESC_CURRENT_UNAVAILABLE", "ESC_VOLTAGE_RATIO_IMPLAUSIBLE") for i in (0, 1)}
+
+
 def test_controller_reports(table):
     esc = table("log_id int, instance int, rpm double, volt double, curr double",
                 [(1, 0, 1000, 1.2, 0), (1, 1, 4000, 1.2, None), (2, 0, 1000, 11, 1), (2, 1, 1100, 11, 0)])

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.config import NUMERIC_COLUMNS
 from strandline.operators import catalog as cg
 from strandline.operators import digest as dg
 from strandline.operators import packets as pk
@@ -50,7 +51,14 @@ def test_unit_gate_and_time_gate(metadata, table):
     rows = table("log_id int, message string, time_us long", [(1, "ATT", 5), (1, "NOPE", 6)])
     assert {r.message: r.time_us for r in cg.verified_times(rows, catalog).collect()} == {"ATT": 5, "NOPE": None}
     assert cg.time_gate(rows, catalog).count() == 0
-    assert cg.derived_lineage("age_gps_ms") == ("GPS", "ms") and cg.derived_lineage("rcou_c3") == ("RCOU", "us")
+
+
+def test_lineage_table_names_every_column(spark):
+    following = {r.column: (r.message, r.output_unit) for r in cg.following_lineage(spark).collect()}
+    assert following["age_gps_ms"] == ("GPS", "ms") and following["motor3"] == ("RCOU", "us") and following["valid_dx"][1] == "bool"
+    origins = {(r.column, r.message): r for r in cg.lineage_rules(spark).collect()}
+    assert origins["pz", "PSCD"].field == "PD" and origins["pz", "XKF1"].field == "PD" and origins["yaw", "ATT"].output_frame == "ENU"
+    assert set(NUMERIC_COLUMNS) - {"time_s"} <= set(following) | {c for c, _ in origins}
 
 
 def test_texts_and_calibration(table):
@@ -102,6 +110,8 @@ def test_digests_ignore_order_and_see_changes(spark, table, tmp_path):
     same = dg.table_digest(df.repartition(5).orderBy(F.desc("a")).select("b", "a", "log_id")).first()
     assert dg.table_digest(df).first() == same
     assert dg.table_digest(df.withColumn("a", F.when(F.col("a") == 3, 4).otherwise(F.col("a")))).first().digest != same.digest
+    moved = [table("log_id int, a int, b int", [row]) for row in ((1, None, 1), (1, 1, None))]
+    assert dg.table_digest(moved[0]).first().digest != dg.table_digest(moved[1]).first().digest
     (tmp_path / "x.txt").write_bytes(b"abc")
     r = dg.file_digests(spark, str(tmp_path)).first()
     assert (r.name, r.digest) == ("x.txt", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
@@ -124,6 +134,9 @@ def test_writers_and_readers_round_trip(spark, table, tmp_path):
 def test_json_and_sidecars(table):
     df = table("v double, b binary, a array<double>", [(math.nan, b"\x01\xff", [1.0, math.inf])])
     assert json.loads(sinks.json_rows(df).first().value) == {"v": None, "b": "01ff", "a": [1.0, None]}
+    deep = df.sparkSession.sql("SELECT struct(double('NaN') AS v, array(double('inf'), 1D) AS a) AS s, map('k', double('NaN')) AS m, "
+                               "array(struct(double('-inf') AS v)) AS r, CAST(NULL AS struct<v:double>) AS n")
+    assert json.loads(sinks.json_rows(deep).first().value) == {"s": {"v": None, "a": [None, 1.0]}, "m": {"k": None}, "r": [{"v": None}], "n": None}
     one = table("log_id int, x int", [(1, 2)])
     two = table("log_id int, m map<string,int>", [(1, {"k": 3})])
     rows = sinks.sidecar([one, two])
