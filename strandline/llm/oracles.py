@@ -1,5 +1,7 @@
 """The queries' rows in SQL, where SQL can express them."""
 
+from strandline.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+
 OP2 = """
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -91,4 +93,38 @@ SELECT doc_id, len(x) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op9_decontaminate": OP9}
+_LINE_WORDS = _WORDS.replace("coalesce(text, '')", "line")
+
+OP8 = f"""
+WITH d AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), ph(phrase, label) AS (
+    VALUES {", ".join(f"('{p}', '{label}')" for p, label in PHRASES)}
+), pl AS (
+    SELECT doc_id, i - 1 AS place, label
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) AS x
+    JOIN ph ON array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase
+), base AS (
+    SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+    FROM pl GROUP BY doc_id
+), t AS (
+    SELECT label, list_distinct(string_split(template, ' ')) AS tw
+    FROM (VALUES {", ".join(f"('{t}', '{label}')" for t, label in TEMPLATES)}) AS v(template, label)
+), b AS (
+    SELECT doc_id, list_distinct({_LINE_WORDS}) AS bw
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+), h AS (
+    SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM b, t WHERE len(list_intersect(bw, tw)) >= {THRESHOLD} * len(tw)
+), l AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM pl) GROUP BY doc_id
+), s AS (
+    SELECT doc_id, max(share) AS score FROM h GROUP BY doc_id
+)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLES = {"op8_licenses": OP8, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op9_decontaminate": OP9}
