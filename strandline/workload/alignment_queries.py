@@ -165,6 +165,21 @@ def latest_all_instances(fl):
     return out.select("log_id", "record_index", "lowest", "highest", F.round("ratio", 6).alias("ratio"))
 
 
+@query("latest_own_instances", f"""WITH {EV}, e2 AS (SELECT * FROM ev WHERE NOT (log_id % 2 = 0 AND et IN ('signup', 'error'))),
+ha AS (SELECT log_id, count(DISTINCT et) AS kinds, """ + ", ".join(f"bool_or(et = '{n}') AS h{i}" for i, n in enumerate(KINDS)) + """ FROM e2 GROUP BY 1),
+h AS (SELECT *, """ + ", ".join(
+    f"last_value(CASE WHEN et = '{n}' THEN t END IGNORE NULLS) OVER w AS t{i}, last_value(CASE WHEN et = '{n}' THEN v END IGNORE NULLS) OVER w AS v{i}"
+    for i, n in enumerate(KINDS)) + """ FROM e2 WINDOW w AS (PARTITION BY log_id ORDER BY t, ri ROWS UNBOUNDED PRECEDING))
+SELECT log_id, ri AS record_index, least(v0, v1, v2, v3, v4) AS lowest, greatest(v0, v1, v2, v3, v4) AS highest,
+       round(greatest(v0, v1, v2, v3, v4) / least(v0, v1, v2, v3, v4), 6) AS ratio FROM h JOIN ha USING (log_id) WHERE kinds > 1 AND """ + " AND ".join(
+    f"(NOT h{i} OR (t - t{i} <= {ALL_US} AND v{i} > 0))" for i in range(5)))
+def latest_own_instances(fl):
+    """Every second log lacks two of the five kinds; each log is judged by those it has."""
+    rows = fl.records.where(~((F.col("log_id") % 2 == 0) & F.col("message").isin("signup", "error")))
+    out = af.latest_of_all(rows, KINDS, "value", ALL_US, 0.0, instance="message", chunks=fl.chunks)
+    return out.select("log_id", "record_index", "lowest", "highest", F.round("ratio", 6).alias("ratio"))
+
+
 @query("ratio_asof", f"""WITH {EV}, j AS (SELECT c.log_id, c.ri, c.t, c.v, p.t AS pt, p.v AS pv FROM (SELECT * FROM ev WHERE et = 'click') c
        ASOF LEFT JOIN (SELECT * FROM ev WHERE et = 'purchase') p ON c.log_id = p.log_id AND c.t >= p.t)
 SELECT log_id, ri AS record_index, round(v / pv, 6) AS ratio FROM j WHERE t - pt <= {LIMIT_US} AND pv > 0""")

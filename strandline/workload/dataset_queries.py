@@ -460,6 +460,15 @@ def reconcile_digests(fl):
     return counted(dg.reconcile_digests(expected, actual))
 
 
+@query("presence", """WITH e AS (SELECT user_id AS log_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
+SELECT log_id, 'flight_id' AS rule, 'flight_id' AS scope, count(*) AS n_bad FROM e WHERE k < 5 GROUP BY 1
+UNION ALL SELECT c_custkey, 'empty', 'dataset', 1 FROM customer WHERE c_custkey NOT IN (SELECT log_id FROM e)""")
+def presence(fl):
+    """Records without a flight, and customers who left no record at all."""
+    rows = fl.records.withColumn("flight_id", F.when(F.col("k") >= 5, F.col("k")))
+    return counted(ru.presence(rows, fl.table("customer").select(F.col("c_custkey").alias("log_id"))))
+
+
 @query("table_digest", """WITH r AS (SELECT o_orderpriority, md5(""" + " || ".join(
     f"coalesce('=' || CAST({c} AS VARCHAR) || chr(31), '-' || chr(31))" for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice")
 ) + """) AS h FROM orders)

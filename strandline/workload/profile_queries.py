@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.config import RatePolicy
+from strandline.config import AUDITED_REVISION, RatePolicy, ScreenPolicy
+from strandline.functions.text import audited, commit_hash
 from strandline.operators import catalog as cg
 from strandline.operators import params as pm
 from strandline.operators import profile as pf
@@ -358,3 +359,30 @@ SELECT log_id, arg_min(text, ri) FILTER (starts_with(text, 'ArduCopter') OR star
 def identity_texts(fl):
     rows = fl.table("conversations").select(F.col("conv_id").alias("log_id"), F.col("turn").alias("record_index"), "text")
     return pm.identity_texts(rows)
+
+
+_STATED = "nullif(regexp_extract(firmware, '\\(([0-9a-f]{8,40})\\)', 1), '')"
+# Firmware lines of the audited vehicle and revision, of another vehicle, of another revision, and without one.
+FIRMWARE = ("ArduCopter V4.8 (2b5cebb9)", "ArduPlane V4.8 (2b5cebb9)", "ArduCopter V4.8 (deadbeef00)", "ArduCopter V4.8")
+
+
+@query("firmware_audit", f"""WITH {EV}, x AS (SELECT log_id, ri, CASE k % 5 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(FIRMWARE))} END AS firmware FROM ev)
+SELECT log_id, ri AS record_index, {_STATED} AS commit_hash,
+       coalesce(firmware LIKE 'ArduCopter %' AND starts_with('{AUDITED_REVISION}', {_STATED}), false) AS audited FROM x""")
+def firmware_audit(fl):
+    text = F.coalesce(*[F.when(F.col("k") % 5 == i, t) for i, t in enumerate(FIRMWARE)])
+    return fl.records.select("log_id", "record_index", commit_hash(text).alias("commit_hash"), audited(text).alias("audited"))
+
+
+@query("battery_screen", f"""WITH {MODES},
+x AS (SELECT v.log_id, v.k // 50 AS instance, v.v / 5 AS volt, v.v / 10 AS curr, coalesce(i.armed, false) AS armed
+      FROM ev v LEFT JOIN ivs i ON v.log_id = i.log_id AND v.t >= i.s AND v.t < i.e WHERE v.et = 'click'),
+c AS (SELECT log_id, 'BAT_VOLTAGE_IMPLAUSIBLE' AS code, instance, volt AS v, volt < 9 OR volt > 13 AS bad FROM x
+      UNION ALL SELECT log_id, 'BAT_CURRENT_SUSPICIOUS', instance, CASE WHEN armed THEN curr END, armed AND curr < 3 FROM x)
+SELECT log_id, code, 'BAT' AS message, instance, CAST(count_if(bad) AS BIGINT) AS flagged_count, count(v) AS evaluated_count,
+       round(count_if(bad) / nullif(count(v), 0), 6) AS fraction, count(v) >= 10 AS sufficient_samples,
+       coalesce(count(v) >= 10 AND count_if(bad) / nullif(count(v), 0) >= 0.8, false) AS warning, {stats_sql('v')} FROM c GROUP BY 1, 2, 4""")
+def battery_screen(fl):
+    """Most logs have a receiver that never reports while armed: its current check stays, without values."""
+    bat = fl.clicks_in_context.select("log_id", "instance", (F.col("value") / 5).alias("volt"), (F.col("value") / 10).alias("curr"), "state")
+    return rounded(sc.screen(sc.battery_values(bat, ScreenPolicy())), (*STAT_COLUMNS, "fraction"))
