@@ -159,6 +159,11 @@ def _version(spark: SparkSession, folder: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
+def forget() -> None:
+    """Drop what the session keeps, so the next query makes its tables anew."""
+    _FLEETS.clear()
+
+
 def open_fleet(spark: SparkSession, folder: str) -> Fleet:
     """The fleet of a folder as it is now, opened once per session; rewritten data open anew and the old one is forgotten."""
     place = (spark.sparkContext.applicationId, folder)
