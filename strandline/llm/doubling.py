@@ -22,7 +22,7 @@ from strandline.llm.shared import prepare, store
 from strandline.llm.spans import NO_ID, gather, keyed, with_spans
 
 WINDOW = 50
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _RUNS = pa.schema([(n, pa.int64()) for n in ("anchor", "key", "text_hash", "first", "last", "shape")])
 _WINDOWS = pa.schema([(n, pa.int64()) for n in ("left", "right", "key", "text_hash", "first")])
 DIGESTS = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -106,6 +106,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     twice = level.groupBy("anchor").agg(
         F.min("key").alias("least"), F.max("key").alias("most"), (F.min("shape") == F.max("shape")).alias("alike")
     ).where(F.col("least") < F.col("most")).drop("most")
+    twice = store(twice, "repeated-runs")  # a table of its own, so the join below can split an anchor that many runs share
     live = level.join(twice, "anchor").where(~F.col("alike") | (F.col("key") > F.col("least")))
     live = store(live.select("key", "text_hash", "first", "last", "alike"), "live-runs")
 
@@ -113,7 +114,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = rows.join(open_runs, ["key", "text_hash"]).select("key", "text_hash", "text", "runs")
     cut = store(_cut_windows(texts, window), "word-windows")
     seen = cut.groupBy("left", "right").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    late = cut.join(seen.where(F.col("least") < F.col("most")), ["left", "right"]).where(F.col("key") > F.col("least"))
+    seen = store(seen.where(F.col("least") < F.col("most")).drop("most"), "repeated-windows")
+    late = cut.join(seen, ["left", "right"]).where(F.col("key") > F.col("least"))
     whole = live.where("alike").select("key", "text_hash", "first", (F.col("last") + window).alias("end"))
     return gather(whole.unionByName(late.select("key", "text_hash", "first", (F.col("first") + window).alias("end"))))
 

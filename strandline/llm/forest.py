@@ -29,7 +29,7 @@ DEPTH = 6  # MinHash values of a label, 10 bits each
 VALUE_BITS = 10
 RECALL = 0.9999
 SETTLE, EDGE = 0.8, 0.4  # estimated similarity to a bucket's head: settled, and edge (see grouping)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _SCAN = pa.schema([
     ("key", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("labels", pa.binary()),
 ])

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from strandline.llm.anchors import CHUNK, Rolling, marked, runs
 from strandline.llm.shared import prepare, store
 from strandline.llm.spans import gather, keyed, with_spans
+from strandline.llm.tokens import release
 
 LENGTH = 400
 GRAM = 100
-BATCH_BYTES = 1 << 22  # of runs whose suffixes are sorted together
-GROUP_BYTES = 1 << 24  # of one anchor's different runs; beyond, windows are counted by a shuffle instead
+BATCH_BYTES = 1 << 20  # of runs whose suffixes are sorted together
+GROUP_BYTES = 1 << 23  # of one anchor's different runs; beyond, windows are counted by a shuffle instead
 _RUNS = pa.schema([(n, pa.int64()) for n in ("anchor", "key", "text_hash", "first", "last", "shape")])
 _FOUND = "anchor bigint, shape bigint, places array<struct<first:bigint,last:bigint>>"
 _PLACES = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -64,34 +65,47 @@ def byte_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of keys, equal ones alike; the keys are overwritten."""
     order = np.argsort(keys)
-    ranked = keys[order]
+    keys[:] = keys[order]
     rank = np.empty(len(keys), np.int32)
-    rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]), dtype=np.int32)
+    rank[order] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]), dtype=np.int32)
     return rank
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in the order of the ``length`` bytes from them, and the bytes each shares with the one before it.
+def _pairs(rank: np.ndarray, at: np.ndarray | None, ahead: int) -> np.ndarray:
+    """Keys that sort by the rank of a place, then by that of the place so far ahead (0 beyond the end)."""
+    if at is not None:
+        return (rank[at].astype(np.int64) << 32) | rank[at + ahead]
+    key = rank.astype(np.int64) << 32
+    key[:max(len(rank) - ahead, 0)] |= rank[ahead:]
+    return key
 
-    Ranks of prefixes of 8, 16, .. bytes come from those of half the length. length must be at least 8.
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Starts in the order of the ``length`` bytes from them, and the bytes each shares with the one before it; 0 below floor.
+
+    Ranks of prefixes of 8, 16, .. bytes come from those of half the length. length must be at least 8. With floor = length
+    the shorter ranks are not kept.
     """
     size = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(size, np.uint64)
+    key = np.zeros(size, np.int64)
     for i in range(8):
-        key = (key << np.uint64(8)) | wide[i:i + size]
-    span, levels = 8, {8: _dense(key)}
+        key <<= 8
+        key[:max(size - i, 0)] |= text[i:]
+    span, levels = 8, {8: _dense(key.view(np.uint64))}
+    del key
     while span * 2 <= length:
-        rank = levels[span]
-        ahead = np.concatenate([rank[span:], np.zeros(min(span, size), np.int32)])[:size]
-        levels[span * 2] = _dense((rank.astype(np.int64) << 32) | ahead)
+        levels[span * 2] = _dense(_pairs(levels[span], None, span))
+        if floor >= length:
+            del levels[span]
         span *= 2
-    rank = levels[span]
-    key = (rank[starts].astype(np.int64) << 32) | rank[starts + (length - span)]
+    key = _pairs(levels[span], starts, length - span)
     order = np.argsort(key, kind="stable")
     key, place = key[order], starts[order]
     same = key[1:] == key[:-1]
+    if floor >= length:
+        return place, np.concatenate([[0], np.where(same, length, 0)])
     a, b = place[:-1], place[1:]
     common = np.zeros(len(a), np.int64)
     for level in sorted(levels, reverse=True):
@@ -100,7 +114,8 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     for _ in range(7):
         at = np.minimum(a + common, size - 1), np.minimum(b + common, size - 1)
         common += (common < length) & (text[at[0]] == text[at[1]])
-    return place, np.concatenate([[0], np.where(same, length, np.minimum(common, length))])
+    common = np.where(same, length, np.minimum(common, length))
+    return place, np.concatenate([[0], np.where(common >= floor, common, 0)])
 
 
 def _nearest_smaller(place: np.ndarray, shared: np.ndarray, floor: int) -> np.ndarray:
@@ -138,7 +153,7 @@ def repeated_starts(segments: list[bytes], counts: list[int], length: int, earli
     text = np.frombuffer(b"".join(segments), np.uint8)
     bases = np.cumsum([0] + [len(s) for s in segments])
     starts = np.concatenate([np.arange(n) + b for b, n in zip(bases, counts)])
-    place, shared = suffix_order(text, starts, length)
+    place, shared = suffix_order(text, starts, length, length)
     again = longest_previous_factors(place, shared, length) >= length
     if not earlier_only:
         again |= longest_previous_factors(-place, shared, length) >= length
@@ -190,6 +205,7 @@ def _sorted_places(cut: DataFrame, length: int, earlier_only: bool) -> DataFrame
                 [pa.array(anchors, pa.int64()), pa.array(shapes, pa.int64()), pa.array(places, _PLACES)], ["anchor", "shape", "places"]
             )
 
+        release()
         held, size, last = {}, 0, None
         for batch in batches:
             for anchor, shape, key, text_hash, first, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -245,6 +261,7 @@ def repeated_spans(
     twice = level.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), (F.min("shape") == F.max("shape")).alias("alike")
     ).where("n > 1").drop("n")
+    twice = store(twice, "repeated-anchors")  # a table of its own, so the join can split an anchor that many runs share
     live = store(level.join(twice, "anchor"), "live-byte-runs")
     place = F.struct("key", "text_hash", "first", "last")
     kinds = live.groupBy("anchor", "shape", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("earliest"))

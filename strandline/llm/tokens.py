@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 
 DEFAULT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CACHE_CHUNKS = 300_000  # of each of two generations, in either of the two caches
+CACHE_CHUNKS = 200_000  # of each of two generations, in either of the two caches
 _MARK = b"<|"  # may begin a special token, whose case counts
 
 _LATIN_END = 0x250  # letters below it are letters in every version of Unicode
@@ -84,6 +84,11 @@ class ChunkEncoder:
         return np.frombuffer(b"".join([chunks[c] for c in text.encode("utf-8", "replace").split()]), self.dtype)
 
 
+def release() -> None:
+    """Give up encoders and caches in a worker process that goes on to other, larger work."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str = DEFAULT_TOKENIZER) -> ChunkEncoder:
     """One encoder a worker process and vocabulary."""
     if path not in _ENCODERS:
