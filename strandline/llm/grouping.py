@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strandline.llm.shared import store
 
 NEAR_ROWS = 32  # remaining members of a bucket up to which each is compared with each
+CROWD_ROWS = 1 << 15  # remaining members of a bucket up to which one task takes them all
 BLOCK = 192  # members of a block; two blocks are compared in one step
 
 Estimate = Callable[[np.ndarray, np.ndarray], np.ndarray]  # sketches as rows of bytes, one by one -> similarity
@@ -33,8 +34,26 @@ def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def spanning(a: list[int], b: list[int]) -> np.ndarray:
+    """Places of the edges that join what earlier ones have not: a spanning forest, fewer edges than nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a, b)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def _rest_edges(estimate: Estimate, settle: float, edge: float):
-    """Compare the members of each bucket, which come one bucket after the other."""
+    """Compare the members of each bucket, which come one bucket after the other; a spanning forest of each leaves."""
     def crowd(sketches: np.ndarray) -> Iterator[tuple[int, int]]:
         """Leaders in turn: each takes an edge from what is near, and what is close to it is settled."""
         left = np.arange(len(sketches))
@@ -70,8 +89,9 @@ def _rest_edges(estimate: Estimate, settle: float, edge: float):
                 found = np.array(list(crowd(sketches[base:base + sizes[number]])), np.int64).reshape(-1, 2) + base
                 a.append(found[:, 0])
                 b.append(found[:, 1])
-            take = lambda x: nodes.take(pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
-            a, b = take(a), take(b)
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+            tree = spanning(a.tolist(), b.tolist())
+            a, b = (nodes.take(pa.array(x[tree])) for x in (a, b))
             return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b)], ["a", "b"])
 
         for batch in batches:
@@ -88,14 +108,17 @@ def _rest_edges(estimate: Estimate, settle: float, edge: float):
     return search
 
 
-def candidate_edges(buckets: DataFrame, sketches: DataFrame, estimate: Estimate, settle: float, edge: float) -> DataFrame:
+def candidate_edges(
+    buckets: DataFrame, sketches: DataFrame, estimate: Estimate, settle: float, edge: float, crowd_rows: int = CROWD_ROWS
+) -> DataFrame:
     """Edges (a, b) between nodes whose sketches are near enough.
 
+    What is left of a bucket takes a new head, by joins alone, until no bucket has more than crowd_rows left; these are then
+    compared within one task each.
+
     buckets: (tree, prefix, node), stored. sketches: (node, sketch), stored; sketches are binary of one length.
     """
     kind = buckets.schema["node"].dataType.simpleString()
-    heads = buckets.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = store(buckets.join(heads, ["tree", "prefix"]).where(F.col("node") != F.col("head")), "bucket-members")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,18 +126,28 @@ def candidate_edges(buckets: DataFrame, sketches: DataFrame, estimate: Estimate,
                 similar = estimate(_rows(batch.column(2)), _rows(batch.column(3)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar.astype(np.float64))], ["node", "head", "similar"])
 
-    met = (
-        members.select("node", "head").distinct().join(sketches, "node").withColumnRenamed("sketch", "own")
-        .join(sketches.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head").select("node", "head", "own", "other")
-    )
-    met = store(met.mapInArrow(judge, f"node {kind}, head {kind}, similar double"), "head-pairs")
-    rest = members.join(met.where(F.col("similar") < settle), ["node", "head"]).select("tree", "prefix", "node")
-    several = rest.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rest = rest.join(several, ["tree", "prefix"]).join(sketches, "node").select("tree", "prefix", "node", "sketch")
+    edges = None
+    while True:
+        heads = buckets.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        members = store(buckets.join(heads, ["tree", "prefix"]).where(F.col("node") != F.col("head")), "bucket-members")
+        met = (
+            members.select("node", "head").distinct().join(sketches, "node").withColumnRenamed("sketch", "own")
+            .join(sketches.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head").select("node", "head", "own", "other")
+        )
+        met = store(met.mapInArrow(judge, f"node {kind}, head {kind}, similar double"), "head-pairs")
+        near = met.where(F.col("similar") >= edge).select(F.col("node").alias("a"), F.col("head").alias("b"))
+        edges = near if edges is None else edges.unionByName(near)
+        buckets = members.join(met.where(F.col("similar") < settle), ["node", "head"]).select("tree", "prefix", "node")
+        buckets = store(buckets, "bucket-rest")
+        several = buckets.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        most = several.agg(F.max("n")).first()[0]
+        if most is None or most <= crowd_rows:
+            break
+    rest = buckets.join(several.drop("n"), ["tree", "prefix"]).join(sketches, "node").select("tree", "prefix", "node", "sketch")
     found = rest.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(
         _rest_edges(estimate, settle, edge), f"a {kind}, b {kind}"
     )
-    return met.where(F.col("similar") >= edge).select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(found).distinct()
+    return edges.unionByName(found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [192, 7])
-def test_jaccard_join(documents, block, monkeypatch):
+@pytest.mark.parametrize("block,crowd", [(192, 1 << 15), (7, 3)])
+def test_jaccard_join(documents, block, crowd, monkeypatch):
     monkeypatch.setattr(grouping.verified_links, "__defaults__", (block,))
+    monkeypatch.setattr(grouping.candidate_edges, "__defaults__", (crowd,))
     rows = near_rows()
     got = [tuple(-1 if v is None else v for v in r[:-1]) for r in forest.jaccard_join(documents(rows)).collect()]
     assert sorted(got) == brute_jaccard(rows)
