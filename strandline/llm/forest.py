@@ -21,6 +21,7 @@ from strandline.llm.anchors import CHUNK, Rolling
 from strandline.llm.grouping import candidate_edges, components, linked_components, verified_links
 from strandline.llm.shared import folded_words, prepare, store
 from strandline.llm.spans import NO_ID, doc_key, keyed
+from strandline.llm.tokens import release
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -126,6 +127,7 @@ def jaccard_join(
     rows = keyed(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cache = _Hashes()
         for batch in batches:
             out = []
