@@ -4,8 +4,9 @@ P(grade > k) = sigmoid(w.x - theta_k): the weights are shared by all thresholds,
 beginnings of a vocabulary a text holds. Weights are not negative: words can only speak for severity, so a text without any of them, however
 short, has the lowest grade. The expected severity is the sum of P(grade > k) over all thresholds.
 
-The model is fitted on a bounded sample of labelled documents; vocabulary and weights are bounded as well. Every document is
-scored over its whole text.
+The model is fitted on a bounded sample of labelled texts, each weighed by how many of its kind it stands for, so that the
+share of toxic ones is that of all labelled texts. Vocabulary and weights are bounded as well. Every document is scored over
+its whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.shared import folded_words, prepare, store, text_or_empty
 
-SAMPLE_EACH = 4000  # labelled documents of either kind that the model is fitted on, at most
+SAMPLE_EACH = 4000  # labelled texts of either kind that the model is fitted on, at most
 VOCABULARY = 3000  # words that can have a weight, at most
 MIN_DOCUMENTS = 5  # sampled documents that hold a word before it can have a weight
 MIN_ERRORS = 5.0  # standard errors by which its share of toxic texts must exceed that of clean ones
@@ -53,16 +54,19 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    rows: list[np.ndarray], grades: np.ndarray, n_words: int, l1: float = L1, steps: int = STEPS
+    rows: list[np.ndarray], grades: np.ndarray, n_words: int, l1: float = L1, steps: int = STEPS,
+    counts: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights, none negative, and thresholds of a cumulative-link model with an L1 penalty, by adaptive proximal steps.
 
-    rows: indexes of the words each text holds. grades: 0, 1, ..; all of them must occur.
+    rows: indexes of the words each text holds. grades: 0, 1, ..; all of them must occur. counts: how many texts each one
+    stands for, one if not given.
     """
     levels = int(grades.max())
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    each = 1 / max(len(grades), 1)
+    each = np.ones(len(grades)) if counts is None else counts
+    each = each / max(each.sum(), 1e-12)
     square = np.zeros(n_words + levels)
     ahead = np.concatenate([np.zeros(n_words), np.arange(levels, dtype=float)])
     for _ in range(steps):
@@ -90,25 +94,34 @@ def fit_ordinal(
     return ahead[:n_words], ahead[n_words:]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
-    """(toxic, words) of at most ``each`` toxic and ``each`` clean labelled documents, chosen by the hash of doc_id."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(mark, toxic, doc_id) of every labelled text: its hash, its kind, and the least document that holds it.
+
+    Copies count once, as they would make their chance words telling.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.max("toxic").alias("toxic")
+        (F.max("toxic") > 0).cast("int").alias("toxic")
     )
-    pick = lambda on: known.where((F.col("toxic") > 0) == on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
-    chosen = pick(True).unionByName(pick(False))  # at most 2 x each rows of two numbers: small enough to broadcast
+    marks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"))
+    return marks.join(known, "doc_id").groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id"))
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
+    """(mark, toxic, words) of at most ``each`` toxic and ``each`` clean ones of the labelled texts, chosen by their hash."""
+    pick = lambda kind: known.where(F.col("toxic") == kind).orderBy("mark").limit(each)
+    chosen = pick(1).unionByName(pick(0))  # at most 2 x each rows of three numbers: small enough to broadcast
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [sorted(features(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.binary()))], ["doc_id", "toxic", "words"]
+                [batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.binary()))], ["mark", "toxic", "words"]
             )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    joined = joined.dropDuplicates(["text", "toxic"])  # copies would make their chance words telling
-    return joined.mapInArrow(words, "doc_id bigint, toxic int, words array<binary>")
+    joined = texts.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "mark"])
+    joined = joined.select("mark", "toxic", "text").dropDuplicates(["mark", "toxic"])  # repeated rows
+    return joined.mapInArrow(words, "mark bigint, toxic int, words array<binary>")
 
 
 def severity_grades(toxic: np.ndarray, rows: list[np.ndarray], n_words: int) -> np.ndarray:
@@ -138,7 +151,9 @@ def fit_toxicity(
     gives every text grade 0.
     """
     prepare(docs.sparkSession)
-    sample = store(labelled_sample(docs, labels, each), "toxicity-sample")
+    known = store(labelled_texts(docs, labels), "toxicity-labels")
+    totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    sample = store(labelled_sample(docs, known, each), "toxicity-sample")
     sizes = {r.kind: r.n for r in sample.groupBy((F.col("toxic") > 0).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return OrdinalModel({}, ())
@@ -152,13 +167,14 @@ def fit_toxicity(
     chosen = held.orderBy(F.desc("errors"), "word").limit(vocabulary).select("word").collect()
     index = {bytes(r.word): i for i, r in enumerate(chosen)}
     places = sample.sparkSession.createDataFrame([(w, i) for w, i in index.items()], "word binary, at int")
-    found = sample.select("doc_id", "toxic", F.explode_outer("words").alias("word")).join(F.broadcast(places), "word", "left")
-    texts = found.groupBy("doc_id", "toxic").agg(F.collect_set("at").alias("at")).orderBy("doc_id").collect()
+    found = sample.select("mark", "toxic", F.explode_outer("words").alias("word")).join(F.broadcast(places), "word", "left")
+    texts = found.groupBy("mark", "toxic").agg(F.collect_set("at").alias("at")).orderBy("mark", "toxic").collect()
     toxic = np.array([r.toxic for r in texts])
     rows = [np.array(sorted(r["at"]), np.int64) for r in texts]
     grades = severity_grades(toxic, rows, len(index))
     _, grades = np.unique(grades, return_inverse=True)
-    weights, thresholds = fit_ordinal(rows, grades, len(index))
+    counts = np.array([totals[kind] / sizes[kind > 0] for kind in toxic])
+    weights, thresholds = fit_ordinal(rows, grades, len(index), counts=counts)
     return OrdinalModel(
         {w: float(weights[i]) for w, i in index.items() if weights[i]}, tuple(float(t) for t in thresholds)
     )

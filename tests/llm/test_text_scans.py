@@ -151,3 +151,25 @@ def test_ordinal_fit_recovers_order():
         grades.append(int(np.clip((held < 3).sum(), 0, 2)))
     weights, thresholds = toxicity.fit_ordinal(rows, np.array(grades), 6)
     assert weights[:3].min() > 5 * max(weights[3:].max(), 0.1) and thresholds[0] < thresholds[1]
+
+
+def test_toxic_share_does_not_depend_on_the_sample_bound(spark, documents):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 12 == 0
+        words = [f"w{rng.randrange(60)}" for _ in range(20)] + [f"only{i}"]
+        if rng.random() < (0.6 if bad else 0.12):
+            words.append("meh")  # weak: half of the texts with it are toxic only where toxic texts are as many as clean ones
+        if bad and rng.random() < 0.8:
+            words.append("scum")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    rows += [(10000, "meh"), (10001, "scum meh")] + [(i, rows[1][1]) for i in range(20000, 20400)]  # copies of one clean text
+    labels += [(i, 1, 0) for i in range(20000, 20400)]
+    docs, known = documents(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    whole, bound = (toxicity.fit_toxicity(docs, known, each) for each in (4000, 150))
+    a, b = ({r.doc_id: r for r in toxicity.score_toxicity(docs, m).collect()} for m in (whole, bound))
+    assert a[10000].grade == b[10000].grade == 0 and a[10001].grade > 0 and b[10001].grade > 0
+    assert abs(whole.thresholds[0] - bound.thresholds[0]) < 0.7
+    assert np.mean([(a[i].grade > 0) == (b[i].grade > 0) for i in a]) > 0.99
