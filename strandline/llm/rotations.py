@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,19 +88,30 @@ def bounded_links(threshold: float, dims: int, confidence: float = CONFIDENCE):
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
-    The cosine of unit vectors is computed in double precision. Null, zero, non-finite or incomplete vectors, and vectors
-    of another length than the most common one, link with nothing. Rows that repeat a vec_id are compared like others; their
-    links count together. A null vec_id links with nothing. Other columns are ignored; an empty table gives no rows.
+    The cosine of unit vectors is computed in double precision. Null, zero, non-finite or incomplete vectors link with nothing,
+    others with vectors of their own length; each length that occurs twice takes a pass. Rows that repeat a vec_id are compared
+    like others; their links count together. A null vec_id links with nothing. Other columns are ignored; an empty table gives
+    no rows.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("node"), F.col("embedding").alias("v"))
     lengths = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    common = lengths.where("d > 0").orderBy(F.desc("n"), "d").first()
-    if common is None:
+    several = lengths.where("d > 0 and n > 1").orderBy("d").collect()
+    if not several:
         return rows.select(F.col("node").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("node").alias("component_id"),
                            F.col("node").isNotNull().alias("kept"))
-    dims = common.d
-    bits, groups = bit_groups(common.n, threshold, recall)
+    links = [_links_of_length(rows.where(F.size("v") == r.d), r.d, r.n, threshold, recall) for r in several]
+    counts, roots = linked_components(reduce(DataFrame.unionByName, links))
+    found = counts.join(roots, "node", "left")
+    return rows.select("node").join(found, "node", "left").select(
+        F.col("node").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("component_id"),
+        F.coalesce(F.col("node") == F.coalesce("root", "node"), F.lit(False)).alias("kept"),
+    )
+
+
+def _links_of_length(rows: DataFrame, dims: int, n_rows: int, threshold: float, recall: float) -> DataFrame:
+    """Stored verified links (node, peer, links) of rows (node, v) that all have ``dims`` parts."""
+    bits, groups = bit_groups(n_rows, threshold, recall)
     per_turn = dims // bits if dims >= bits else 1
     turns = max(math.ceil(groups / per_turn), SKETCH_ROTATIONS)
 
@@ -138,10 +150,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     settle = math.cos(math.radians(SETTLE_DEGREES))
     single = coded.select("node", "sketch").dropDuplicates(["node"])
     near = store(components(candidate_edges(buckets, store(single, "sketches"), _angle_similarity, settle, edge)), "candidate-groups")
-    links = store(verified_links(near, coded.select("node", "payload"), bounded_links(threshold, dims)), "vector-links")
-    counts, roots = linked_components(links)
-    found = counts.join(roots, "node", "left")
-    return rows.select("node").join(found, "node", "left").select(
-        F.col("node").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("component_id"),
-        F.coalesce(F.col("node") == F.coalesce("root", "node"), F.lit(False)).alias("kept"),
-    )
+    return store(verified_links(near, coded.select("node", "payload"), bounded_links(threshold, dims)), "vector-links")

@@ -131,6 +131,20 @@ def test_vectors_that_link_with_nothing(spark):
     assert rotations.near_vectors(vectors(spark, [(1, None)])).count() == 1
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dims, n in ((5, 9), (3, 4), (48, 6), (1, 2), (7, 1)):
+        one, first = rng.standard_normal(dims), len(rows)
+        for i in range(n):
+            rows.append((first + i, (one * (i + 1)).tolist()))
+            want[first + i] = (n - 1, first, i == 0)
+    rows.append((0, rows[9][1]))  # vec_id 0 has two lengths: its links count together, and join both groups
+    want |= {0: (8 + 4, 0, True)} | {i: (4, 0, False) for i in range(9, 13)}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rotations.near_vectors(vectors(spark, rows)).collect()}
+    assert got == want
+
+
 def test_bit_groups_meet_the_recall():
     for n in (10, 50_000, 10 ** 9):
         bits, groups = rotations.bit_groups(n, 0.9, 0.999)
