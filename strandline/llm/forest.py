@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash bands.
 
-Each of many trees sorts the texts by a label of several MinHash values. The prefix that two labels must share is shortened,
-from the whole label on, until a pair at the threshold meets in some tree with the target probability. Texts that meet are
-grouped by their signatures and verified on their whole shingle sets.
+Each of many trees gives a text a label of several MinHash values. All labels are cut to one prefix length, the longest at
+which a pair at the threshold meets in some tree with the target probability; it is not adapted to single texts as in a
+sorted LSH forest. Texts that meet are grouped by their signatures and verified on their whole shingle sets.
 
 Texts with the same shingle set are one class and are compared once, as a class.
 """
