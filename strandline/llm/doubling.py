@@ -1,7 +1,7 @@
-"""Substring de-duplication by level-wise doubling over windows of words.
+"""Substring de-duplication by one doubling of windows of words.
 
-Level one: runs of half-length windows chosen by content (see anchors) that occur in two documents survive. Level two: only
-survivors are extended to twice the length, the sought windows. Where all occurrences of a survivor have equal
+Runs of half-length windows chosen by content (see anchors) that occur in two documents survive. Only survivors are extended
+to twice the length, the sought windows; there are no further levels. Where all occurrences of a survivor have equal
 surroundings, its windows are settled together; the others are cut out one by one, named by the hashes of their two halves,
 and compared. With the sought length no candidate is left.
 """
