@@ -21,7 +21,7 @@ _LATIN_END = 0x250  # letters below it are letters in every version of Unicode
 # The byte-level alphabet by its rule: printable bytes stand for themselves, the others for code points from 256 on.
 _PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _OTHER = [b for b in range(256) if b not in _PRINTABLE]
-_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
+ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
@@ -65,7 +65,7 @@ class ChunkEncoder:
             return self._bytes([t.id for t in self.tokenizer.model.tokenize(text)])
         plain = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
         if plain.isalpha() and max(map(ord, plain)) < _LATIN_END:
-            piece = "".join([_ALPHABET[b] for b in plain.encode()])
+            piece = "".join([ALPHABET[b] for b in plain.encode()])
             return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
