@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, doubling, forest, licenses, packing, rotations, suffixes, token_files, toxicity, transducers, warc
+from strandline.llm import decontaminate, doubling, forest, licenses, packing, rotations, suffixes, token_files, toxicity, transducers, warc, whitening
 from strandline.llm.shared import table
 
 
@@ -52,7 +52,12 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return transducers.count_tokens(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_warc, op3_substring_dedup, op4_suffix_dedup, op5_near_vectors, op6_packing, op7_token_files,
     op8_licenses, op9_decontaminate, op10_jaccard_join, op11_token_counts,
+    op12_whitening,
 )}
