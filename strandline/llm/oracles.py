@@ -127,4 +127,26 @@ SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_bas
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES = {"op8_licenses": OP8, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op9_decontaminate": OP9}
+OP13 = """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda c: cast(floor(256 * cast(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label,
+        cast(list_sum(list_transform(list_zip(a.x, r.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM r AS a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.x) = len(r.x)
+), p AS (
+    SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE own = label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, cast(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE s.label <> p.own AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLES = {"op13_hard_negatives": OP13, "op8_licenses": OP8, "op2_warc": OP2, "op3_substring_dedup": OP3, "op4_suffix_dedup": OP4, "op9_decontaminate": OP9}

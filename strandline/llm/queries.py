@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, doubling, forest, licenses, packing, rotations, suffixes, token_files, toxicity, transducers, warc, whitening
+from strandline.llm import (
+    decontaminate, doubling, forest, hyperplanes, licenses, packing, rotations, suffixes, token_files, toxicity, transducers, warc,
+    whitening,
+)
 from strandline.llm.shared import table
 
 
@@ -56,8 +60,14 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh row's label is shifted first, so that labels disagree with the vectors' neighbourhoods."""
+    shifted = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplanes.hard_negatives(table(spark, folder, "embeddings").withColumn("label", shifted))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_warc, op3_substring_dedup, op4_suffix_dedup, op5_near_vectors, op6_packing, op7_token_files,
     op8_licenses, op9_decontaminate, op10_jaccard_join, op11_token_counts,
-    op12_whitening,
+    op12_whitening, op13_hard_negatives,
 )}
