@@ -26,6 +26,11 @@ ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumer
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
+def _lowered(text: str) -> str:
+    """As the tokenizer's normalizer does it: composed, then each character lower-cased by itself."""
+    return "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+
+
 class Generations(dict):
     """A cache whose entries outlive the next turnover only if they were asked for since the last one."""
 
@@ -63,20 +68,25 @@ class ChunkEncoder:
         text = word.decode("utf-8")
         if word.isalpha() and word.islower():
             return self._bytes([t.id for t in self.tokenizer.model.tokenize(text)])
-        plain = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        plain = _lowered(text)
         if plain.isalpha() and max(map(ord, plain)) < _LATIN_END:
             piece = "".join([ALPHABET[b] for b in plain.encode()])
             return self._bytes([t.id for t in self.tokenizer.model.tokenize(piece)])
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
-        """ASCII chunks are lower-cased, as the tokenizer would; a stop after a letter is a piece of its own."""
+        """ASCII chunks are lower-cased, as the tokenizer would; a stop after a Latin letter is a piece of its own.
+
+        The letter is that of the lower-cased text: some capitals leave a mark behind, which a stop joins.
+        """
         if _MARK in chunk:
             return self._word(chunk)
         if chunk.isascii():
             chunk = chunk.lower()
-        if chunk[-1:] in (b".", b",") and chunk[:-1].decode("utf-8")[-1:].isalpha():
-            return self.words[chunk[:-1]] + self.words[chunk[-1:]]
+        if chunk[-1:] in (b".", b","):
+            last = _lowered(chunk[:-1].decode("utf-8"))[-1:]
+            if last.isalpha() and ord(last) < _LATIN_END:
+                return self.words[chunk[:-1]] + self.words[chunk[-1:]]
         return self.words[chunk]
 
     def encode(self, text: str) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Token files, packing and the cached encoder against the tokenizer itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -26,6 +27,16 @@ def test_cached_ids_are_the_tokenizers():
         assert encoder().encode(text).tolist() == ids(text), text
 
 
+def test_random_strings():
+    rng = random.Random(3)
+    parts = ["İ", "ı", "ß", "ẞ", "ǅ", "ſ", "K", "Å", "é", "e\u0301", "\u0307", "\u0301", "中", "ª", "ª", "Ω", "ж", "a", "T", "s", "'", "'s", ".",
+             ",", "..", "-", "1", "٣", " ", "  ", "\n", "\u00a0", "\u0085", "<|", "|>", "ﬁ", "🙂", "\u200d", "ᾼ", "ΑΣ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(100_000)]
+    own, found = encoder(), TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, found) if own.encode(t).tolist() != e.ids] == []
+    assert own.encode("TATİ. x").tolist() == ids("TATİ. x")
+
+
 def test_cache_keeps_what_is_asked_for():
     made = []
     cache = Generations(lambda k: made.append(k) or k, limit=2)
