@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from pathlib import Path
+from typing import BinaryIO
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +74,17 @@ def write_whole(path: str, parts: list[bytes], attempt: int) -> None:
     os.replace(draft, path)
 
 
+@contextmanager
+def drafts(paths: list[str], attempt: int) -> Iterator[list[BinaryIO]]:
+    """Files written piece by piece that take their names only when all are whole, however often a task is tried."""
+    os.makedirs(os.path.dirname(paths[0]), exist_ok=True)
+    names = [f"{path}.{attempt}.{uuid.uuid4().hex}.draft" for path in paths]
+    with ExitStack() as stack:
+        yield [stack.enter_context(open(name, "wb")) for name in names]
+    for name, path in zip(names, paths):
+        os.replace(name, path)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

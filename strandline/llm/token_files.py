@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import mounted, prepare, shared_folder, store, text_or_empty, write_whole
+from strandline.llm.shared import drafts, mounted, prepare, shared_folder, store, text_or_empty
 from strandline.llm.tokens import DEFAULT_TOKENIZER, encoder
 
 NO_ID = -(1 << 63)  # stands for a null doc_id in .doc files
@@ -31,7 +31,8 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
 
     A null text is empty, so its document is the end id alone. Null doc_ids come first; repeated doc_ids are kept, each
     as a document of its own, in the order of their texts' hashes. Other columns are ignored. The folder must be mounted
-    on driver and executors. A task that runs again writes the same files again.
+    on driver and executors. A task that runs again writes the same files again. Ids leave for the files batch by batch, so a task
+    holds one batch however large its shard is; a shard without documents has files but no row in the manifest.
     """
     prepare(docs.sparkSession)
     path = mounted(folder)
@@ -40,26 +41,25 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        enc, parts, ids, ends = encoder(tokenizer), [], [], [0]
+        enc, task = encoder(tokenizer), TaskContext.get()
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            ids.extend(NO_ID if d is None else d for d in batch.column(0).to_pylist())
-            for text in batch.column(1).to_pylist():
-                part = enc.encode(text).tobytes() + end
-                parts.append(part)
-                ends.append(ends[-1] + len(part) // enc.dtype.itemsize)
-        if ids:
-            task = TaskContext.get()
-            os.makedirs(path, exist_ok=True)
-            name = f"{path}/shard-{task.partitionId():06d}"
-            write_whole(f"{name}.bin", parts, task.taskAttemptId())
-            write_whole(f"{name}.off", [np.array(ends, "<u8").tobytes()], task.taskAttemptId())
-            write_whole(f"{name}.doc", [np.array(ids, "<i8").tobytes()], task.taskAttemptId())
+        name, n_docs, n_tokens = f"{path}/shard-{task.partitionId():06d}", 0, 0
+        with drafts([f"{name}.bin", f"{name}.off", f"{name}.doc"], task.taskAttemptId()) as (ids, offsets, keys):
+            for batch in batches:
+                starts = []
+                for text in batch.column(1).to_pylist():
+                    part = enc.encode(text).tobytes() + end
+                    ids.write(part)
+                    starts.append(n_tokens)
+                    n_tokens += len(part) // enc.dtype.itemsize
+                offsets.write(np.array(starts, "<u8").tobytes())
+                keys.write(np.array([NO_ID if d is None else d for d in batch.column(0).to_pylist()], "<i8").tobytes())
+                n_docs += batch.num_rows
+            offsets.write(np.array([n_tokens], "<u8").tobytes())
+        if n_docs:
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([task.partitionId()], pa.int32()), "path": [name],
-                "width": pa.array([enc.dtype.itemsize], pa.int32()), "n_docs": [len(ids)], "n_tokens": [ends[-1]],
+                "width": pa.array([enc.dtype.itemsize], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens],
             })
 
     return store(rows.mapInArrow(write, MANIFEST), "token-manifest")
