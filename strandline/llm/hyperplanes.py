@@ -213,28 +213,53 @@ def _blocks(rows: DataFrame, columns: str, most: int) -> DataFrame:
     return dealt.select("leaf", *names).mapInArrow(pack, f"leaf int, {types}")
 
 
+_VISIT = (
+    "leaf int, class_id array<bigint>, label array<bigint>, x array<binary>, asker array<int>, low array<bigint>, high array<bigint>, "
+    "positive array<bigint>"
+)
+_VISIT_TYPES = pa.schema([
+    ("leaf", pa.int32()), ("class_id", pa.list_(pa.int64())), ("label", pa.list_(pa.int64())), ("x", pa.list_(pa.binary())),
+    ("asker", pa.list_(pa.int32())), ("low", pa.list_(pa.int64())), ("high", pa.list_(pa.int64())), ("positive", pa.list_(pa.int64())),
+])
+
+
 def _visits(queries: DataFrame, tree: Tree, size: int, most: int, own_leaf: bool = False) -> DataFrame:
-    """Blocks of queries (class_id, label, x, low, high, positive) for each leaf they visit, a row a query and window."""
-    names = ["leaf", "class_id", "label", "x", "low", "high", "positive"]
+    """Which queries visit which leaf: neighbouring queries are put together, and one row a leaf and such a block names those of
+    its queries that visit the leaf, with the windows of each (``asker`` is the place of a window's query)."""
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = tree.walk(tree.lifted(matrix(batch.column(3).to_pylist(), size)))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], ["leaf", "class_id", "label", "norm", "x", "windows"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for class_id, label, norm, x, windows in zip(*(c.to_pylist() for c in batch.columns)):
-                row = matrix([x], size)
+        def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            leaves: dict[int, list[int]] = {}
+            for place, (leaf, _, _, norm, x, windows) in enumerate(held):
                 bounds = [(w["low"], w["high"]) for w in windows]
-                if own_leaf:
-                    leaves = tree.walk(tree.lifted(row)).tolist()
-                else:
-                    leaves = tree.visited(tree.asking(row)[0], tree.annuli(norm, bounds)) if bounds else []
-                out += [(leaf, class_id, label, x, w["low"], w["high"], w["positive"]) for leaf in leaves for w in windows]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names)
-
-    rows = queries.select("class_id", "label", "norm", "x", "windows").mapInArrow(
-        visit, "leaf int, class_id bigint, label bigint, x binary, low bigint, high bigint, positive bigint"
+                own = [leaf] if own_leaf else tree.visited(tree.asking(matrix([x], size))[0], tree.annuli(norm, bounds)) if bounds else []
+                for one in own:
+                    leaves.setdefault(one, []).append(place)
+            for leaf, places in sorted(leaves.items()):
+                windows = [(i, w["low"], w["high"], w["positive"]) for i, p in enumerate(places) for w in held[p][5]]
+                columns = [[held[p][c] for p in places] for c in (1, 2, 4)] + [list(c) for c in zip(*windows)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([leaf], pa.int32())] + [pa.array([c], t) for c, t in zip(columns, _VISIT_TYPES.types[1:])], schema=_VISIT_TYPES
+                )
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                if len(held) >= most:
+                    yield from settle(held)
+                    held = []
+        yield from settle(held)
+
+    windows = "array<struct<low:bigint,high:bigint,positive:bigint>>"
+    routed = queries.select("class_id", "label", "norm", "x", "windows").mapInArrow(
+        route, f"leaf int, class_id bigint, label bigint, norm bigint, x binary, windows {windows}"
     )
-    return _blocks(rows, "class_id label x low high positive", most)
+    return routed.repartitionByRange("leaf", "class_id").sortWithinPartitions("leaf").mapInArrow(visit, _VISIT)
 
 
 def _searched(visits: DataFrame, blocks: DataFrame, size: int, same_label: bool, first: int) -> DataFrame:
@@ -242,10 +267,10 @@ def _searched(visits: DataFrame, blocks: DataFrame, size: int, same_label: bool,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                class_id, label, x, low, high, positive, vec_id, row_label, row_x = (c[r].as_py() for c in batch.columns)
-                label, low, high, vec_id = (np.array(c, np.int64) for c in (label, low, high, vec_id))
-                found = inner_products(matrix(x, size), matrix(row_x, size))
-                fits = (label[:, None] == np.array(row_label, np.int64)) == same_label
+                class_id, label, x, *rest, row_x = (c[r].as_py() for c in batch.columns)
+                class_id, label, asker, low, high, positive, vec_id, row_label = (np.array(c, np.int64) for c in (class_id, label, *rest))
+                found = inner_products(matrix(x, size), matrix(row_x, size))[asker]
+                fits = (label[asker][:, None] == row_label) == same_label
                 fits &= (found >= low[:, None]) & (found <= high[:, None])
                 i, j = np.nonzero(fits)
                 order = np.lexsort([vec_id[j], -found[i, j], i])
@@ -253,11 +278,14 @@ def _searched(visits: DataFrame, blocks: DataFrame, size: int, same_label: bool,
                 place = np.arange(len(i)) - np.searchsorted(i, i)
                 i, j = i[place < first], j[place < first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(class_id)[i], pa.int64()), pa.array(np.array(positive)[i], pa.int64()), pa.array(vec_id[j]),
-                     pa.array(found[i, j])], ["class_id", "positive", "vec_id", "score"],
+                    [pa.array(class_id[asker[i]]), pa.array(positive[i]), pa.array(vec_id[j]), pa.array(found[i, j])],
+                    ["class_id", "positive", "vec_id", "score"],
                 )
 
-    pairs = visits.join(blocks, "leaf").select("class_id", "label", "x", "low", "high", "positive", "row_id", "row_label", "row_x")
+    # Sizes of what tasks make are unknown to the planner, so it may not broadcast: both sides are shuffled, hot leaves split.
+    pairs = visits.hint("merge").join(blocks, "leaf").select(
+        "class_id", "label", "x", "asker", "low", "high", "positive", "row_id", "row_label", "row_x"
+    )
     found = pairs.mapInArrow(score, "class_id bigint, positive bigint, vec_id bigint, score bigint")
     return _first(found, ["class_id", "positive"], [F.desc("score"), F.asc("vec_id")], first).drop("rank")
 
