@@ -1,24 +1,27 @@
-"""Suffix-array de-duplication of byte strings with longest-previous-factor arrays.
+"""Suffix-array de-duplication of byte strings, or of strings of words, with longest-previous-factor arrays.
 
 Runs of windows chosen by content (see anchors) bring together, in one task, all places where a window may occur again. Equal
 runs are counted once with their number. Where an anchor has several different runs, one of each is fetched, and their
 windows' suffixes are sorted. In suffix order the nearest neighbours at smaller positions give every suffix the longest
 factor it shares with an earlier one, and those at larger positions the longest shared with a later one.
 
-Positions ascend by doc_id, then by the text's hash, then within the text.
+Positions ascend by doc_id, then by the text's hash, then within the text. Words are runs of anything but ASCII white space; they
+are compared by 64-bit hashes, so white space between them does not count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.anchors import CHUNK, Rolling, marked, runs
+from strandline.llm.anchors import CHUNK, Rolling, marked, mix, runs
 from strandline.llm.shared import prepare, store
 from strandline.llm.spans import gather, keyed, with_spans
 from strandline.llm.tokens import release
@@ -40,22 +43,67 @@ def _tables(seed: int) -> np.ndarray:
 BYTE_HASHES, SECOND_HASHES = _tables(1), _tables(2)
 
 
-def _tokens(text: str, table: np.ndarray = BYTE_HASHES) -> np.ndarray:
-    return table[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+class Bytes:
+    """Texts as sequences of bytes."""
+
+    dtype, size = np.dtype(np.uint8), 1
+
+    def tokens(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+    def hashes(self, tokens: np.ndarray) -> np.ndarray:
+        return BYTE_HASHES[tokens]
+
+    def second(self, tokens: np.ndarray) -> np.ndarray:
+        return SECOND_HASHES[tokens]
+
+    def gone(self, text: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+        """Which bytes of a text lie in spans of tokens."""
+        return marked(len(text), spans)
+
+
+class Words:
+    """Texts as sequences of hashed words."""
+
+    dtype, size = np.dtype("<u8"), 8
+    _word = re.compile(rb"[^\x20\x09-\x0D]+")
+
+    def tokens(self, text: str) -> np.ndarray:
+        found = text.encode("utf-8", "surrogatepass").split()
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+    def hashes(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens
+
+    def second(self, tokens: np.ndarray) -> np.ndarray:
+        return mix(tokens)
+
+    def gone(self, text: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+        """From the first word of a run of marked ones to the next word that stays, or to the end of the last word."""
+        places = [m.span() for m in self._word.finditer(text)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], marked(len(places), spans).astype(np.int8), [0]])))
+        return marked(len(text), [
+            (places[a][0], places[b][0] if b < len(places) else places[-1][1]) for a, b in zip(edges[::2], edges[1::2])
+        ])
+
+
+UNITS = {"bytes": Bytes(), "words": Words()}
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def byte_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def token_runs(rows: DataFrame, length: int, gram: int, unit: str = "bytes") -> DataFrame:
+    kind = UNITS[unit]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for key, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                for base in range(0, len(raw) - length + 1, CHUNK):  # hashes of long texts chunk by chunk
-                    anchor, first, last, shape = runs(BYTE_HASHES[raw[base:base + CHUNK + length - 1]], length, gram)
+                tokens = kind.tokens(text)
+                for base in range(0, len(tokens) - length + 1, CHUNK):  # hashes of long texts chunk by chunk
+                    anchor, first, last, shape = runs(kind.hashes(tokens[base:base + CHUNK + length - 1]), length, gram)
                     fixed = np.full((2, len(anchor)), [[key], [text_hash]], np.int64)
                     parts.append((anchor, *fixed, first + base, last + base, shape))
             if parts:
@@ -83,17 +131,17 @@ def _pairs(rank: np.ndarray, at: np.ndarray | None, ahead: int) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, length: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in the order of the ``length`` bytes from them, and the bytes each shares with the one before it; 0 below floor.
+    """Starts in the order of the ``length`` tokens from them, and the tokens each shares with the one before it; 0 below floor.
 
-    Ranks of prefixes of 8, 16, .. bytes come from those of half the length. length must be at least 8. With floor = length
-    the shorter ranks are not kept.
+    Ranks of prefixes of twice the tokens come from those of half the length; 8 bytes are ranked at once, of which length must be
+    at least one. With floor = length the shorter ranks are not kept.
     """
-    size = len(text)
-    key = np.zeros(size, np.int64)
-    for i in range(8):
-        key <<= 8
+    size, span = len(text), 8 if text.dtype == np.uint8 else 1
+    key = text.astype(np.uint64) if span == 1 else np.zeros(size, np.uint64)
+    for i in range(span if span > 1 else 0):
+        key <<= np.uint64(8)
         key[:max(size - i, 0)] |= text[i:]
-    span, levels = 8, {8: _dense(key.view(np.uint64))}
+    levels = {span: _dense(key)}
     del key
     while span * 2 <= length:
         levels[span * 2] = _dense(_pairs(levels[span], None, span))
@@ -148,10 +196,12 @@ def longest_previous_factors(place: np.ndarray, shared: np.ndarray, floor: int =
     return np.maximum(before, after)
 
 
-def repeated_starts(segments: list[bytes], counts: list[int], length: int, earlier_only: bool) -> list[np.ndarray]:
+def repeated_starts(
+    segments: list[bytes], counts: list[int], length: int, earlier_only: bool, dtype: np.dtype = Bytes.dtype
+) -> list[np.ndarray]:
     """Which of the first ``counts`` windows of each segment occur earlier, or anywhere else. Segments ascend in position."""
-    text = np.frombuffer(b"".join(segments), np.uint8)
-    bases = np.cumsum([0] + [len(s) for s in segments])
+    text = np.frombuffer(b"".join(segments), dtype)
+    bases = np.cumsum([0] + [len(s) // dtype.itemsize for s in segments])
     starts = np.concatenate([np.arange(n) + b for b, n in zip(bases, counts)])
     place, shared = suffix_order(text, starts, length, length)
     again = longest_previous_factors(place, shared, length) >= length
@@ -167,8 +217,8 @@ def _runs_of(flags: np.ndarray) -> list[dict]:
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
 
 
-def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of one occurrence of each wanted run; texts are joined with the list of what is wanted of them."""
+def _fetch(rows: DataFrame, wanted: DataFrame, length: int, kind: Bytes | Words) -> DataFrame:
+    """The tokens of one occurrence of each wanted run; texts are joined with the list of what is wanted of them."""
     lists = wanted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("anchor", "shape", "first", "last", "hot")).alias("runs"))
     texts = rows.join(lists, ["key", "text_hash"]).select("key", "text_hash", "text", "runs")
     out = pa.schema([
@@ -180,9 +230,10 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             parts = []
             for key, text_hash, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode("utf-8", "surrogatepass")
+                tokens = kind.tokens(text)
                 parts += [
-                    (r["anchor"], r["shape"], key, text_hash, r["first"], r["hot"], raw[r["first"]:r["last"] + length]) for r in found
+                    (r["anchor"], r["shape"], key, text_hash, r["first"], r["hot"], tokens[r["first"]:r["last"] + length].tobytes())
+                    for r in found
                 ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), out.types)], schema=out)
 
@@ -191,12 +242,13 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _sorted_places(cut: DataFrame, length: int, earlier_only: bool) -> DataFrame:
+def _sorted_places(cut: DataFrame, length: int, earlier_only: bool, kind: Bytes | Words) -> DataFrame:
     """Suffix sorting: whole anchors, batch by batch of bounded size."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: dict) -> pa.RecordBatch | None:
             rows = sorted(held.items(), key=lambda x: x[1][:3])
-            flags = repeated_starts([r[3] for _, r in rows], [len(r[3]) - length + 1 for _, r in rows], length, earlier_only)
+            counts = [len(r[3]) // kind.size - length + 1 for _, r in rows]
+            flags = repeated_starts([r[3] for _, r in rows], counts, length, earlier_only, kind.dtype)
             found = [(a, s, _runs_of(f)) for ((a, s), _), f in zip(rows, flags) if f.any()]
             if not found:
                 return None
@@ -224,15 +276,15 @@ def _sorted_places(cut: DataFrame, length: int, earlier_only: bool) -> DataFrame
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(search, _FOUND)
 
 
-def _counted_places(cut: DataFrame, length: int, earlier_only: bool) -> DataFrame:
+def _counted_places(cut: DataFrame, length: int, earlier_only: bool, kind: Bytes | Words) -> DataFrame:
     """The same for anchors with too many different runs for one task: windows meet by their 128-bit hashes in a shuffle."""
     names = ("anchor", "shape", "key", "text_hash", "first", "off", "left", "right")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, shape, key, text_hash, first, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                code = np.frombuffer(raw, np.uint8)
-                left, right = Rolling(BYTE_HASHES[code]).every(length), Rolling(SECOND_HASHES[code]).every(length)
+                code = np.frombuffer(raw, kind.dtype)
+                left, right = Rolling(kind.hashes(code)).every(length), Rolling(kind.second(code)).every(length)
                 fixed = np.full((5, len(left)), [[anchor], [shape], [key], [text_hash], [first]], np.int64)
                 yield pa.RecordBatch.from_arrays([_signed(c) for c in (*fixed, np.arange(len(left)), left, right)], list(names))
 
@@ -248,30 +300,30 @@ def _counted_places(cut: DataFrame, length: int, earlier_only: bool) -> DataFram
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = True, group_bytes: int = GROUP_BYTES
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = True, group_bytes: int = GROUP_BYTES, unit: str = "bytes"
 ) -> DataFrame:
-    """Byte spans covered by strings of ``length`` bytes that also start earlier (or anywhere else, without keep_first).
+    """Spans covered by strings of ``length`` bytes (or words) that also start earlier (or anywhere else, without keep_first).
 
     The lists of places of a run are bounded by its windows. Rows equal in doc_id and text share one position: without
     keep_first each repeats the other, with it both keep what is first in one of them.
     """
     prepare(docs.sparkSession)
-    rows = keyed(docs)
-    level = store(byte_runs(rows, length, gram), "byte-runs")
+    kind, rows = UNITS[unit], keyed(docs)
+    level = store(token_runs(rows, length, gram, unit), "token-runs")
     twice = level.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), (F.min("shape") == F.max("shape")).alias("alike")
     ).where("n > 1").drop("n")
     twice = store(twice, "repeated-anchors")  # a table of its own, so the join can split an anchor that many runs share
-    live = store(level.join(twice, "anchor"), "live-byte-runs")
+    live = store(level.join(twice, "anchor"), "live-token-runs")
     place = F.struct("key", "text_hash", "first", "last")
     kinds = live.groupBy("anchor", "shape", "alike").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("earliest"))
     kinds = store(kinds, "run-kinds")
 
     several = kinds.where(~F.col("alike")).select("anchor", "shape", "earliest.*")
-    crowded = several.groupBy("anchor").agg(F.sum(F.col("last") - F.col("first") + length).alias("size")).where(F.col("size") > group_bytes)
+    crowded = several.groupBy("anchor").agg(F.sum((F.col("last") - F.col("first") + length) * kind.size).alias("size")).where(F.col("size") > group_bytes)
     several = several.join(crowded.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    cut = store(_fetch(rows, several, length), "cut-runs")
-    found = _sorted_places(cut, length, keep_first).unionByName(_counted_places(cut, length, keep_first))
+    cut = store(_fetch(rows, several, length, kind), "cut-runs")
+    found = _sorted_places(cut, length, keep_first, kind).unionByName(_counted_places(cut, length, keep_first, kind))
     known = store(kinds.join(found, ["anchor", "shape"], "left"), "run-places")
 
     first = F.col("earliest.first") == F.col("first")
@@ -309,16 +361,22 @@ def suffix_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     return found.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "text", "spans").mapInArrow(digest, DIGESTS)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
     """docs with the later copies cut out of their texts, the first kept; all other columns stay, null texts stay null.
 
-    A character of which a span takes some bytes goes whole. A text that is all copies becomes empty.
+    A character of which a span takes some bytes goes whole; words go with the white space up to the next word that stays. A text
+    that is all copies becomes empty (or keeps the white space at its ends). Rows that repeat, null doc_ids included, are
+    documents like others; rows equal in doc_id and text share one position and lose nothing to each other. An empty table stays
+    empty.
     """
+    kind = UNITS[unit]
+
     @F.udf("string", useArrow=True)
     def kept(text: str, spans: list) -> str:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        return raw[~marked(len(raw), [(s["first"], s["end"]) for s in spans])].tobytes().decode("utf-8", "ignore")
+        raw = text.encode("utf-8", "surrogatepass")
+        gone = kind.gone(raw, [(s["first"], s["end"]) for s in spans])
+        return np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
-    found = with_spans(docs, repeated_spans(docs, length, gram, keep_first=True))
+    found = with_spans(docs, repeated_spans(docs, length, gram, keep_first=True, unit=unit))
     text = F.when(F.size("spans") > 0, kept("text", "spans")).otherwise(F.col("row.text"))
     return found.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from strandline.llm import packing
 from tests.llm.test_joins import brute_jaccard
+from tests.llm.test_repeats import cut_later_words
 from tests.llm.test_text_scans import brute_leaks
 from tests.llm.test_tokens import check_packing
 
@@ -42,18 +43,6 @@ def corpus():
     return [(d, " ".join(w)) for d, w in docs] + [(at, ""), (at + 1, None)], toxic, items
 
 
-def first_copies(rows, length):
-    seen, out = set(), []
-    for d, text in sorted(rows, key=lambda r: r[0]):
-        raw, gone = (text or "").encode(), set()
-        for i in range(len(raw) - length + 1):
-            if raw[i:i + length] in seen:
-                gone.update(range(i, i + length))
-        seen.update(raw[i:i + length] for i in range(len(raw) - length + 1))
-        out.append((d, None if text is None else bytes(b for i, b in enumerate(raw) if i not in gone).decode()))
-    return out
-
-
 def test_pipeline_against_hand_made_stages(spark, tmp_path):
     rows, toxic, items = corpus()
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
@@ -65,7 +54,7 @@ def test_pipeline_against_hand_made_stages(spark, tmp_path):
     kept = {"toxicity": [r for r in rows if r[0] not in toxic]}
     drop = {r[0] for r in brute_jaccard(kept["toxicity"]) if not r[5]}
     kept["ngram_jaccard_join"] = [r for r in kept["toxicity"] if r[0] not in drop]
-    kept["suffix_array_dedup"] = first_copies(kept["ngram_jaccard_join"], 400)
+    kept["suffix_array_dedup"] = cut_later_words(kept["ngram_jaccard_join"], 50)
     leaks = {r[0] for r in brute_leaks(kept["suffix_array_dedup"], items, 10) if r[5]}
     kept["benchmark_decontamination"] = [r for r in kept["suffix_array_dedup"] if r[0] not in leaks]
     assert drop and leaks and kept["suffix_array_dedup"] != kept["ngram_jaccard_join"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -91,6 +92,48 @@ def test_first_copy_stays(documents, group_bytes):
         assert {x for s in spans.get(d, []) for x in range(s.first, s.end)} == gone
 
 
+def cut_later_words(rows, length):
+    """Texts in order of doc_id without the words of windows that start earlier; they take the white space behind them along."""
+    seen, out = set(), []
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        words, gone = [raw[a:b] for a, b in places], set()
+        for i in range(len(words) - length + 1):
+            if tuple(words[i:i + length]) in seen:
+                gone.update(range(i, i + length))
+            seen.add(tuple(words[i:i + length]))
+        cut = set()
+        for i in gone:
+            cut.update(range(places[i][0], places[i + 1][0] if i + 1 < len(places) else places[i][1]))
+        out.append((d, None if text is None else bytes(b for i, b in enumerate(raw) if i not in cut).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("glue", [" ", "\n  "])
+def test_later_copies_of_word_strings(documents, glue):
+    rng = random.Random(6)
+    part = [rng.choice("abcdé") for _ in range(40)]
+    rows = [(i, glue.join([rng.choice("abcdé") for _ in range(20)] + part[rng.randrange(9):] + ["z"] * (i % 20)) + " \n" * (i % 2)) for i in range(30)]
+    rows += [(100, None), (101, ""), (102, "a b"), (103, glue.join(part)), (104, glue.join(part * 3))]
+    got = suffixes.without_repeats(documents(rows), 12, 4, unit="words")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == cut_later_words(rows, 12)
+    assert suffixes.without_repeats(documents([]), 12, 4, unit="words").count() == 0
+
+
+def test_word_windows_of_one_anchor_counted_by_a_shuffle(documents):
+    rows = [(i, " ".join(["a"] * (15 + i) + [str(i)])) for i in range(12)]
+    spans = {r.key: r.spans for r in suffixes.repeated_spans(documents(rows), 8, 3, True, 0, "words").collect()}
+    seen = set()
+    for d, text in rows:
+        words, gone = text.split(), set()
+        for i in range(len(words) - 7):
+            if tuple(words[i:i + 8]) in seen:
+                gone.update(range(i, i + 8))
+            seen.add(tuple(words[i:i + 8]))
+        assert {x for s in spans.get(d, []) for x in range(s.first, s.end)} == gone
+
+
 def test_cut_texts_keep_columns_and_characters(odd):
     out = suffixes.without_repeats(odd)
     assert out.columns == odd.columns
@@ -117,6 +160,15 @@ def test_previous_factors_against_brute_force():
             assert got[i] == best
 
 
+def test_word_suffixes_sort_like_tuples():
+    text = np.random.default_rng(3).integers(0, 3, 90).astype("<u8") << np.uint64(61)
+    starts = np.arange(70)
+    place, shared = suffixes.suffix_order(text, starts, 20)
+    words = [tuple(text[i:i + 20].tolist()) for i in place]
+    assert words == sorted(words)
+    assert shared[1:].tolist() == [next((k for k in range(20) if a[k] != b[k]), 20) for a, b in zip(words, words[1:])]
+
+
 def test_anchors_depend_on_content_alone():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 1 << 63, 60).astype(np.uint64)
