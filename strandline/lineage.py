@@ -51,6 +51,7 @@ ORIGINS = (
     Origin("ekf_solution_status", "XKF4", "SS", "bitmask"),
     Origin("ekf_fault_status", "XKF4", "FS", "bitmask"),
 )
+FRAME, RESIDUAL_SIGN = "ENU", "d = a_actual - a_target"  # Fixed values: what a release has to claim.
 STAND_IN = "XKF1"  # Fixed value: the message of all stand-ins.
 MOTORS = ("motor1", "motor2", "motor3", "motor4")
 

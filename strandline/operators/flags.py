@@ -86,8 +86,8 @@ def jumps(
 
 
 def dataset_flags(df: DataFrame, policy: ExtractPolicy, keys=("log_id", "flight_id", "continuity_id")) -> DataFrame:
-    """All validator flags and their union."""
-    flagged = jumps(physical_flags(df, policy), list(keys), magnitude(policy.velocity), magnitude(policy.acceleration),
+    """All validator flags and their union; flags of these names that the table brings along are judged anew."""
+    flagged = jumps(physical_flags(df.drop(*FLAG_COLUMNS), policy), list(keys), magnitude(policy.velocity), magnitude(policy.acceleration),
                     policy.maximum_yaw_rate_rad_s)
     return flagged.withColumn("flagged", any_of([F.col(c) for c in FLAG_COLUMNS]))
 

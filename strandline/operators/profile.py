@@ -176,6 +176,13 @@ def step_counts(rows: DataFrame, keys, index: str = "record_index") -> DataFrame
     return steps.groupBy(*keys, (F.col("time_us") - F.col("before.time_us")).alias("dt")).agg(F.count(F.lit(1)).alias("_c"))
 
 
+def backward_steps(rows: DataFrame, keys=("log_id", "message", "instance")) -> DataFrame:
+    """Steps back in time of every clock, from the number of times each step occurs; missing instances are one clock."""
+    keys = list(keys)
+    back = F.coalesce(F.sum(F.when(F.col("dt") < 0, F.col("_c"))), F.lit(0)).cast("bigint")
+    return step_counts(rows, keys).groupBy(*keys).agg(back.alias("backwards"))
+
+
 def _limits(steps: DataFrame, keys, policy: RatePolicy) -> DataFrame:
     """Median positive step and gap threshold of counted steps (keys, dt, ``_c``)."""
     positive = steps.where("dt > 0").select(*keys, F.col("dt").cast("double").alias("_x"), "_c")

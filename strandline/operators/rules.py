@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from strandline.config import NUMERIC_COLUMNS, REQUIRED_COLUMNS, SOURCES, STATE_COLUMNS, ExtractPolicy
 from strandline.functions.numeric import all_of, any_of, finite, number, text_flag
-from strandline.lineage import DIRECT, MOTORS, STAND_IN, STATES
+from strandline.lineage import DIRECT, FRAME, MOTORS, RESIDUAL_SIGN, STAND_IN, STATES
 from strandline.operators.ordered import Scan, rank_chunk
+from strandline.operators.profile import attach, counted_percentiles, step_counts
 
 VIOLATION = ("log_id", "rule", "scope", "n_bad", "example")
 AGE_SLACK_MS, TIME_SLACK_US, AGREE_MS = 1e-6, 1e-3, 1e-5  # Fixed values: tolerances of the age rules.
@@ -109,6 +110,15 @@ def sampling(df: DataFrame, keys=("log_id", "flight_id"), index: str = "row_seq"
     )
 
 
+def sampling_report(df: DataFrame, keys=("log_id", "flight_id"), index: str = "row_seq", rate_hz: float = 10.0) -> DataFrame:
+    """``sampling`` with the flight's first place in the table and the median step, which comes out of counted steps."""
+    keys = list(keys)
+    steps = step_counts(df, keys, index).where("dt is not null").select(*keys, F.col("dt").cast("double").alias("_x"), "_c")
+    first = df.groupBy(*keys).agg(F.min(index).cast("bigint").alias("first_seq"))
+    out = attach(sampling(df, keys, index, rate_hz), counted_percentiles(steps, keys, {"median_dt_us": 0.5}), keys)
+    return attach(out, first, keys)
+
+
 def monotonic(sampled: DataFrame) -> DataFrame:
     return _report(sampled.where("n_not_rising > 0"), "strictly_increasing", F.col("flight_id").cast("string"), "n_not_rising",
                    F.col("min_dt_us"))
@@ -142,6 +152,15 @@ def frame_rules(lineage: DataFrame) -> DataFrame:
         _report(unit, "output_unit", F.col("column"), F.lit(1), F.col("output_unit")))
 
 
+def claim_rules(manifest: DataFrame) -> DataFrame:
+    """Releases whose manifest does not claim the output frame, or the sign of residuals, that the columns are defined in."""
+    claims = (("coordinate_frame", FRAME), ("residual_sign", RESIDUAL_SIGN))
+    parts = [
+        _report(manifest.where(~F.col(c).eqNullSafe(F.lit(wanted))), c, "manifest", F.lit(1), F.col(c)) for c, wanted in claims
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def mixed_units(lineage: DataFrame) -> DataFrame:
     """Columns whose unit or frame differs between logs of the fleet."""
     kinds = lineage.select("column", "input_unit", "output_unit", "output_frame").distinct()
@@ -182,23 +201,28 @@ def age_rules(source: str, used: Column, hold_ms: float, scope: str) -> list[tup
 def used_sources(df: DataFrame) -> dict[str, Column]:
     """Which rows draw on which source: it feeds a column that has a value, or a state names it in its label.
 
-    Without labels a state may come from its stand-in.
+    Without labels a state may come from its stand-in. A column ``valid_<source>`` marks rows that use the source besides.
     """
     labels = [f"source_{o.column}" for o in STATES if f"source_{o.column}" in df.columns]
     fed = {s: [o.column for o in DIRECT if o.message == s] for s in SOURCES}
     fed["RCOU"] = [*MOTORS, *[c for c in df.columns if c.startswith("rcou_c")]]
     if not labels:
         fed[STAND_IN] = fed[STAND_IN] + [o.column for o in STATES]
+    flag = lambda s: any_of([F.coalesce(text_flag(F.col(c)), F.lit(False)) for c in (f"valid_{s.lower()}",) if c in df.columns])
     return {
         source.lower(): any_of([F.col(c).isNotNull() for c in columns if c in df.columns])
-        | any_of([F.upper(F.col(c)).startswith(source) for c in labels])
+        | any_of([F.upper(F.col(c)).startswith(source) for c in labels]) | flag(source)
         for source, columns in fed.items()
     }
 
 
-def provenance_rules(df: DataFrame, policy: ExtractPolicy, continuity=("continuity_start_us", "continuity_end_us")) -> list:
-    """Age, time and interval rules for every source whose signals are used. Rows carry ``flight_start_us``
-    and ``flight_end_us`` where known."""
+# Families of intervals that a used source time has to lie in, by the columns that hold their ends.
+INTERVALS = {f: (f"{f}_start_us", f"{f}_end_us") for f in ("flight", "continuity", "boundary")}
+
+
+def provenance_rules(df: DataFrame, policy: ExtractPolicy, intervals: dict[str, tuple[str, str]] = INTERVALS) -> list:
+    """Age, time and interval rules for every source whose signals are used. Rows carry the ends of the families of intervals
+    that are known; each is judged by itself, all in the one pass of the row rules."""
     rules = []
     for source, used in used_sources(df).items():
         if f"age_{source}_ms" not in df.columns or f"source_time_{source}_us" not in df.columns:
@@ -207,7 +231,7 @@ def provenance_rules(df: DataFrame, policy: ExtractPolicy, continuity=("continui
         rules += [(f"used_{rule}", scope, bad, example) for rule, scope, bad, example in
                   age_rules(source, used, policy.hold_ms(source.upper()), source)]
         at = F.col(f"source_time_{source}_us")
-        for name, (start, end) in {"flight": ("flight_start_us", "flight_end_us"), "continuity": continuity}.items():
+        for name, (start, end) in intervals.items():
             if start in df.columns and end in df.columns:
                 out = (at < F.col(start) - TIME_SLACK_US) | (at >= F.col(end))
                 rules.append((f"source_outside_{name}", source, used & F.coalesce(out, F.lit(False)), at))
@@ -261,10 +285,14 @@ def membership(split: DataFrame, dataset: DataFrame, keys=("log_id", "flight_id"
 
 def reconcile(split: DataFrame, dataset: DataFrame, values, flags, keys=("log_id", "flight_id", "time_us"),
               atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:
-    """Split rows whose values or flags differ from the dataset row with the same key."""
+    """Split rows whose values or flags differ from the dataset row with the same key. A flag that the split lacks is reported
+    for all its rows."""
     other = dataset.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in [*values, *flags]])
     rows = split.join(other, list(keys), "left")
-    checks = [("split_value", c, differs(F.col(c), F.col(f"_o_{c}"), atol, rtol), F.col(keys[-1])) for c in values]
+    lost = [c for c in flags if c not in split.columns]
+    checks = [("split_flag_missing", c, F.lit(True), F.lit(None)) for c in lost]
+    flags = [c for c in flags if c not in lost]
+    checks += [("split_value", c, differs(F.col(c), F.col(f"_o_{c}"), atol, rtol), F.col(keys[-1])) for c in values]
     as_flag = lambda c: F.coalesce(text_flag(F.col(c)), F.lit(False))
     checks += [("split_flag", c, as_flag(c) != as_flag(f"_o_{c}"), F.col(keys[-1])) for c in flags]
     return row_rules(rows, checks)

@@ -22,6 +22,7 @@ def find_violations(
     lineage: DataFrame | None = None,
     expected_digests: DataFrame | None = None,
     actual_digests: DataFrame | None = None,
+    manifest: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """All violations, and the table with typed columns and recomputed eligibility.
 
@@ -46,8 +47,10 @@ def find_violations(
         missing, bad_cells, ru.presence(typed, segments.select("log_id").distinct()), ru.duplicates(typed), ru.monotonic(ru.sampling(typed, rate_hz=policy.master_rate_hz)),
         ru.flight_boundaries(typed, segments), ru.row_rules(located, rules + eligibility), ru.split_rules(split), ru.membership(split, typed),
         ru.reconcile(split, typed, [c for c in NUMERIC_COLUMNS if c != "time_s" and c in split.columns],
-                     [c for c in typed.columns if c.startswith(("valid_d", "eligible_d")) and c in split.columns]),
+                     [c for c in typed.columns if c.startswith(("valid_d", "eligible_d"))]),
     ]
+    if manifest is not None:
+        parts.append(ru.claim_rules(manifest))
     if recorded_counts is not None:
         parts.append(dg.reconcile_counts(recorded_counts, dg.manifest_counts(checked), [f"valid_d{a}" for a in "xyz"]))
     if lineage is not None:
@@ -75,7 +78,7 @@ def validate_dataset(
     fit_split, _ = ru.with_eligibility(split, policy)
     return {
         "violations": found,
-        "sampling": ru.sampling(checked, rate_hz=policy.master_rate_hz),
+        "sampling": ru.sampling_report(checked, rate_hz=policy.master_rate_hz),
         "counts": counts,
         "column_stats": stats,
         "constant_columns": stats.where(F.col("constant") & F.col("field").isin(*STATE_COLUMNS)),
