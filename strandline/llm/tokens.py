@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -57,11 +58,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"  # array's name of the type; both are little-endian here
         self.words = Generations(self._word)
         self.chunks = Generations(self._chunk)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.kind, ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         """Latin letters are one piece, which the model takes in the byte-level alphabet; all else takes the whole tokenizer."""
