@@ -88,29 +88,29 @@ def percentile_name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
+def moments(x: Column) -> list[Column]:
+    """Aggregates of the finite values: one pass with partial results in every task; the spread is merged about means."""
+    return [
+        F.count(x).alias("finite_count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
+        (F.max(x) - F.min(x)).alias("range"),
+    ]
+
+
 def distribution(df: DataFrame, keys, value: str, percentiles=(95, 99)) -> DataFrame:
     """finite_count, min, max, median, mean, population std, range and percentiles of the finite values.
 
-    Groups without a finite value keep a row with a zero count.
+    Groups without a finite value keep a row with a zero count. The rows are read twice: for the moments, and for the counts of
+    equal values that the percentiles come from.
     """
     keys = list(keys)
-    rows = df.select(*keys, clean(F.col(value)).cast("double").alias("_x")).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    return counted_distribution(rows, keys, percentiles)
+    rows = df.select(*keys, clean(F.col(value)).cast("double").alias("_x"))
+    return with_percentiles(rows.groupBy(*keys).agg(*moments(F.col("_x"))), counted(rows, keys, "_x"), keys, percentiles)
 
 
-def counted_distribution(rows: DataFrame, keys, percentiles=(95, 99)) -> DataFrame:
-    """The same of counted values (keys, ``_x``, ``_c``); missing values only keep their group."""
-    x, c = F.col("_x"), F.when(F.col("_x").isNotNull(), F.col("_c"))
-    total = F.sum(c)
-    center = rows.groupBy(*keys).agg(
-        F.coalesce(total, F.lit(0)).cast("bigint").alias("finite_count"), F.min(x).alias("min"), F.max(x).alias("max"),
-        (F.sum(x * c) / total).alias("mean"), (F.max(x) - F.min(x)).alias("range"),
-    )
-    apart = attach(rows, center.select(*keys, "mean"), keys)
-    spread = apart.groupBy(*keys).agg(F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * c) / total).alias("std"))
+def with_percentiles(stats: DataFrame, counts: DataFrame, keys, percentiles) -> DataFrame:
+    """Median and percentiles of counted values (keys, ``_x``, ``_c``) beside other statistics of the groups: one join."""
     points = {"median": 0.5, **{percentile_name(p): p / 100 for p in percentiles}}
-    stats = attach(center, spread, keys).select(*keys, "finite_count", "min", "max", "mean", "std", "range")
-    return attach(stats, counted_percentiles(rows.where("_x is not null"), keys, points), keys)
+    return attach(stats, counted_percentiles(counts, keys, points), keys)
 
 
 def message_counts(rows: DataFrame) -> DataFrame:
@@ -130,23 +130,22 @@ def inventory(values: DataFrame, percentiles=(1, 95, 99)) -> DataFrame:
     counts.
     """
     base = ["log_id", "message", "field"]
-    held = values.select(
-        *base, F.col("instance").cast("string").alias("instance"), F.col("value").cast("string").alias("value")
-    ).groupBy(*base, "instance", "value").agg(F.count(F.lit(1)).alias("_c"))
-    several = held.where("instance is not null").select(F.col("log_id").alias("_l"), F.col("message").alias("_m")).distinct()
-    whole = held.groupBy(*base, "value").agg(F.sum("_c").alias("_c")).withColumn("instance", F.lit(None).cast("string"))
-    each = held.join(several, (F.col("log_id") == F.col("_l")) & (F.col("message") == F.col("_m")), "left_semi")
-    rows = whole.withColumn("inventory_scope", F.lit("message")).unionByName(each.withColumn("inventory_scope", F.lit("instance")))
     keys = [*base, "inventory_scope", "instance"]
+    # Every row counts in its message and in its instance; both leave a task as partial results.
+    nobody = F.lit(None).cast("string")
+    scopes = F.explode(F.array(
+        F.struct(F.lit("message").alias("inventory_scope"), nobody.alias("instance")),
+        F.struct(F.lit("instance").alias("inventory_scope"), F.col("instance").cast("string").alias("instance")),
+    )).alias("_s")
+    rows = values.select(*base, F.col("value").cast("string").alias("value"), scopes).select(*base, "_s.*", "value")
     num = F.col("value").try_cast("double")
-    number = lambda on: F.coalesce(F.sum(F.when(on, F.col("_c"))), F.lit(0)).cast("bigint")
     classes = rows.groupBy(*keys).agg(
-        F.sum("_c").cast("bigint").alias("sample_count"), number(finite(num)).alias("finite_count"),
-        number(F.col("value").isNull() | (num.isNotNull() & ~finite(num))).alias("invalid_count"),
-        number(F.col("value").isNotNull() & num.isNull()).alias("nonnumeric_count"),
+        F.count(F.lit(1)).alias("sample_count"), F.count_if(F.col("value").isNull() | (num.isNotNull() & ~finite(num))).alias("invalid_count"),
+        F.count_if(F.col("value").isNotNull() & num.isNull()).alias("nonnumeric_count"), *moments(clean(num)),
     )
-    numbers = rows.select(*keys, clean(num).alias("_x"), "_c").where("_x is not null").groupBy(*keys, "_x").agg(F.sum("_c").alias("_c"))
-    return attach(classes, counted_distribution(numbers, keys, percentiles).drop("finite_count"), keys)
+    named = F.max((F.col("inventory_scope") == "instance") & F.col("instance").isNotNull()).over(Window.partitionBy("log_id", "message"))
+    shown = classes.withColumn("_several", named).where((F.col("inventory_scope") == "message") | F.col("_several")).drop("_several")
+    return with_percentiles(shown, counted(rows.select(*keys, clean(num).alias("_x")), keys, "_x"), keys, percentiles)
 
 
 def with_canonical(stats: DataFrame, catalog: DataFrame, names=("min", "max", "median", "mean", "std", "range", "p1", "p95", "p99")) -> DataFrame:
@@ -159,14 +158,12 @@ def with_canonical(stats: DataFrame, catalog: DataFrame, names=("min", "max", "m
 
 def column_stats(table: DataFrame, columns, keys=(), percentiles=(1, 99), epsilon: float = 1e-3) -> DataFrame:
     """Statistics, missing share and constancy of every numeric column (per key where given)."""
-    ids = list(keys)
-    group = [*ids, "field"]
-    counts = long_fields(table, ids, columns).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_c"))
-    stats = counted_distribution(counts.select(*group, clean(F.col("value")).alias("_x"), "_c"), group, percentiles)
-    absent = F.coalesce(F.sum(F.when(F.col("value").isNull() | F.isnan("value"), F.col("_c"))), F.lit(0))
-    missing = counts.groupBy(*group).agg((absent / F.sum("_c") * 100).alias("missing_pct"))
-    joined = attach(stats, missing, group)
-    return joined.withColumn("constant", F.coalesce((F.col("finite_count") > 0) & (F.col("range") < F.lit(epsilon)), F.lit(False)))
+    group = [*keys, "field"]
+    rows = long_fields(table, list(keys), columns).withColumn("_x", clean(F.col("value")))
+    absent = F.col("value").isNull() | F.isnan("value")
+    stats = rows.groupBy(*group).agg(*moments(F.col("_x")), (F.count_if(absent) / F.count(F.lit(1)) * 100).alias("missing_pct"))
+    out = with_percentiles(stats, counted(rows, group, "_x"), group, percentiles)
+    return out.withColumn("constant", F.coalesce((F.col("finite_count") > 0) & (F.col("range") < F.lit(epsilon)), F.lit(False)))
 
 
 def step_counts(rows: DataFrame, keys, index: str = "record_index") -> DataFrame:
@@ -183,33 +180,32 @@ def backward_steps(rows: DataFrame, keys=("log_id", "message", "instance")) -> D
     return step_counts(rows, keys).groupBy(*keys).agg(back.alias("backwards"))
 
 
-def _limits(steps: DataFrame, keys, policy: RatePolicy) -> DataFrame:
-    """Median positive step and gap threshold of counted steps (keys, dt, ``_c``)."""
+def _judged(steps: DataFrame, keys, policy: RatePolicy) -> DataFrame:
+    """Counted steps (keys, dt, ``_c``) with their group's median positive step and gap threshold."""
     positive = steps.where("dt > 0").select(*keys, F.col("dt").cast("double").alias("_x"), "_c")
     floor = F.lit(policy.absolute_gap_threshold_s * 1e6)
     limit = F.greatest(floor, F.lit(policy.gap_multiplier) * F.col("median_dt_us"))
     medians = counted_percentiles(positive, keys, {"median_dt_us": 0.5})
-    return attach(steps.select(*keys).distinct(), medians, keys).withColumn("threshold_us", F.coalesce(limit, floor))
+    return attach(steps, medians, keys).withColumn("threshold_us", F.coalesce(limit, floor))
 
 
 def gap_thresholds(steps: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> DataFrame:
     """Median positive step and gap threshold per group of rows with a step ``dt``."""
-    return _limits(steps.groupBy(*keys, "dt").agg(F.count(F.lit(1)).alias("_c")), keys, policy)
+    counts = steps.groupBy(*keys, "dt").agg(F.count(F.lit(1)).alias("_c"))
+    return _judged(counts, keys, policy).select(*keys, "median_dt_us", "threshold_us").distinct()
 
 
-def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> DataFrame:
+def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy(), more: list[Column] | None = None) -> DataFrame:
     """Counts, span, rates, gaps and clock faults per group, in seconds and hertz. All but the first and last time follow
-    from the number of times each step occurs."""
-    keys = list(keys)
+    from the number of times each step occurs. ``more`` are further aggregates of the group's rows."""
+    keys, more = list(keys), more or []
     timed = F.col("time_us").isNotNull()
     counts = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count("time_us").alias("timestamped"),
         F.min_by("time_us", F.when(timed, F.col("record_index"))).alias("first_us"),
-        F.max_by("time_us", F.when(timed, F.col("record_index"))).alias("last_us"),
+        F.max_by("time_us", F.when(timed, F.col("record_index"))).alias("last_us"), *more,
     )
-    steps = step_counts(rows, keys)
-    limits = _limits(steps, keys, policy)
-    judged = attach(steps, limits.select(*keys, "threshold_us"), keys)
+    judged = _judged(step_counts(rows, keys), keys, policy)
     dt, c = F.col("dt"), F.col("_c")
     within = (dt > 0) & (dt <= F.col("threshold_us"))
     number = lambda on: F.coalesce(F.sum(F.when(on, c)), F.lit(0)).cast("bigint")
@@ -218,8 +214,9 @@ def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> Da
         number(dt < 0).alias("backwards"), number(within).alias("active_steps"),
         F.coalesce(F.sum(F.when(within, dt * c)), F.lit(0)).alias("active_us"),
         (number((dt < 0) | (dt > F.col("threshold_us"))) + 1).alias("active_windows"),
+        F.max("median_dt_us").alias("median_dt_us"), F.max("threshold_us").alias("threshold_us"),
     )
-    out = attach(attach(counts, limits, keys), active, keys)
+    out = attach(counts, active, keys)
     span = seconds(F.col("last_us") - F.col("first_us"))
     return out.select(
         *keys, "n",
@@ -237,6 +234,7 @@ def timing_stats(rows: DataFrame, keys, policy: RatePolicy = RatePolicy()) -> Da
         seconds(F.col("max_dt_us")).alias("max_dt_s"),
         F.coalesce("duplicates", F.lit(0)).alias("duplicates"),
         F.coalesce("backwards", F.lit(0)).alias("backwards"),
+        *[c for c in counts.columns if c.startswith("_")],
     )
 
 
@@ -250,15 +248,12 @@ MIXED_NULLS = (
 def message_timing(rows: DataFrame, policy: RatePolicy = RatePolicy()) -> DataFrame:
     """Timing per message; rate measures are withheld where a message mixes instances. Missing instances beside others are
     one more group."""
-    keys = ["log_id", "message"]
-    stats = timing_stats(rows, keys, policy)
-    missing = F.max((F.col("instance").isNull()).cast("int"))
-    kinds = rows.groupBy(*keys).agg((F.count_distinct("instance") + missing).alias("_instances"))
-    joined = stats.join(kinds, keys)
-    mixed = F.col("_instances") > 1
-    scope = F.when(mixed, F.lit("mixed_instances_count_only")).otherwise(F.lit("message"))
-    kept = [F.when(~mixed, F.col(c)).alias(c) if c in MIXED_NULLS else F.col(c) for c in stats.columns]
-    return joined.select(*kept, scope.alias("rate_scope"))
+    who = F.col("instance")
+    several = (F.min(who) != F.max(who)) | (F.max(who.isNull()) & F.max(who.isNotNull()))
+    stats = timing_stats(rows, ["log_id", "message"], policy, [F.coalesce(several, F.lit(False)).alias("_mixed")])
+    scope = F.when(F.col("_mixed"), F.lit("mixed_instances_count_only")).otherwise(F.lit("message"))
+    kept = [F.when(~F.col("_mixed"), F.col(c)).alias(c) if c in MIXED_NULLS else F.col(c) for c in stats.columns if c != "_mixed"]
+    return stats.select(*kept, scope.alias("rate_scope"))
 
 
 def instance_timing(rows: DataFrame, policy: RatePolicy = RatePolicy()) -> DataFrame:
