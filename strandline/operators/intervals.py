@@ -236,7 +236,7 @@ def marked_steps(rows: DataFrame, ok: Column, keys, index: str = "record_index")
     steps = Scan(marked, keys, (index,)).previous("before", "time_us", "_ok").run()
     dt = F.col("time_us") - F.col("before.time_us")
     good = F.coalesce(F.col("_ok") & F.col("before._ok"), F.lit(False))
-    return settle(steps.select(*keys, "time_us", dt.alias("dt"), good.alias("good")))
+    return steps.select(*keys, "time_us", dt.alias("dt"), good.alias("good"))
 
 
 def evidence_edges(steps: DataFrame, thresholds: DataFrame, keys) -> DataFrame:

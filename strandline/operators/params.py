@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import BOARD_TOKENS, FIRMWARE_PREFIXES
+from strandline.functions.text import BOARD_TOKENS, FIRMWARE_PREFIXES, clean_text
 
+# Names of the output functions; motor n has output function n + 32; four motors; fourteen output channels.
 SERVO = r"^SERVO(\d+)_FUNCTION$"
-# Motor n has output function n + 32; four motors; fourteen output channels.
 MOTOR_FUNCTION_OFFSET = 32
 MOTORS = 4
 MAX_CHANNEL = 14
@@ -70,7 +70,8 @@ def motor_map(parm: DataFrame) -> DataFrame:
 
 
 def identity_texts(msg: DataFrame) -> DataFrame:
-    """First firmware, board and frame line of each log."""
+    """First firmware, board and frame line of each log. Lines end at their first NUL."""
+    msg = msg.withColumn("text", clean_text(F.col("text")))
     lower = F.lower("text")
     is_firmware = F.lit(False)
     for prefix in FIRMWARE_PREFIXES:

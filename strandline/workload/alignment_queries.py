@@ -240,6 +240,16 @@ def frame_rotate(fl):
     return fl.table("embeddings").select("vec_id", x.alias("x"), y.alias("y"), z.alias("z"), north.alias("north"), east.alias("east"), down.alias("down"))
 
 
+@query("frame_vectors", """WITH x AS (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 3)) AS part FROM embeddings)
+SELECT vec_id, part, CAST(embedding[3 * part + 2] AS DOUBLE) AS x, CAST(embedding[3 * part + 1] AS DOUBLE) AS y, -CAST(embedding[3 * part + 3] AS DOUBLE) AS z FROM x""")
+def frame_vectors(fl):
+    """All parts of every vector, three by three, as north, east and down."""
+    part = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1), lambda i: F.slice("embedding", i * 3 + 1, 3)))
+    rows = fl.table("embeddings").where(F.size("embedding") >= 3).select("vec_id", part.alias("part", "v"))
+    turned = rows.select("vec_id", F.col("part").cast("bigint").alias("part"), fr.vector_ned_to_enu(F.col("v").cast("array<double>")).alias("v"))
+    return turned.select("vec_id", "part", *[F.col("v")[i].alias(n) for i, n in enumerate("xyz")])
+
+
 @query("heading_wrap", f"""WITH {EV}, a AS (SELECT log_id, ri, pi() / 2 - radians(k * 7.2) + pi() AS r FROM ev)
 SELECT log_id, ri AS record_index, round(r - floor(r / (2 * pi())) * 2 * pi() - pi(), 9) AS yaw FROM a""")
 def heading_wrap(fl):
@@ -264,11 +274,14 @@ def enum_valid(fl):
     return fl.records.select("log_id", "record_index", he.gps_known(status).alias("known"), he.gps_valid(status).alias("valid"))
 
 
-@query("text_coercion", """SELECT o_orderkey, CASE lower(substr(o_orderpriority, 1, 1)) WHEN '1' THEN true END AS flag,
-TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS digit, TRY_CAST(o_orderpriority AS DOUBLE) AS whole FROM orders""")
+@query("text_coercion", """WITH x AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN CAST(o_totalprice AS VARCHAR)
+WHEN 4 THEN o_orderpriority WHEN 5 THEN '0' ELSE '2.5e3' END AS c FROM orders)
+SELECT o_orderkey, CASE WHEN lower(c) IN ('true', '1') THEN true WHEN lower(c) IN ('false', '0') THEN false END AS flag, TRY_CAST(c AS DOUBLE) AS number FROM x""")
 def text_coercion(fl):
-    head = F.substring("o_orderpriority", 1, 1)
-    return fl.table("orders").select("o_orderkey", text_flag(head).alias("flag"), number(head).alias("digit"), number(F.col("o_orderpriority")).alias("whole"))
+    """Whole texts: flags in words and digits, prices, numbers with exponents, and priorities, which are neither."""
+    kinds = (F.lit("TRUE"), F.lit("false"), F.lit("1"), F.col("o_totalprice").cast("string"), F.col("o_orderpriority"), F.lit("0"), F.lit("2.5e3"))
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % 7 == i, c) for i, c in enumerate(kinds)])
+    return fl.table("orders").select("o_orderkey", text_flag(text).alias("flag"), number(text).alias("number"))
 
 
 LIMITS = {"l_quantity": (5.0, 45.0), "l_extendedprice": (2000.0, 80000.0), "l_discount": (0.0, 0.08)}

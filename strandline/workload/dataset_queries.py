@@ -164,6 +164,26 @@ def rule_provenance(fl):
     return counted(ru.row_rules(rows, ru.provenance_rules(rows, policy)))
 
 
+DAY_US = 24 * HOUR_US
+
+
+@query("rule_intervals", f"""WITH {DS}, x AS (SELECT ds.*, g.s + {12 * HOUR_US} AS fs, g.e AS fe, t - t % {DAY_US} AS bs, t - t % {DAY_US} + {18 * HOUR_US} AS be, k % 2 = 0 AS vp
+FROM ds JOIN seg g ON g.log_id = ds.log_id AND g.flight_id = ds.flight_id),
+u AS (SELECT log_id, 'pscd' AS scope, sa AS st, fs, fe, bs, be FROM x WHERE az IS NOT NULL OR dz IS NOT NULL OR vp UNION ALL SELECT log_id, 'psce', sb, fs, fe, bs, be FROM x WHERE dx IS NOT NULL)
+SELECT log_id, 'source_outside_flight' AS rule, scope, count(*) AS n_bad FROM u WHERE st < fs - 0.001 OR st >= fe GROUP BY 1, 3
+UNION ALL SELECT log_id, 'source_outside_boundary', scope, count(*) FROM u WHERE st < bs - 0.001 OR st >= be GROUP BY 1, 3""")
+def rule_intervals(fl):
+    """Sources against two families of intervals: flights that begin late, and the first 18 hours of every day. Every other row
+    says by a flag that it uses the vertical source."""
+    day = F.col("time_us") - F.pmod("time_us", F.lit(DAY_US))
+    flights = fl.segments.select(*FLIGHT, (F.col("start_us") + 12 * HOUR_US).alias("flight_start_us"), F.col("end_us").alias("flight_end_us"))
+    rows = dataset(fl).join(flights, FLIGHT).withColumns({
+        "boundary_start_us": day, "boundary_end_us": day + 18 * HOUR_US, "valid_pscd": F.col("k") % 2 == 0,
+    })
+    rules = [r for r in ru.provenance_rules(rows, ExtractPolicy()) if r[0].startswith("source_outside")]
+    return counted(ru.row_rules(rows, rules))
+
+
 @query("rule_eligibility", f"WITH {DS} " + rule_sql([
     ("eligibility", "eligible_dz", "rec AND NOT (vz_ok AND pz IS NOT NULL AND vz IS NOT NULL AND yaw IS NOT NULL AND NOT outlier)")]))
 def rule_eligibility(fl):
@@ -476,24 +496,3 @@ SELECT o_orderpriority, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 1
 def table_digest(fl):
     """The orders of each priority."""
     return dg.table_digest(fl.table("orders"), ["o_orderpriority"])
-
-
-@query("extraction_gate", f"""WITH {ARMS}, {PACK.replace('p AS (SELECT source AS log_id', 'p AS (SELECT CAST(ascii(source) % 7 AS BIGINT) AS log_id', 1).replace('PARTITION BY source ', 'PARTITION BY ascii(source) % 7 ').replace("log_id < 'f'", 'log_id < 3')},
-lg AS (SELECT user_id AS log_id, max(CAST(props->>'$.k' AS BIGINT)) AS k FROM events GROUP BY 1), cv AS (SELECT log_id, count(CASE WHEN gap > 0 THEN 1 END) AS r FROM g0 GROUP BY 1)
-SELECT log_id, 'content_digest' AS rule, 'log' AS scope, CAST(1 AS BIGINT) AS n_bad FROM lg WHERE k < 98 UNION ALL SELECT log_id, 'firmware', 'log', 1 FROM lg WHERE k <> 99
-UNION ALL SELECT log_id, 'parser', 'log', r + CASE WHEN log_id < 3 THEN 1 ELSE 0 END FROM cv WHERE r > 0
-UNION ALL SELECT log_id, 'no_flight', 'log', 1 FROM lg WHERE log_id NOT IN (SELECT log_id FROM seg)""")
-def extraction_gate(fl):
-    """Largest k as content version: below 98 it changed since inspection, only 99 runs audited firmware."""
-    logs = fl.records.groupBy("log_id").agg(F.max("k").alias("k"))
-    logs = logs.select("log_id", F.lit("same").alias("digest"), F.when(F.col("k") >= 98, "same").otherwise("other").alias("inspected_digest"), "k")
-    identity = logs.select("log_id", (F.col("k") == 99).alias("audited"))
-    docs = fl.table("documents").select((F.ascii("source") % 7).cast("bigint").alias("log_id"), F.col("doc_id").alias("record_index"), F.col("n_chars").alias("length"))
-    lost = F.when(F.col("record_index") % 97 == 0, 1).otherwise(0)
-    rows = ru.Scan(ru.rank_chunk(docs), ["log_id"], ("record_index",)).total("_end", F.col("length") + lost).run()
-    rows = settle(rows.select("log_id", "record_index", "length", (F.col("_end") - F.col("length")).alias("offset")))
-    files = rows.groupBy("log_id").agg(F.max(F.col("offset") + F.col("length")).alias("b")).select(
-        "log_id", (F.col("b") + F.when(F.col("log_id") < 3, 5).otherwise(0)).alias("file_bytes"), F.lit(20).cast("bigint").alias("tail_expected"))
-    covered = pk.parser_status(pk.coverage(rows, files, pk.packet_gaps(rows)))
-    timing = fl.records.groupBy("log_id", "message").agg(F.lit(0).cast("bigint").alias("backwards"))
-    return counted(ru.extraction_gate(logs, covered, identity, timing, fl.segments, ("click", "purchase"), True))

@@ -16,9 +16,10 @@ from strandline.operators import notices as no
 from strandline.operators import packets as pk
 from strandline.operators import profile as pf
 from strandline.operators import rules as ru
+from strandline.operators import series as se
 from strandline.operators.ordered import Scan, first_appearances, rank_chunk
 from strandline.plans import extract as ex
-from strandline.plans.jobs import LogInputs, extract_job, validate_job
+from strandline.plans.jobs import EVENT_MESSAGES, LogInputs, extract_job, validate_job
 from strandline.session import ensure_checkpoint_dir, settle
 from strandline.workload.alignment_queries import GRID, LIMIT_US
 from strandline.workload.dataset_queries import PACK
@@ -172,6 +173,15 @@ def release_gates(fl):
     return reduce(DataFrame.unionByName, gates).select("log_id", "step", "rule", "scope", "n_bad")
 
 
+@query("extraction_gate", f"WITH {CONT}, {GATES} SELECT log_id, rule, scope, n_bad FROM g1 WHERE rule NOT IN ('metadata_conflict', 'time_unit')")
+def extraction_gate(fl):
+    """Largest k as content version: below 98 it changed since inspection, below 97 the firmware is not audited. Clocks are those
+    of the records as they reached the log."""
+    i = inputs(fl)
+    found = ru.extraction_gate(i.logs, i.covered, i.identity, pf.backward_steps(i.records), i.segments, (*SOURCES, *EVENT_MESSAGES), True)
+    return found.select("log_id", "rule", "scope", "n_bad")
+
+
 # source: (rows, fields of the pick)
 _PICKS = {
     "pscn": ("ev WHERE et = 'click' AND k % 3 = 0", "v AS p, k AS vel, CASE WHEN k >= 20 THEN k END AS a, v AS ta"),
@@ -262,6 +272,15 @@ def release_sampling(fl):
     return validated(fl)["sampling"]
 
 
+@query("release_runs", f"""WITH {TEN}, l AS (SELECT *, t - lag(t) OVER w AS dt, lag(flight_id) OVER w AS pf, lag(cid) OVER w AS pc, lag(mode) OVER w AS pm FROM ten WINDOW w AS (PARTITION BY log_id ORDER BY row_seq)),
+m AS (SELECT log_id, median(CASE WHEN dt > 0 THEN dt END) AS md FROM l GROUP BY 1)
+SELECT log_id, row_seq, CAST(sum(CASE WHEN dt IS NULL OR pf IS DISTINCT FROM flight_id OR pc IS DISTINCT FROM cid OR pm IS DISTINCT FROM mode OR dt <= 0 OR coalesce(dt > 3 * md, false) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY log_id ORDER BY row_seq) AS BIGINT) AS run_id FROM l JOIN m USING (log_id)""")
+def release_runs(fl):
+    """Runs without gaps of the published table, in its own row numbers."""
+    return se.runs(released(fl)["dataset"]).select("log_id", "row_seq", F.col("run_id").cast("bigint").alias("run_id"))
+
+
 @query("inspection_notices", f"""WITH {EV}, {GATES.split('g1 AS')[0].split('lg AS')[0].rstrip().rstrip(',')},
 rc AS (SELECT log_id, CASE et WHEN 'click' THEN 'GPS' WHEN 'purchase' THEN 'XKF4' WHEN 'view' THEN 'MODE' ELSE 'ARM' END AS message, t,
   CASE WHEN et = 'click' THEN k // 50 END AS inst, ri * 2 + CASE WHEN et = 'click' AND k = {LATE} THEN 601 ELSE 0 END AS i FROM ev),

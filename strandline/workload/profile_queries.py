@@ -352,20 +352,27 @@ def canonical_stats(fl):
     return rounded(out.drop("decoded_unit", "canonical_factor"), ("min_canonical", "max_canonical"))
 
 
-@query("identity_texts", """WITH c AS (SELECT conv_id AS log_id, turn AS ri, text FROM conversations)
-SELECT log_id, arg_min(text, ri) FILTER (starts_with(text, 'ArduCopter') OR starts_with(text, 'ArduPlane') OR starts_with(text, 'ArduRover') OR starts_with(text, 'ArduSub')) AS firmware,
- arg_min(text, ri) FILTER (lower(text) LIKE '%speedybee%' OR lower(text) LIKE '%pixhawk%' OR lower(text) LIKE '%cube%' OR lower(text) LIKE '%matek%') AS board,
- arg_min(text, ri) FILTER (lower(text) LIKE '%frame%') AS frame FROM c GROUP BY 1""")
-def identity_texts(fl):
-    rows = fl.table("conversations").select(F.col("conv_id").alias("log_id"), F.col("turn").alias("record_index"), "text")
-    return pm.identity_texts(rows)
-
-
 _STATED = "nullif(regexp_extract(firmware, '\\(([0-9a-f]{8,40})\\)', 1), '')"
 # Firmware lines of the audited vehicle and revision, of another vehicle, of another revision, and without one.
 FIRMWARE = ("ArduCopter V4.8 (2b5cebb9)", "ArduPlane V4.8 (2b5cebb9)", "ArduCopter V4.8 (deadbeef00)", "ArduCopter V4.8")
 
 
+# Lines that a log says of itself, by k: firmware, boards, frames; all others say nothing of these.
+LINES = (*FIRMWARE[:3], "SpeedyBee F405", "Frame: QUAD/X", "CUBE orange", "frame class 1")
+
+
+@query("identity_texts", f"""WITH {EV}, x AS (SELECT log_id, ri, CASE k % 20 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(LINES))} ELSE 'EKF3 IMU0' END AS text FROM ev)
+SELECT log_id,
+ arg_min(text, ri) FILTER (starts_with(text, 'ArduCopter') OR starts_with(text, 'ArduPlane') OR starts_with(text, 'ArduRover') OR starts_with(text, 'ArduSub')) AS firmware,
+ arg_min(text, ri) FILTER (lower(text) LIKE '%speedybee%' OR lower(text) LIKE '%pixhawk%' OR lower(text) LIKE '%cube%' OR lower(text) LIKE '%matek%') AS board,
+ arg_min(text, ri) FILTER (lower(text) LIKE '%frame%') AS frame FROM x GROUP BY 1""")
+def identity_texts(fl):
+    """First lines of their kind; behind a NUL each carries what its fixed-width field held before, which does not count."""
+    text = F.coalesce(*[F.when(F.col("k") % 20 == i, t) for i, t in enumerate(LINES)], F.lit("EKF3 IMU0"))
+    rows = fl.records.select("log_id", "record_index", F.concat(text, F.lit("\u0000pixhawk frame")).alias("text"))
+    return pm.identity_texts(rows)
+
+
 @query("firmware_audit", f"""WITH {EV}, x AS (SELECT log_id, ri, CASE k % 5 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(FIRMWARE))} END AS firmware FROM ev)
 SELECT log_id, ri AS record_index, {_STATED} AS commit_hash,
        coalesce(firmware LIKE 'ArduCopter %' AND starts_with('{AUDITED_REVISION}', {_STATED}), false) AS audited FROM x""")
