@@ -66,3 +66,59 @@ FOLLOWING = (
     + tuple((m, "RCOU", "us") for m in MOTORS)
     + tuple((f"{kind}_d{axis}", "derived quality", "bool") for kind in ("valid", "eligible") for axis in "xyz")
 )
+
+
+# What events and parameters the flights, modes and motors of the aligned table follow from.
+EVENT_FIELDS = {
+    "flight_id": (("ARM", "ArmState"), ("EV", "Id")),
+    "mode": (("MODE", "ModeNum"), ("MODE", "Mode")),
+    "continuity_id": (("GPS", "Status"), ("XKF4", "PI"), ("XKF4", "SS"), ("XKF4", "FS"), ("XKF4", "TS"), ("XKF4", "OFN"), ("XKF4", "OFE"), ("EV", "Id")),
+    "time_us": (("ARM", "TimeUS"),),
+}
+
+
+def edges(features: dict[str, tuple[str, ...]]) -> list[tuple[str, str | None, str | None, str | None, str, bool]]:
+    """(column, parent column, message, field, how, fallback) of every step from an output column to what it is made of.
+
+    A step leads to another column or to a message field. ``features`` names the columns that eligibility of an axis needs.
+    """
+    out = []
+    field = lambda c, m, f, how, back=False: out.append((c, None, m, f, how, back))
+    column = lambda c, p, how, back=False: out.append((c, p, None, None, how, back))
+    turned = lambda o, f: "degrees clockwise from north to radians" if o.unit == "rad" else "down to up" if f.endswith("D") else "taken"
+    for o in ORIGINS:
+        if o.column in ("dx", "dy", "dz"):
+            continue
+        field(o.column, o.message, o.field, turned(o, o.field))
+        if o.stand_in:
+            field(o.column, STAND_IN, o.stand_in, turned(o, o.stand_in), True)
+            column(o.column, "ekf_healthy", "allows the stand-in", True)
+            field(o.column, STAND_IN, "C", "has to be the primary core", True)
+            column(f"source_{o.column}", o.column, "names its origin")
+    for axis in "xyz":
+        pair = (f"a{axis}", f"a{axis}_target")
+        for parent in pair:
+            column(f"d{axis}", parent, "actual minus target")
+            column(f"valid_d{axis}", parent, "both are there")
+        for parent in (f"valid_d{axis}", "outlier", *features.get(axis, ())):
+            column(f"eligible_d{axis}", parent, "has to be fit")
+    for parent in ("battery_v", "battery_i", "throttle", "vx", "vy", "vz", *(f"a{a}{t}" for a in "xyz" for t in ("", "_target")), *MOTORS):
+        column("outlier", parent, "has to lie in its range")
+    for parent in ("ekf_primary_core", "ekf_solution_status", "ekf_fault_status"):
+        column("ekf_healthy", parent, "judged together")
+    field("ekf_healthy", "XKF4", "C", "has to be the primary core")
+    column("gps_valid", "gps_status", "one of the fixes")
+    for motor in MOTORS:
+        field(motor, "PARM", "SERVO_FUNCTION", "chooses the channel")
+        field(motor, "RCOU", "C", "the chosen channel")
+    for source in SOURCES:
+        field(f"source_time_{source.lower()}_us", source, "TimeUS", "newest row before")
+        column(f"age_{source.lower()}_ms", f"source_time_{source.lower()}_us", "time of the row minus it")
+        column(f"age_{source.lower()}_ms", "time_us", "time of the row minus it")
+    for name, fields in EVENT_FIELDS.items():
+        for message, origin in fields:
+            field(name, message, origin, "bounds")
+    column("mode", "flight_id", "inside a flight")
+    column("continuity_id", "flight_id", "inside a flight")
+    column("continuity_id", "mode", "ends with it")
+    return out

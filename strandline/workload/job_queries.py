@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline import lineage
 from strandline.config import SOURCES, ExtractPolicy, override
+from strandline.operators import catalog as cg
 from strandline.operators import notices as no
 from strandline.operators import packets as pk
 from strandline.operators import profile as pf
@@ -83,10 +85,8 @@ def records(fl) -> DataFrame:
 
 def catalog(fl) -> DataFrame:
     """The fields of the policy with their first allowed unit. Some logs do not verify the battery's, some count time in seconds."""
-    units = [(m, f, u[0], FACTORS.get(f"{m}.{f}", 1.0)) for m, fields in ex.FIELD_UNITS.items() for f, u in fields.items()]
-    units += [("RCOU", f"C{i}", "us", 1.0) for i in range(1, 5)] + [("GPS", "TimeUS", "s", 1e-6)]
     table = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("message"), F.lit(f).alias("field"), F.lit(u).alias("unit"), F.lit(x).alias("factor")) for m, f, u, x in units
+        F.struct(F.lit(m).alias("message"), F.lit(f).alias("field"), F.lit(u).alias("unit"), F.lit(x).alias("factor")) for m, f, u, x in _UNITS
     ])).alias("_u")
     rows = fl.records.select("log_id").distinct().select("log_id", table).select("log_id", "_u.*")
     verified = ~((F.col("field") == "Volt") & (F.col("log_id") % 11 == 5))
@@ -94,6 +94,13 @@ def catalog(fl) -> DataFrame:
     return rows.withColumn("unit_verified", verified).withColumn("factor", F.when(seconds, 1.0).otherwise(F.col("factor")))
 
 
+_UNITS = [(m, f, u[0], FACTORS.get(f"{m}.{f}", 1.0)) for m, fields in ex.FIELD_UNITS.items() for f, u in fields.items()]
+_UNITS += [("RCOU", f"C{i}", "us", 1.0) for i in range(1, 5)] + [("GPS", "TimeUS", "s", 1e-6)]
+UNITS_SQL = f"""un(message, field, u, x) AS (VALUES {', '.join(f"('{m}', '{f}', '{u}', CAST({x!r} AS DOUBLE))" for m, f, u, x in _UNITS)}),
+cat AS (SELECT log_id, message, field, u, CASE WHEN field = 'TimeUS' AND log_id % 17 = 3 THEN 1.0 ELSE x END AS factor, NOT (field = 'Volt' AND log_id % 11 = 5) AS verified
+  FROM (SELECT DISTINCT log_id FROM ev), un)"""
+
+
 def covered_logs(fl) -> DataFrame:
     """Documents as packets of a few logs, as in ``parser_status``."""
     docs = fl.table("documents").select((F.ascii("source") % 7).cast("bigint").alias("log_id"), F.col("doc_id").alias("record_index"), F.col("n_chars").alias("length"))
@@ -299,3 +306,23 @@ def inspection_notices(fl):
         "log_id", F.lit("CURRENT_LOW").alias("code"), F.lit("click").alias("message"), F.lit(None).cast("bigint").alias("instance"), "flagged_count",
         "evaluated_count", (F.col("flagged_count") >= 0.7 * F.col("evaluated_count")).alias("warning"))
     return no.ordered_notices(no.inspection_notices(fl.records.select("log_id").distinct(), timing, checks, covered_logs(fl)))
+
+
+# ---- lineage ------------------------------------------------------------------------------------------
+
+def _text(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+
+
+_EDGES = ", ".join(f"({', '.join(map(_text, e))})" for e in lineage.edges(ExtractPolicy().features))
+GRAPH = f"""e(col, parent, message, field, how, fb) AS (VALUES {_EDGES}),
+r AS (SELECT DISTINCT col, col AS at, 1 AS depth, false AS fb FROM e UNION SELECT r.col, e.parent, r.depth + 1, r.fb OR e.fb FROM r JOIN e ON e.col = r.at WHERE e.parent IS NOT NULL),
+cl AS (SELECT r.col, message, field, min(depth) AS depth, bool_and(r.fb OR e.fb) AS fb FROM r JOIN e ON e.col = r.at WHERE message IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query("explained_columns", f"""WITH RECURSIVE {EV.strip()}, {GRAPH}, {UNITS_SQL}
+SELECT log_id, col AS "column", message, field, CAST(depth AS BIGINT) AS depth, fb AS fallback, u AS input_unit, factor, verified AS unit_verified FROM cat JOIN cl USING (message, field)""")
+def explained_columns(fl):
+    """Every column of the published table, down to the fields each log states a unit for."""
+    closure = cg.lineage_closure(cg.lineage_edges(fl.spark))
+    return cg.explain_columns(closure, catalog(fl)).withColumn("depth", F.col("depth").cast("bigint"))
