@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.config import AUDITED_REVISION, RatePolicy, ScreenPolicy
+from strandline.config import AUDITED_REVISION, RatePolicy, ScreenPolicy, override
 from strandline.functions.text import audited, commit_hash
 from strandline.operators import catalog as cg
+from strandline.operators import intervals as iv
 from strandline.operators import params as pm
 from strandline.operators import profile as pf
 from strandline.operators import screening as sc
-from strandline.workload.fleet import open_fleet
+from strandline.workload.fleet import MAX_AGE_MS, open_fleet
 from strandline.workload.interval_queries import EV, MODES, known
 
 QUERIES, ORACLES = {}, {}
@@ -393,3 +394,35 @@ def battery_screen(fl):
     """Most logs have a receiver that never reports while armed: its current check stays, without values."""
     bat = fl.clicks_in_context.select("log_id", "instance", (F.col("value") / 5).alias("volt"), (F.col("value") / 10).alias("curr"), "state")
     return rounded(sc.screen(sc.battery_values(bat, ScreenPolicy())), (*STAT_COLUMNS, "fraction"))
+
+
+ESC_POLICY = override(ScreenPolicy(), minimum_samples=4, warning_fraction=0.3, comparison_max_age_s=MAX_AGE_MS / 1000, rpm_active_floor=300.0)
+_AGE = MAX_AGE_MS * 1000
+
+
+@query("esc_screen", f"""WITH {MODES},
+x AS (SELECT v.*, v.k // 50 AS inst, i.interval_id AS c, coalesce(i.armed, false) AS armed FROM ev v LEFT JOIN ivs i ON v.log_id = i.log_id AND v.t >= i.s AND v.t < i.e
+  WHERE v.et IN ('click', 'purchase')),
+e AS (SELECT log_id, inst, t, ri, v / 3 AS volt, CASE WHEN k % 5 < 2 THEN 0.0 ELSE k END AS curr, v * 30 AS rpm, c, armed FROM x WHERE et = 'click'),
+b AS (SELECT log_id, t AS bt, v / 5 AS bv, c AS bc FROM x WHERE et = 'purchase' AND k % 2 = 0),
+q AS (SELECT e.*, volt / bv AS ratio FROM e ASOF LEFT JOIN b ON e.log_id = b.log_id AND e.t >= b.bt WHERE e.t - bt <= {_AGE} AND bv > 0 AND bc IS NOT DISTINCT FROM c),
+n AS (SELECT log_id FROM e GROUP BY 1 HAVING count(DISTINCT inst) > 1),
+h AS (SELECT *, {', '.join(f"last_value(CASE WHEN inst = {i} THEN {c} END IGNORE NULLS) OVER w AS {c}{i}" for i in (0, 1) for c in ('t', 'rpm', 'c'))}
+  FROM e SEMI JOIN n USING (log_id) WINDOW w AS (PARTITION BY log_id ORDER BY t, ri ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT log_id, 'ESC_VOLTAGE_IMPLAUSIBLE' AS code, inst, volt AS y, volt < 5 OR volt > 60 AS bad FROM e
+  UNION ALL SELECT log_id, 'ESC_CURRENT_UNAVAILABLE', inst, curr, abs(curr) <= 0.01 FROM e WHERE armed
+  UNION ALL SELECT log_id, 'ESC_VOLTAGE_RATIO_IMPLAUSIBLE', inst, ratio, ratio < 0.5 OR ratio > 1.5 FROM q
+  UNION ALL SELECT log_id, 'ESC_RPM_CROSS_INSTANCE_INCONSISTENT', NULL, greatest(rpm0, rpm1) / least(rpm0, rpm1), greatest(rpm0, rpm1) / least(rpm0, rpm1) > 3 FROM h
+    WHERE armed AND t - t0 <= {_AGE} AND t - t1 <= {_AGE} AND rpm0 > 300 AND rpm1 > 300 AND c0 IS NOT DISTINCT FROM c AND c1 IS NOT DISTINCT FROM c
+  UNION ALL SELECT DISTINCT log_id, unnest(['ESC_VOLTAGE_IMPLAUSIBLE', 'ESC_CURRENT_UNAVAILABLE', 'ESC_VOLTAGE_RATIO_IMPLAUSIBLE']), inst, CAST(NULL AS DOUBLE), false FROM e
+  UNION ALL SELECT log_id, 'ESC_RPM_CROSS_INSTANCE_INCONSISTENT', NULL, NULL, false FROM n),
+s AS (SELECT log_id, code, inst, count(CASE WHEN bad THEN y END) AS f, count(y) AS c FROM p GROUP BY 1, 2, 3)
+SELECT log_id, code, coalesce(inst, -1) AS instance, f AS flagged_count, c AS evaluated_count, round(f / nullif(c, 0), 6) AS fraction, c >= 4 AS sufficient_samples,
+       coalesce(c >= 4 AND f / nullif(c, 0) >= 0.3, false) AS warning FROM s""")
+def esc_screen(fl):
+    """Clicks as motor controllers of two instances, even purchases as the battery they are compared with."""
+    k, v = F.col("k"), F.col("value")
+    esc = fl.clicks_in_context.withColumns({"volt": v / 3, "curr": F.when(k % 5 < 2, 0.0).otherwise(k.cast("double")), "rpm": v * 30})
+    bat = iv.with_context(fl.message("purchase"), fl.intervals, fl.chunks).withColumns({"instance": k % 2, "volt": v / 5})
+    found = sc.screen(sc.esc_values(esc, bat, (0, 1), ESC_POLICY, fl.chunks), ESC_POLICY.minimum_samples, ESC_POLICY.warning_fraction)
+    return found.select("log_id", "code", known("instance"), "flagged_count", "evaluated_count", F.round("fraction", 6).alias("fraction"), "sufficient_samples", "warning")
