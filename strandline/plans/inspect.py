@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.config import RatePolicy, ScreenPolicy
@@ -65,22 +67,36 @@ def critical_errors(parts: dict[str, DataFrame], parser: DataFrame) -> DataFrame
     return conflict.unionByName(time).unionByName(damage).unionByName(empty).distinct()
 
 
-def sensor_status(logs: DataFrame, message: str, catalog: DataFrame, counts: DataFrame, checks: DataFrame) -> DataFrame:
+def fact(rows: DataFrame, name: str, on: Column | None = None, number: Column | None = None, text: Column | None = None) -> DataFrame:
+    """Rows of a table as facts (log_id, name, number, text) about their logs."""
+    rows = rows if on is None else rows.where(on)
+    return rows.select("log_id", F.lit(name).alias("name"), (F.lit(1.0) if number is None else number.cast("double")).alias("number"),
+                       (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+
+def has(name: str) -> Column:
+    return F.max(F.col("name") == name)
+
+
+def sensor_facts(message: str, catalog: DataFrame, counts: DataFrame, checks: DataFrame) -> list[DataFrame]:
+    units = catalog.where(F.col("message") == message)
+    own = checks.where(F.col("message") == message)
+    return [
+        *[fact(units, f"{message} {f}", (F.col("field") == f) & (F.col("canonical_unit") == u)) for f, u in SENSOR_UNITS],
+        fact(counts, f"{message} present", (F.col("message") == message) & (F.col("n") > 0)), fact(own, f"{message} checked"),
+        fact(own, f"{message} warned", F.col("warning")), fact(own, f"{message} short", ~F.col("sufficient_samples")),
+    ]
+
+
+def sensor_status(message: str) -> Column:
     """WARNING, NO_WARNING or UNKNOWN for one sensor: unknown without data, verified units or enough samples."""
-    units = catalog.where(F.col("message") == message).groupBy("log_id").agg(*[
-        F.bool_or((F.col("field") == f) & (F.col("canonical_unit") == u)).alias(f"_u{i}") for i, (f, u) in enumerate(SENSOR_UNITS)
-    ])
-    present = counts.where((F.col("message") == message) & (F.col("n") > 0)).select("log_id", F.lit(True).alias("_present"))
-    verdict = checks.where(F.col("message") == message).groupBy("log_id").agg(
-        F.bool_or("warning").alias("_warned"), F.bool_and("sufficient_samples").alias("_enough")
-    )
-    rows = logs.join(units, "log_id", "left").join(present, "log_id", "left").join(verdict, "log_id", "left")
-    known = F.coalesce(F.col("_present") & F.col("_u0") & F.col("_u1"), F.lit(False))
-    status = (
-        F.when(~known, "UNKNOWN").when(F.coalesce("_warned", F.lit(False)), "WARNING")
-        .when(F.coalesce("_enough", F.lit(False)), "NO_WARNING").otherwise("UNKNOWN")
+    known = has(f"{message} present")
+    for field, _ in SENSOR_UNITS:
+        known = known & has(f"{message} {field}")
+    return (
+        F.when(~known, "UNKNOWN").when(has(f"{message} warned"), "WARNING")
+        .when(has(f"{message} checked") & ~has(f"{message} short"), "NO_WARNING").otherwise("UNKNOWN")
     )
-    return rows.select("log_id", status.alias("status"))
 
 
 def status_board(
@@ -89,47 +105,38 @@ def status_board(
     arming: DataFrame | None = None,
 ) -> DataFrame:
     """Eight statuses per log in one row. ``arming`` lists the logs with any arm or disarm report; without it a log has such a
-    source only if it has flights."""
-    structural = errors.groupBy("log_id").agg(
-        F.lit(True).alias("_broken"), F.bool_or(F.col("reason").rlike("definition|metadata")).alias("_meta")
-    )
-    flown = segments.groupBy("log_id").agg(F.bool_or("open_ended").alias("_open"))
-    if arming is not None:
-        heard = arming.select("log_id").distinct().join(flown, "log_id", "left")
-        flown = heard.withColumn("_open", F.coalesce("_open", F.lit(False)))
-    loose = parts["unknown_units"].select("log_id").distinct().withColumn("_loose", F.lit(True))
-    z = evidence.groupBy("log_id").agg(
-        F.bool_or(F.col("z_residual_candidate_us").isNull()).alias("_z_unknown"),
-        F.sum("z_residual_candidate_us").alias("_z_us"), F.sum("pscd_paired_samples").alias("_z_n"),
-    )
-    rows = logs
-    for table in (parser.select("log_id", F.col("status").alias("_parser")), structural, flown, loose, profile.select("log_id", "verified"), z):
-        rows = rows.join(table, "log_id", "left")
+    source only if it has flights. All tables meet as facts in one aggregate."""
+    z = F.col("z_residual_candidate_us")
+    facts = [
+        fact(logs, "log"), fact(parser, "parser", text=F.col("status")), fact(errors, "broken"),
+        fact(errors, "metadata", F.col("reason").rlike("definition|metadata")), fact(segments if arming is None else arming, "flown"),
+        fact(segments, "open", F.col("open_ended")), fact(parts["unknown_units"], "loose"), fact(profile, "verified", F.col("verified")),
+        fact(evidence, "z unknown", z.isNull()), fact(evidence, "z us", z.isNotNull(), z), fact(evidence, "z pairs", number=F.col("pscd_paired_samples")),
+    ]
     for message in ("BAT", "ESC"):
-        rows = rows.join(sensor_status(logs, message, parts["catalog"], parts["message_counts"], checks).withColumnRenamed("status", f"_{message}"), "log_id", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    enough = (F.coalesce("_z_us", F.lit(0)) >= policy.minimum_candidate_duration_s * 1e6) & (F.coalesce("_z_n", F.lit(0)) >= policy.minimum_paired_samples)
-    return rows.select(
-        "log_id",
-        F.col("_parser").alias("parser"),
-        F.when(yes("_broken"), "FAIL").otherwise("PASS").alias("structural_log"),
-        F.when(F.col("_open").isNull(), "UNKNOWN").when(F.col("_open"), "PASS_WITH_WARNINGS").otherwise("PASS").alias("flight_segment_detection"),
-        F.when(yes("_meta"), "FAIL").when(yes("_loose"), "PASS_WITH_WARNINGS").otherwise("PASS").alias("unit_metadata"),
-        F.when(yes("verified"), "INSUFFICIENT").otherwise("UNRESOLVED").alias("xy_residual_data_availability"),
-        F.when(~yes("verified") | yes("_z_unknown"), "UNRESOLVED").when(enough, "AVAILABLE").otherwise("INSUFFICIENT").alias("z_residual_data_availability"),
-        F.col("_BAT").alias("battery_physical_quality"),
-        F.col("_ESC").alias("esc_telemetry_physical_quality"),
+        facts += sensor_facts(message, parts["catalog"], parts["message_counts"], checks)
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("number"))), F.lit(0.0))
+    enough = (total("z us") >= policy.minimum_candidate_duration_s * 1e6) & (total("z pairs") >= policy.minimum_paired_samples)
+    board = reduce(DataFrame.unionByName, facts).groupBy("log_id").agg(
+        has("log").alias("_log"),
+        F.max(F.when(F.col("name") == "parser", F.col("text"))).alias("parser"),
+        F.when(has("broken"), "FAIL").otherwise("PASS").alias("structural_log"),
+        F.when(~has("flown"), "UNKNOWN").when(has("open"), "PASS_WITH_WARNINGS").otherwise("PASS").alias("flight_segment_detection"),
+        F.when(has("metadata"), "FAIL").when(has("loose"), "PASS_WITH_WARNINGS").otherwise("PASS").alias("unit_metadata"),
+        F.when(has("verified"), "INSUFFICIENT").otherwise("UNRESOLVED").alias("xy_residual_data_availability"),
+        F.when(~has("verified") | has("z unknown"), "UNRESOLVED").when(enough, "AVAILABLE").otherwise("INSUFFICIENT").alias("z_residual_data_availability"),
+        sensor_status("BAT").alias("battery_physical_quality"), sensor_status("ESC").alias("esc_telemetry_physical_quality"),
     )
+    return board.where("_log").drop("_log")
 
 
 def freeze(logs: DataFrame, errors: DataFrame, profile: DataFrame, catalog: DataFrame, unit: str = "m/s/s") -> DataFrame:
-    """Whether the inspection of a log may be relied on: no critical error, audited firmware, six known units."""
-    wanted = F.lit(False)
-    for message, field in FREEZE_FIELDS:
-        wanted = wanted | ((F.col("message") == message) & (F.col("field") == field))
-    known = catalog.where(wanted & (F.col("canonical_unit") == unit)).select("log_id", "message", "field").distinct()
-    known = known.groupBy("log_id").agg(F.count(F.lit(1)).alias("_known"))
-    broken = errors.select("log_id").distinct().withColumn("_broken", F.lit(True))
-    rows = logs.join(profile.select("log_id", "verified"), "log_id", "left").join(known, "log_id", "left").join(broken, "log_id", "left")
-    ok = F.coalesce("verified", F.lit(False)) & (F.coalesce("_known", F.lit(0)) == len(FREEZE_FIELDS)) & F.col("_broken").isNull()
-    return rows.select("log_id", F.when(ok, "YES").otherwise("NO").alias("freeze"))
+    """Whether the inspection of a log may be relied on: no critical error, audited firmware, six known units. One aggregate."""
+    known = catalog.where(F.col("canonical_unit") == unit)
+    facts = [fact(logs, "log"), fact(errors, "broken"), fact(profile, "verified", F.col("verified"))]
+    facts += [fact(known, f"{m}.{f}", (F.col("message") == m) & (F.col("field") == f)) for m, f in FREEZE_FIELDS]
+    ok = has("verified") & ~has("broken")
+    for m, f in FREEZE_FIELDS:
+        ok = ok & has(f"{m}.{f}")
+    found = reduce(DataFrame.unionByName, facts).groupBy("log_id").agg(has("log").alias("_log"), F.when(ok, "YES").otherwise("NO").alias("freeze"))
+    return found.where("_log").drop("_log")

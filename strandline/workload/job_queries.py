@@ -21,12 +21,14 @@ from strandline.operators import rules as ru
 from strandline.operators import series as se
 from strandline.operators.ordered import Scan, first_appearances, rank_chunk
 from strandline.plans import extract as ex
+from strandline.plans import inspect as inspection
+from strandline.plans.inspect import FREEZE_FIELDS
 from strandline.plans.jobs import EVENT_MESSAGES, LogInputs, extract_job, validate_job
 from strandline.session import ensure_checkpoint_dir, settle
 from strandline.workload.alignment_queries import GRID, LIMIT_US
 from strandline.workload.dataset_queries import PACK
 from strandline.workload.fleet import GAP_MS, MAX_AGE_MS, STEP_US, open_fleet
-from strandline.workload.interval_queries import CONT, EV, known
+from strandline.workload.interval_queries import ARMS, CONT, EV, known
 
 QUERIES, ORACLES = {}, {}
 POLICY = override(ExtractPolicy(), master_rate_hz=1e6 / STEP_US, max_age_ms=dict.fromkeys(SOURCES, MAX_AGE_MS), gap_ms={"default": GAP_MS})
@@ -308,6 +310,56 @@ def inspection_notices(fl):
     return no.ordered_notices(no.inspection_notices(fl.records.select("log_id").distinct(), timing, checks, covered_logs(fl)))
 
 
+# ---- job 1's board ------------------------------------------------------------------------------------
+
+def board_inputs(fl) -> dict:
+    """What the inspection found, out of the events: every status occurs."""
+    k, log = F.col("k"), F.col("log_id")
+    logs = fl.records.groupBy("log_id").agg(F.max("k").alias("top"), F.min("k").alias("low"))
+    buys, clicks = fl.message("purchase"), fl.message("click")
+    count = lambda rows, name: rows.groupBy("log_id").agg(F.count(F.lit(1)).alias("n")).withColumn("message", F.lit(name))
+    units = F.explode(F.array(*[F.struct(F.lit(m).alias("message"), F.lit(f).alias("field"), F.lit(u).alias("canonical_unit"))
+                                for m, f, u in [(m, f, u) for m in ("BAT", "ESC") for f, u in (("Volt", "V"), ("Curr", "A"))] + [(*p, "m/s/s") for p in FREEZE_FIELDS]]))
+    stated = logs.select("log_id", units.alias("_u")).select("log_id", "_u.*").where(~((F.col("field") == "Curr") & (log % 5 == 1)) & ~((F.col("field") == "TAD") & (log % 4 == 2)))
+    checked = lambda rows, name, limit: rows.groupBy("log_id").agg(
+        (F.max("k") >= limit).alias("warning"), (F.count(F.lit(1)) >= 10).alias("sufficient_samples")).withColumn("message", F.lit(name))
+    low = logs.where("low > 2").select("log_id", F.lit("definition changed").alias("reason"))
+    return dict(
+        logs=logs.select("log_id"), parser=logs.select("log_id", F.when(F.col("top") == 99, "PASS").when(F.col("top") == 98, "PASS_WITH_WARNINGS").otherwise("FAIL").alias("status")),
+        errors=low.unionByName(logs.where("log_id % 7 = 0").select("log_id", F.lit("parser anomalies").alias("reason"))),
+        parts={"unknown_units": logs.where("log_id % 4 = 1").select("log_id"), "catalog": stated,
+               "message_counts": count(buys.where(k < 90), "BAT").unionByName(count(clicks.where(k >= 90), "ESC"))},
+        segments=fl.segments, profile=logs.select("log_id", (log % 5 != 0).alias("verified")),
+        evidence=buys.groupBy("log_id").agg(F.when(F.col("log_id") % 6 != 0, F.sum(k) * 1000).alias("z_residual_candidate_us"), F.count_if(k >= 85).alias("pscd_paired_samples")),
+        checks=checked(buys, "BAT", 98).unionByName(checked(clicks, "ESC", 97)), arming=fl.arms,
+    )
+
+
+BOARD = f"""{ARMS},
+lg AS (SELECT log_id, max(k) AS top, min(k) AS low FROM ev GROUP BY 1),
+bu AS (SELECT log_id, max(k) AS mx, count(*) AS n, count(CASE WHEN k < 90 THEN 1 END) AS n90, sum(k) AS s, count(CASE WHEN k >= 85 THEN 1 END) AS pairs FROM ev WHERE et = 'purchase' GROUP BY 1),
+cl AS (SELECT log_id, max(k) AS mx, count(*) AS n, count(CASE WHEN k >= 90 THEN 1 END) AS n90 FROM ev WHERE et = 'click' GROUP BY 1),
+j AS (SELECT lg.*, bu.n IS NOT NULL AS hb, bu.mx AS bm, bu.n AS bn, bu.n90 AS b90, bu.s, bu.pairs, cl.mx AS cm, cl.n AS cn, cl.n90 AS c90, log_id % 5 <> 0 AS ver, low > 2 AS def
+  FROM lg LEFT JOIN bu USING (log_id) LEFT JOIN cl USING (log_id))"""
+
+
+@query("status_board", f"""WITH {BOARD}
+SELECT log_id, CASE top WHEN 99 THEN 'PASS' WHEN 98 THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS parser, CASE WHEN def OR log_id % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS structural_log,
+CASE WHEN log_id NOT IN (SELECT log_id FROM arm) THEN 'UNKNOWN' WHEN log_id IN (SELECT log_id FROM seg WHERE open_ended) THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS flight_segment_detection,
+CASE WHEN def THEN 'FAIL' WHEN log_id % 4 = 1 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS unit_metadata, CASE WHEN ver THEN 'INSUFFICIENT' ELSE 'UNRESOLVED' END AS xy_residual_data_availability,
+CASE WHEN NOT ver OR hb AND log_id % 6 = 0 THEN 'UNRESOLVED' WHEN coalesce(s * 1000 >= 100000 AND pairs >= 2, false) THEN 'AVAILABLE' ELSE 'INSUFFICIENT' END AS z_residual_data_availability,
+CASE WHEN log_id % 5 = 1 OR coalesce(b90, 0) = 0 THEN 'UNKNOWN' WHEN bm >= 98 THEN 'WARNING' WHEN bn >= 10 THEN 'NO_WARNING' ELSE 'UNKNOWN' END AS battery_physical_quality,
+CASE WHEN log_id % 5 = 1 OR coalesce(c90, 0) = 0 THEN 'UNKNOWN' WHEN cm >= 97 THEN 'WARNING' WHEN cn >= 10 THEN 'NO_WARNING' ELSE 'UNKNOWN' END AS esc_telemetry_physical_quality FROM j""")
+def status_board(fl):
+    return inspection.status_board(**board_inputs(fl))
+
+
+@query("freeze", f"WITH {BOARD} SELECT log_id, CASE WHEN ver AND NOT def AND log_id % 7 <> 0 AND log_id % 4 <> 2 THEN 'YES' ELSE 'NO' END AS freeze FROM j")
+def freeze(fl):
+    found = board_inputs(fl)
+    return inspection.freeze(found["logs"], found["errors"], found["profile"], found["parts"]["catalog"])
+
+
 # ---- lineage ------------------------------------------------------------------------------------------
 
 def _text(v) -> str:
