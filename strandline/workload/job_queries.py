@@ -331,7 +331,7 @@ def board_inputs(fl) -> dict:
                "message_counts": count(buys.where(k < 90), "BAT").unionByName(count(clicks.where(k >= 90), "ESC"))},
         segments=fl.segments, profile=logs.select("log_id", (log % 5 != 0).alias("verified")),
         evidence=buys.groupBy("log_id").agg(F.when(F.col("log_id") % 6 != 0, F.sum(k) * 1000).alias("z_residual_candidate_us"), F.count_if(k >= 85).alias("pscd_paired_samples")),
-        checks=checked(buys, "BAT", 98).unionByName(checked(clicks, "ESC", 97)), arming=fl.arms,
+        checks=checked(buys, "BAT", 98).unionByName(checked(clicks, "ESC", 97)), arming=fl.arms.where(log % 9 != 4),
     )
 
 
@@ -345,7 +345,7 @@ j AS (SELECT lg.*, bu.n IS NOT NULL AS hb, bu.mx AS bm, bu.n AS bn, bu.n90 AS b9
 
 @query("status_board", f"""WITH {BOARD}
 SELECT log_id, CASE top WHEN 99 THEN 'PASS' WHEN 98 THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END AS parser, CASE WHEN def OR log_id % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS structural_log,
-CASE WHEN log_id NOT IN (SELECT log_id FROM arm) THEN 'UNKNOWN' WHEN log_id IN (SELECT log_id FROM seg WHERE open_ended) THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS flight_segment_detection,
+CASE WHEN log_id NOT IN (SELECT log_id FROM arm WHERE log_id % 9 <> 4) THEN 'UNKNOWN' WHEN log_id IN (SELECT log_id FROM seg WHERE open_ended) THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS flight_segment_detection,
 CASE WHEN def THEN 'FAIL' WHEN log_id % 4 = 1 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS unit_metadata, CASE WHEN ver THEN 'INSUFFICIENT' ELSE 'UNRESOLVED' END AS xy_residual_data_availability,
 CASE WHEN NOT ver OR hb AND log_id % 6 = 0 THEN 'UNRESOLVED' WHEN coalesce(s * 1000 >= 100000 AND pairs >= 2, false) THEN 'AVAILABLE' ELSE 'INSUFFICIENT' END AS z_residual_data_availability,
 CASE WHEN log_id % 5 = 1 OR coalesce(b90, 0) = 0 THEN 'UNKNOWN' WHEN bm >= 98 THEN 'WARNING' WHEN bn >= 10 THEN 'NO_WARNING' ELSE 'UNKNOWN' END AS battery_physical_quality,
