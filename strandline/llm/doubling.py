@@ -1,9 +1,12 @@
-"""Substring de-duplication by one doubling of windows of words.
-
-Runs of half-length windows chosen by content (see anchors) that occur in two documents survive. Only survivors are extended
-to twice the length, the sought windows; there are no further levels. Where all occurrences of a survivor have equal
-surroundings, its windows are settled together; the others are cut out one by one, named by the hashes of their two halves,
-and compared. With the sought length no candidate is left.
+"""Substring de-duplication by doubling the length of repeated windows of words.
+
+Lengths are halved from the sought window down to a shortest one: 50, 25, 13, 7. Each window of the sought length is
+represented at the shortest length by its anchor (see anchors), at each further length by a window that holds the one before
+and lies within the sought window; which one is told by the anchor's place in it. Equal windows thus have equal representatives
+at every length. A representative that occurs in one document only falls out with all windows it stands for; the others alone
+are extended to twice the length, until none is left or the sought length is reached. There, where all occurrences of a
+survivor have equal surroundings, its windows are settled together; the others are cut out one by one, named by the hashes of
+their two halves, and compared.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.anchors import CHUNK, Rolling, marked, runs
+from strandline.llm.anchors import CHUNK, PLACE_BITS, Rolling, marked, mix, sliding_min
 from strandline.llm.shared import prepare, store
 from strandline.llm.spans import NO_ID, gather, keyed, with_spans
 
 WINDOW = 50
+SHORTEST = 7  # no window is halved below this length
 CACHE_WORDS = 200_000
-_RUNS = pa.schema([(n, pa.int64()) for n in ("anchor", "key", "text_hash", "first", "last", "shape")])
 _WINDOWS = pa.schema([(n, pa.int64()) for n in ("left", "right", "key", "text_hash", "first")])
 DIGESTS = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -49,23 +52,72 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def word_runs(rows: DataFrame, window: int) -> DataFrame:
-    """Runs of windows of all texts: anchor, key, text_hash, first and last start, hash of the run's words."""
-    half = (window + 1) // 2
+def ladder(window: int, shortest: int = SHORTEST) -> list[int]:
+    """Lengths from the shortest to the sought one, each at most twice the one before."""
+    lengths = [window]
+    while (half := (lengths[0] + 1) // 2) >= shortest and half < lengths[0] or len(lengths) == 1:
+        lengths.insert(0, half)
+    return lengths
+
+
+def extensions(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How an anchor at each place of a window grows: the number of its way, and for each way the starts from the anchor on.
+
+    A window grows to the right where the longer one still ends within the sought window, else to the left.
+    """
+    window, ways = lengths[-1], {}
+    way_of = np.empty(window - lengths[0] + 1, np.int64)
+    for place in range(len(way_of)):
+        at, starts = place, [0]
+        for short, long in zip(lengths[:-2], lengths[1:-1]):
+            at = at if at + long <= window else at + short - long
+            starts.append(at - place)
+        way_of[place] = ways.setdefault(tuple(starts), len(ways))
+    return way_of, np.array(list(ways), np.int64)
+
+
+def doubling_runs(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Consecutive windows that share their representatives at all lengths, some columns for each chunk of a long text.
+
+    Columns: the representative of each length below the sought one, first and last start, hash of the run's words and shape.
+    """
+    window, gram = lengths[-1], lengths[0]
+    way_of, ways = extensions(lengths)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    for base in range(0, max(len(tokens) - window + 1, 0), CHUNK):
+        rolling = Rolling(tokens[base:base + CHUNK + window - 1])
+        hashes = rolling.every(gram)
+        packed = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=np.uint64))  # the last one of several least
+        place = (mask - (sliding_min(packed, window - gram + 1) & mask)).astype(np.int64)
+        way = way_of[place - np.arange(len(place))]
+        cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(way) != 0)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(place)]]) - 1
+        anchor, way = place[first], way[first]
+        shape = mix(((anchor - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64))
+        levels = []
+        for n, length in enumerate(lengths[:-1]):
+            at = anchor + ways[way, n]
+            levels.append(rolling.at(at, at + length) ^ mix(way.astype(np.uint64)))
+        yield (*levels, first + base, last + base, rolling.at(first, last + window) ^ shape)
+
+
+def word_runs(rows: DataFrame, window: int, shortest: int = SHORTEST) -> DataFrame:
+    """Runs of windows of all texts: level_0, level_1, ..., key, text_hash, first and last start, hash of the run's words."""
+    lengths = ladder(window, shortest)
+    names = [f"level_{n}" for n in range(len(lengths) - 1)] + ["key", "text_hash", "first", "last", "shape"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
+        cache, schema = _Hashes(), pa.schema([(n, pa.int64()) for n in names])
         for batch in batches:
             parts = []
             for key, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                anchor, first, last, shape = runs(_hashed(words(text), cache), window, half)
-                if len(anchor):
-                    fixed = np.full((2, len(anchor)), [[key], [text_hash]], np.int64)
-                    parts.append((anchor, *fixed, first, last, shape))
+                for *levels, first, last, shape in doubling_runs(_hashed(words(text), cache), lengths):
+                    fixed = np.full((2, len(first)), [[key], [text_hash]], np.int64)
+                    parts.append((*levels, *fixed, first, last, shape))
             if parts:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*parts)], schema=_RUNS)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*parts)], schema=schema)
 
-    return rows.mapInArrow(scan, "anchor bigint, key bigint, text_hash bigint, first bigint, last bigint, shape bigint")
+    return rows.mapInArrow(scan, ", ".join(f"{n} bigint" for n in names))
 
 
 def _cut_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -97,17 +149,27 @@ def _cut_windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(cut, "left bigint, right bigint, key bigint, text_hash bigint, first bigint")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def survivors(runs: DataFrame, level: str) -> DataFrame:
+    """Runs whose representative of this level occurs in two documents, without that level."""
+    twice = runs.groupBy(level).agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") < F.col("most"))
+    twice = store(twice.select(level), f"repeated-{level}")  # a table, so the join can split what many runs share
+    return store(runs.join(twice, level).drop(level), f"after-{level}")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """Word spans covered by windows that also start in a document with a smaller doc_id, one array a text."""
     spark = docs.sparkSession
     prepare(spark)
     rows = keyed(docs)
-    level = store(word_runs(rows.where(F.col("key") != NO_ID), window), "word-runs")
-    twice = level.groupBy("anchor").agg(
+    runs = store(word_runs(rows.where(F.col("key") != NO_ID), window, shortest), "word-runs")
+    *shorter, level = [c for c in runs.columns if c.startswith("level_")]
+    for name in shorter:
+        runs = survivors(runs, name)
+    twice = runs.groupBy(level).agg(
         F.min("key").alias("least"), F.max("key").alias("most"), (F.min("shape") == F.max("shape")).alias("alike")
     ).where(F.col("least") < F.col("most")).drop("most")
-    twice = store(twice, "repeated-runs")  # a table of its own, so the join below can split an anchor that many runs share
-    live = level.join(twice, "anchor").where(~F.col("alike") | (F.col("key") > F.col("least")))
+    twice = store(twice, "repeated-runs")
+    live = runs.join(twice, level).where(~F.col("alike") | (F.col("key") > F.col("least")))
     live = store(live.select("key", "text_hash", "first", "last", "alike"), "live-runs")
 
     open_runs = live.where(~F.col("alike")).groupBy("key", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))

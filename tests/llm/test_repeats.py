@@ -62,6 +62,41 @@ def test_substring_random(documents, window):
     assert rows_of(doubling.substring_digests(documents(rows), window)) == brute_words(rows, window)
 
 
+def test_ladder_and_extensions():
+    assert doubling.ladder(50) == [7, 13, 25, 50] and doubling.ladder(5) == [3, 5] and doubling.ladder(16, 2) == [2, 4, 8, 16]
+    for lengths in (doubling.ladder(50), doubling.ladder(23, 2), doubling.ladder(5)):
+        way_of, ways = doubling.extensions(lengths)
+        for place, way in enumerate(way_of):
+            spans = [(place + s, place + s + n) for s, n in zip(ways[way], lengths)]
+            assert all(0 <= a and b <= lengths[-1] for a, b in spans)
+            assert all(c <= a and b <= d for (a, b), (c, d) in zip(spans, spans[1:]))
+
+
+def test_only_repeated_windows_are_extended(documents):
+    """Texts that share 4, 8, 15 and 16 words in a row: each level loses what repeats at shorter lengths only."""
+    def text(d, shared):
+        return " ".join([f"a{d}_{i}" for i in range(20)] + [f"s{shared}_{i}" for i in range(shared)] + [f"b{d}_{i}" for i in range(20)])
+    rows = [(10 * n + d, text(10 * n + d, n)) for n in (4, 8, 15, 16) for d in range(2)]
+    runs = doubling.word_runs(doubling.keyed(documents(rows)), 16, 2)
+    left = []
+    for level in ("level_0", "level_1", "level_2"):
+        runs = doubling.survivors(runs, level)
+        left.append({r.key for r in runs.collect()})
+    assert left[0] >= left[1] >= left[2] >= {160, 161} and not left[1] & {40, 41} and {40, 41} <= {k for k, _ in rows}
+    assert rows_of(doubling.substring_digests(documents(rows), 16)) == brute_words(rows, 16)
+
+
+@pytest.mark.parametrize("shortest", [2, 4])
+def test_substring_levels_lose_nothing(documents, shortest):
+    rng = random.Random(shortest)
+    pieces = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 30))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randrange(6)))) for i in range(60)]
+    found = doubling.with_spans(documents(rows), doubling.repeated_spans(documents(rows), 16, shortest))
+    got = {r.doc_id: int(anchors.marked(len(r.text.split()), [(s["first"], s["end"]) for s in r.spans]).sum())
+           for r in found.select("row.doc_id", "text", "spans").collect()}
+    assert got == {r[0]: r[2] for r in brute_words(rows, 16)} and any(got.values())
+
+
 def test_suffix_odd_rows(odd):
     assert rows_of(suffixes.suffix_digests(odd)) == brute_bytes(odd_rows(), 400)
 
