@@ -1,8 +1,11 @@
-"""N-gram Jaccard join by MinHash bands.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
-Each of many trees gives a text a label of several MinHash values. All labels are cut to one prefix length, the longest at
-which a pair at the threshold meets in some tree with the target probability; it is not adapted to single texts as in a
-sorted LSH forest. Texts that meet are grouped by their signatures and verified on their whole shingle sets.
+Each of many trees gives a text a label of several MinHash values; a tree's labels form a trie. Matching starts at whole labels.
+Texts that share a prefix are compared with the smallest of them by all their MinHash values; those nearly equal to it stop
+there and are represented by it in this tree, as whoever shares a shorter prefix with them shares it with their head. For the
+others the prefix is shortened by a value, down to the depth at which a pair at the threshold meets in some tree with the target
+recall. So each text's prefix is shortened only as far as its matches ask for, and crowds of copies are gone before short
+prefixes gather them. Texts that meet are grouped by their signatures and verified on their whole shingle sets.
 
 Texts with the same shingle set are one class and are compared once, as a class.
 """
@@ -10,6 +13,7 @@ Texts with the same shingle set are one class and are compared once, as a class.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ DEPTH = 6  # MinHash values of a label, 10 bits each
 VALUE_BITS = 10
 RECALL = 0.9999
 SETTLE, EDGE = 0.8, 0.4  # estimated similarity to a bucket's head: settled, and edge (see grouping)
+STOP = 0.95  # estimated similarity to a head at which a text goes no further up a tree; leaves room for a second head
 CACHE_WORDS = 200_000
 _SCAN = pa.schema([
     ("key", pa.int64()), ("text_hash", pa.int64()), ("node", pa.binary()), ("labels", pa.binary()),
@@ -112,6 +117,31 @@ def jaccard_links(threshold: float):
     return link
 
 
+def climb(tries: DataFrame, sketches: DataFrame, estimate, stop: float, edge: float) -> tuple[DataFrame, DataFrame]:
+    """One depth of the forest: what goes on to shorter prefixes, (tree, prefix, node), and edges (a, b) to the heads.
+
+    The smallest node of each prefix always goes on, so that whoever meets a stopped node later meets its head.
+    tries: (tree, prefix, node), stored. sketches: (node, sketch), stored.
+    """
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(estimate(own, other))], ["node", "head", "similar"])
+
+    heads = store(tries.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "trie-heads")
+    members = tries.join(heads.where("n > 1").drop("n"), ["tree", "prefix"]).where(F.col("node") != F.col("head"))
+    members = store(members, "trie-members")
+    met = (
+        members.select("node", "head").distinct().join(sketches.withColumnRenamed("sketch", "own"), "node")
+        .join(sketches.select(F.col("node").alias("head"), F.col("sketch").alias("other")), "head").select("node", "head", "own", "other")
+    )
+    met = store(met.mapInArrow(judge, "node binary, head binary, similar double"), "trie-pairs")
+    on = members.join(met.where(F.col("similar") < stop), ["node", "head"]).select("tree", "prefix", "node")
+    near = met.where(F.col("similar") >= edge).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return heads.select("tree", "prefix", F.col("head").alias("node")).unionByName(on), near
+
+
 def jaccard_join(
     docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL
 ) -> DataFrame:
@@ -144,20 +174,21 @@ def jaccard_join(
         F.min(F.struct("key", "text_hash")).alias("first"), F.count(F.lit(1)).alias("class_size"), F.first("labels").alias("sketch")
     ), "classes")
 
-    drop = VALUE_BITS * (depth - reach)
-
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                each = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, trees)
+                each = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
                 nodes = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), trees)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)),
-                    pa.array((each >> np.uint64(drop)).ravel().view(np.int64)), nodes,
-                ], ["tree", "prefix", "node"])
-
-    buckets = store(classes.select("node", "sketch").mapInArrow(labels, "tree int, prefix bigint, node binary"), "forest")
-    edges = candidate_edges(buckets, classes.select("node", "sketch"), label_similarity(depth), SETTLE, EDGE)
+                tree = pa.array(np.tile(np.arange(trees, dtype=np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([tree, pa.array(each), nodes], ["tree", "prefix", "node"])
+
+    sketches, estimate, edges = classes.select("node", "sketch"), label_similarity(depth), []
+    tries = store(sketches.mapInArrow(labels, "tree int, prefix bigint, node binary"), "forest")
+    for _ in range(depth - reach):
+        tries, near = climb(tries, sketches, estimate, STOP, EDGE)
+        edges.append(near)
+        tries = store(tries.withColumn("prefix", F.shiftrightunsigned("prefix", VALUE_BITS)), "forest")
+    edges = reduce(DataFrame.unionByName, edges, candidate_edges(tries, sketches, estimate, SETTLE, EDGE))
     groups = store(components(edges), "candidate-groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

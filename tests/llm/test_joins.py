@@ -85,6 +85,27 @@ def test_prefixes_are_shortened_to_the_recall():
     assert 1 - (1 - 0.8 ** depth) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 24
 
 
+def test_prefixes_are_shortened_for_what_is_left(spark):
+    """Copies stop at the whole label and their head goes on; a near text meets it only where prefixes are shorter."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    own = [rng.integers(0, 1 << 63, 100).astype(np.uint64) for _ in range(3)]
+    sets = [np.concatenate([common, own[0], rng.integers(0, 1 << 63, 2).astype(np.uint64)]) for _ in range(20)]
+    sets += [np.concatenate([common, x]) for x in own[1:]]
+    rows = [(bytes([i]), forest.minhash_labels(s, 24, 6)) for i, s in enumerate(sets)]
+    sketches = spark.createDataFrame([(n, x.tobytes()) for n, x in rows], "node binary, sketch binary")
+    tries = spark.createDataFrame([(t, int(p), n) for n, x in rows for t, p in enumerate(x)], "tree int, prefix bigint, node binary")
+    left, near = forest.climb(tries, sketches, forest.label_similarity(6), forest.STOP, forest.EDGE)
+    left, near = left.collect(), {(bytes(r.a)[0], bytes(r.b)[0]) for r in near.collect()}
+    crowd = {(r.tree, bytes(r.node)[0]) for r in left if bytes(r.node)[0] < 20}
+    assert {t for t, _ in crowd} == set(range(24)) and len(crowd) < 24 * 20 / 2  # most have stopped, every trie keeps a head
+    assert {(r.tree, bytes(r.node)[0]) for r in left if bytes(r.node)[0] >= 20} >= {(t, n) for t in range(24) for n in (20, 21)
+            if not any(a == n for a, _ in near)}
+    prefixes = lambda rows: {(r.tree, r.prefix) for r in rows}
+    assert prefixes(left) == prefixes(tries.collect())  # no prefix is left without a text
+    assert {a for a, _ in near} >= set(range(1, 20))
+
+
 def test_labels_estimate_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1600, 200, 200))
