@@ -1,7 +1,8 @@
 """Licence scans: phrases, and an exact containment join of text blocks with licence templates.
 
-Base: places where a phrase's words stand one after the other. Method: a set-similarity join. Words are ordered by their
-count in the whole corpus, rarest first. A block that holds at least ``need`` = ceil(threshold x |T|) words of a template T
+Base: places where a phrase's words stand one after the other. Method: a set-similarity join. Blocks are windows over a text's
+words, whatever its lines, that begin every so many words as the longest template has and are twice as long; so every stretch
+as long as a template lies whole in one of them. Words are ordered by their count in the whole corpus, rarest first. A block that holds at least ``need`` = ceil(threshold x |T|) words of a template T
 must hold one of the first |T| - need + 1 words of T, and that word must stand early enough in the block's own order. Only
 blocks with such a word leave the scan; the join pairs them with templates by that word, the length and positional filters
 drop pairs that cannot reach ``need``, and the rest is counted exactly.
@@ -44,6 +45,11 @@ _SCAN = pa.schema(
 )
 
 
+def stride(templates: tuple = TEMPLATES) -> int:
+    """Words from the start of one block to that of the next: those of the longest template. Blocks are twice as long."""
+    return max(len(folded_words(text)) for text, _ in templates)
+
+
 def template_word_counts(docs: DataFrame, templates: tuple = TEMPLATES) -> dict[bytes, int]:
     """Count of every template word in all documents. As many rows as the templates have words come to the driver."""
     vocabulary = {w for text, _ in templates for w in folded_words(text)}
@@ -77,8 +83,9 @@ def scan_licenses(
 ) -> DataFrame:
     """One row a document: word count, places of phrases, base labels, and labels with the largest containment.
 
-    A block is a line. A null text has no words. Null and repeated doc_ids are scanned row by row; other columns are ignored.
-    score is the largest containment of a template in a block that reaches the threshold, else 0.
+    A block is a window of words, see above; a text shorter than one is a block. A null text has no words. Null and repeated
+    doc_ids are scanned row by row; other columns are ignored. score is the largest containment of a template in a block that
+    reaches the threshold, else 0.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -91,6 +98,7 @@ def scan_licenses(
     early = {t for _, _, tokens, need in index for t in tokens[:len(tokens) - need + 1]}
     shortest = min(need for *_, need in index)
     seeds = [w for w, r in rank.items() if r in early]
+    step = stride(templates)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -98,15 +106,13 @@ def scan_licenses(
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, blocks = [], []
-                for number, line in enumerate(text.split("\n")):
-                    own = folded_words(line)
-                    words += own
-                    if len(own) >= shortest and not seed_set.isdisjoint(own):
-                        distinct = set(own)
+                words, blocks = folded_words(text), []
+                for base in range(0, max(len(words) - step, 1), step) if not seed_set.isdisjoint(words) else ():
+                    distinct = set(words[base:base + 2 * step])
+                    if len(distinct) >= shortest and not seed_set.isdisjoint(distinct):
                         tokens = sorted(rank[w] for w in distinct if w in rank)
                         if len(tokens) >= shortest:
-                            blocks.append({"block": number, "words": len(distinct), "tokens": tokens})
+                            blocks.append({"block": base // step, "words": len(distinct), "tokens": tokens})
                 places = phrase_places(words, phrases)
                 starts = [p for p, _ in places]
                 out.append((

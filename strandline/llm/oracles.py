@@ -1,6 +1,6 @@
 """The queries' rows in SQL, where SQL can express them."""
 
-from strandline.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from strandline.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, stride
 
 OP2 = """
 WITH p AS (
@@ -93,7 +93,7 @@ SELECT doc_id, len(x) // 2 AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-_LINE_WORDS = _WORDS.replace("coalesce(text, '')", "line")
+_STEP = stride()
 
 OP8 = f"""
 WITH d AS (
@@ -112,8 +112,8 @@ WITH d AS (
     SELECT label, list_distinct(string_split(template, ' ')) AS tw
     FROM (VALUES {", ".join(f"('{t}', '{label}')" for t, label in TEMPLATES)}) AS v(template, label)
 ), b AS (
-    SELECT doc_id, list_distinct({_LINE_WORDS}) AS bw
-    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+    SELECT doc_id, list_distinct(w[i + 1:i + {2 * _STEP}]) AS bw
+    FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {_STEP}, 1), {_STEP})) AS i FROM d)
 ), h AS (
     SELECT doc_id, label, len(list_intersect(bw, tw)) / len(tw) AS share FROM b, t WHERE len(list_intersect(bw, tw)) >= {THRESHOLD} * len(tw)
 ), l AS (

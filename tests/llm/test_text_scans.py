@@ -80,8 +80,8 @@ def brute_licenses(rows, threshold=licenses.THRESHOLD):
             p = phrase.split()
             places += [(i, label) for i in range(len(w)) if w[i:i + len(p)] == p]
         base = {label for _, label in places}
-        for line in (text or "").split("\n"):
-            own = set(fold(line))
+        for i in range(0, max(len(w) - 16, 1), 16):
+            own = set(w[i:i + 32])
             for template, label in licenses.TEMPLATES:
                 t = set(template.split())
                 if len(own & t) / len(t) >= threshold:
@@ -108,6 +108,23 @@ def test_licenses(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_wrapped_notices(documents):
+    """Notices broken over lines anywhere and at any place of a text reach their templates, single words of them do not."""
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "bsd")
+    gpl = ("redistribute it and/or modify\nit under the terms of the GNU General Public License", "gpl")
+    mit = ("Permission is hereby granted, free of charge,\nto any person obtaining a copy\n\nof this software", "mit")
+    rows, labels = [], {}
+    for before in range(0, 70, 3):
+        for text, label in (bsd, gpl, mit):
+            labels[len(rows)] = label
+            rows.append((len(rows), "x " * before + text + " y" * (before % 7)))
+    at = len(rows)
+    rows += [(at, " z ".join("redistribution use source binary forms modification permitted".split())), (at + 1, "mit\nlicense")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert all(got[d].labels == label and got[d].score >= licenses.THRESHOLD for d, label in labels.items())
+    assert (got[at].labels, got[at].score) == ("", 0.0) and (got[at + 1].labels, got[at + 1].score) == ("mit", 0.0)
+
+
 def toxic_rows(n=400):
     rng = random.Random(3)
     rows, labels = [], []
