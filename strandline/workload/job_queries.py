@@ -287,7 +287,7 @@ SELECT log_id, row_seq, CAST(sum(CASE WHEN dt IS NULL OR pf IS DISTINCT FROM fli
   OVER (PARTITION BY log_id ORDER BY row_seq) AS BIGINT) AS run_id FROM l JOIN m USING (log_id)""")
 def release_runs(fl):
     """Runs without gaps of the published table, in its own row numbers."""
-    return se.runs(released(fl)["dataset"]).select("log_id", "row_seq", F.col("run_id").cast("bigint").alias("run_id"))
+    return se.runs(released(fl)["dataset"], chunks=fl.chunks).select("log_id", "row_seq", F.col("run_id").cast("bigint").alias("run_id"))
 
 
 @query("inspection_notices", f"""WITH {EV}, {GATES.split('g1 AS')[0].split('lg AS')[0].rstrip().rstrip(',')},

@@ -54,3 +54,22 @@ def test_rank_chunks_hold_a_bounded_number_of_rows(rows):
 def test_data_shuffles_by_log_and_chunk_only(rows):
     plan = scanned(Chunks(1000).add(rows))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_short_sequences_are_whole_and_carry_nothing(rows):
+    """One window a sequence, no chunk, no carrier and no aggregate: the result is that of plain windows."""
+    whole = Chunks.fitting(rows, 1000)
+    assert whole.cell_us is None and "_chunk" not in whole.by_rank(rows).columns
+    out = scanned(whole.add(rows))
+    assert sorted(map(str, out.collect())) == sorted(map(str, expected(rows).collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan
+
+
+def test_long_sequences_get_the_widest_cells_that_keep_a_chunk_small(spark):
+    base = 1_700_000_000_000_000
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("log_id"), (F.lit(base) + F.col("id") * (1 << 29)).alias("time_us"), F.col("id").alias("record_index"))
+    fitted = Chunks.fitting(rows, 1 << 33, limit=1000)
+    sizes = [r["count"] for r in fitted.add(rows).groupBy("log_id", "_chunk").count().collect()]
+    assert fitted.cell_us > Chunks().cell_us and max(sizes) <= 1000 and len(sizes) < 400
+    assert Chunks.fitting(rows, 1 << 33, limit=2).cell_us == Chunks().cell_us
