@@ -92,3 +92,15 @@ def test_controller_reports(table):
     got = {r.log_id: r for r in sc.esc_reports(esc, data).collect()}
     assert got[1].rpm_disagrees and got[1].voltage_disagrees and got[1].zero_current
     assert not got[2].rpm_disagrees and not got[2].voltage_disagrees and not got[2].zero_current
+
+
+def test_esc_ratios_do_not_depend_on_the_order_of_a_sum(spark):
+    """0.1 + 0.2 + 0.3 is above 0.6 in one order and not in the other; twice 0.1 * 3 must not disagree by that."""
+    def reports(values):
+        rows = [(1, 0, v, 1.0, 0.0) for v in values] + [(1, 1, v, 1.0, 0.0) for v in (0.1, 0.1, 0.1)]
+        esc = spark.createDataFrame(rows, "log_id int, instance int, rpm double, volt double, curr double").coalesce(1)
+        return sc.esc_reports(esc, spark.createDataFrame([(1, 1.0)], "log_id int, battery_v double")).first()
+
+    assert 0.1 + 0.2 + 0.3 != 0.3 + 0.2 + 0.1
+    one, other = reports((0.1, 0.2, 0.3)), reports((0.3, 0.2, 0.1))
+    assert one == other and one.rpm_ratio == 2.0 and not one.rpm_disagrees
