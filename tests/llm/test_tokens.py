@@ -8,7 +8,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from strandline.llm import packing, token_files
-from strandline.llm.tokens import DEFAULT_TOKENIZER, Generations, encoder
+from strandline.llm.tokens import DEFAULT_TOKENIZER, ChunkEncoder, Generations, encoder
 from tests.llm.conftest import odd_rows
 
 TOKENIZER = Tokenizer.from_file(DEFAULT_TOKENIZER)
@@ -37,6 +37,28 @@ def test_random_strings():
     assert own.encode("TATİ. x").tolist() == ids("TATİ. x")
 
 
+def test_signs_after_a_word_are_a_piece_of_their_own():
+    rng = random.Random(4)
+    parts = ["İ", "é", "E\u0301", "ß", "ж", "中", "ª", "a", "T", "1", "'", "'s", "\u0307", "?", "***", "!!", "$", "&", "<", "|", "\\", "`", "~", "_", ".", ","]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(50_000)]
+    own, found = encoder(), TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, found) if own.encode(t).tolist() != e.ids] == []
+
+
+def test_words_with_signs_do_not_take_the_whole_tokenizer():
+    own, asked = ChunkEncoder(DEFAULT_TOKENIZER), []
+
+    class Counted:
+        def encode(self, text, **options):
+            asked.append(text)
+            return TOKENIZER.encode(text, **options)
+
+    own.tokenizer = Counted()
+    text = "Word*** word!! éué### don't, (x)"
+    assert own.encode(text).tolist() == ids(text)
+    assert sorted(asked) == ["!!", "###", "(x", ")", "***", ",", "don't"]
+
+
 def test_cache_keeps_what_is_asked_for():
     made = []
     cache = Generations(lambda k: made.append(k) or k, limit=2)
