@@ -82,7 +82,7 @@ def _sums(fit: DataFrame, terms) -> dict[int, list[int]]:
 
     rows = fit.mapInArrow(partial, "size int, place int, value decimal(38,0)").groupBy("size", "place").agg(F.sum("value").alias("value"))
     out: dict[int, dict[int, int]] = {}
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # an iterator would be a job of its own for every partition
         out.setdefault(r.size, {})[r.place] = int(r.value)
     return {size: [v for _, v in sorted(found.items())] for size, found in out.items()}
 

@@ -87,3 +87,20 @@ def test_factorisations(size, rank):
     assert np.allclose(directions.T @ directions, np.eye(len(values)), atol=1e-12)
     assert np.allclose(values[:3], np.linalg.svd(a)[1][:3] ** 2, rtol=1e-6)
     assert whitening.COMPONENTS == 4
+
+
+def test_number_of_jobs_does_not_follow_the_partitions(spark):
+    rng = np.random.default_rng(9)
+    table = vectors(spark, [(i, [float(c) for c in row]) for i, row in enumerate(rng.normal(size=(40, 6)))])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        spark.sparkContext.setJobGroup("whitening-jobs", "")
+        assert whiten(table).count() == 160
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whitening-jobs")) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
