@@ -28,8 +28,8 @@ SCALE = 256
 SAMPLE_ROWS = 16_384  # rows in the order of their ids' hashes that the split points are chosen from
 FANOUT = 16
 LEAF_ROWS = 1024  # a subtree of so many rows, by the sample's estimate, is not split any more
-BLOCK_PARTS, QUERY_PARTS = 1 << 14, 1 << 12  # vector parts in a block of rows and of queries
-SALTS = 16  # ways in which a leaf's rows are dealt before they are put in blocks
+BLOCK_PARTS, QUERY_PARTS = 1 << 16, 1 << 14  # vector parts in a block of rows and of queries
+SALTS = 4  # ways in which a leaf's rows are dealt before they are put in blocks
 SLACK = 1e-6  # of the lengths: more than distances lose to rounding
 NORM_LIMIT = 1 << 62
 ROWS = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
@@ -267,18 +267,29 @@ def _searched(visits: DataFrame, blocks: DataFrame, size: int, same_label: bool,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                class_id, label, x, *rest, row_x = (c[r].as_py() for c in batch.columns)
-                class_id, label, asker, low, high, positive, vec_id, row_label = (np.array(c, np.int64) for c in (class_id, label, *rest))
-                found = inner_products(matrix(x, size), matrix(row_x, size))[asker]
-                fits = (label[asker][:, None] == row_label) == same_label
-                fits &= (found >= low[:, None]) & (found <= high[:, None])
+                class_id, label, x, asker, low, high, positive, vec_id, row_label, row_x = (c[r].values for c in batch.columns)
+                class_id, label, asker, low, high, positive, vec_id, row_label = (
+                    c.to_numpy() for c in (class_id, label, asker, low, high, positive, vec_id, row_label))
+                found = inner_products(matrix(x.to_pylist(), size), matrix(row_x.to_pylist(), size))
+                # A query's windows follow each other: rows outside all of them go at once, the few others are sorted once a query.
+                queries = np.arange(len(class_id))
+                turn = np.searchsorted(asker, queries)
+                fits = (label[:, None] == row_label) == same_label
+                fits &= found >= np.minimum.reduceat(low, turn)[:, None]
+                fits &= found <= np.maximum.reduceat(high, turn)[:, None]
                 i, j = np.nonzero(fits)
                 order = np.lexsort([vec_id[j], -found[i, j], i])
                 i, j = i[order], j[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j = i[place < first], j[place < first]
+                scores, begin = found[i, j], np.searchsorted(i, queries)
+                times = np.bincount(i, minlength=len(queries))[asker]
+                window = np.repeat(np.arange(len(asker)), times)
+                at = np.arange(len(window)) + (begin[asker] - np.cumsum(times) + times)[window]
+                inside = (scores[at] >= low[window]) & (scores[at] <= high[window])
+                window, at = window[inside], at[inside]
+                place = np.arange(len(window)) - np.searchsorted(window, window)
+                window, at = window[place < first], at[place < first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_id[asker[i]]), pa.array(positive[i]), pa.array(vec_id[j]), pa.array(found[i, j])],
+                    [pa.array(class_id[asker[window]]), pa.array(positive[window]), pa.array(vec_id[j[at]]), pa.array(scores[at])],
                     ["class_id", "positive", "vec_id", "score"],
                 )
 

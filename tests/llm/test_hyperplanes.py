@@ -94,3 +94,17 @@ def test_scores_are_exact():
     assert inner_products(a, a).tolist() == [[2 ** 60 + 9, 2 * 2 ** 30], [2 * 2 ** 30, 25 + 2 ** 60]]
     assert inner_products(a // 2 ** 20, a[:0]).shape == (2, 0)
     assert distances(np.zeros((1, 2)), np.array([[3.0, 4.0]])).tolist() == [[5.0]]
+
+
+def test_a_leaf_is_searched_in_few_blocks(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        rows = spark.range(hyperplanes.LEAF_ROWS).selectExpr("cast(1 as int) leaf", "id row_id", "id % 10 row_label", "cast('x' as binary) x")
+        found = hyperplanes._blocks(rows, "row_id row_label x", hyperplanes.BLOCK_PARTS // 64).collect()
+        assert sorted(i for b in found for i in b.row_id) == list(range(hyperplanes.LEAF_ROWS)) and len(found) <= 4
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
