@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.anchors import CHUNK, Rolling
 from strandline.llm.grouping import candidate_edges, components, linked_components, verified_links
-from strandline.llm.shared import folded_words, prepare, store
+from strandline.llm.shared import folded_words, give_back, prepare, store
 from strandline.llm.spans import NO_ID, doc_key, keyed
 from strandline.llm.tokens import release
 
@@ -168,6 +168,8 @@ def jaccard_join(
                 else:
                     out.append((key, text_hash, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SCAN.types)], schema=_SCAN)
+        cache.clear()
+        give_back()
 
     scanned = store(rows.mapInArrow(scan, "key bigint, text_hash bigint, node binary, labels binary"), "signatures")
     classes = store(scanned.where("node is not null").groupBy("node").agg(
@@ -196,6 +198,8 @@ def jaccard_join(
         for batch in batches:
             found = [shingles(t, size, cache).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "payload"])
+        cache.clear()
+        give_back()
 
     wanted = classes.join(groups, "node").select("node", "first.key", "first.text_hash")
     texts = rows.join(wanted, ["key", "text_hash"]).select("node", "text").dropDuplicates(["node"])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import prepare, text_or_empty
+from strandline.llm.shared import give_back, prepare, text_or_empty
 from strandline.llm.tokens import DEFAULT_TOKENIZER, encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -156,5 +156,6 @@ def pack_documents(
             emit(window)
         if out:
             yield ready()
+        give_back()
 
     return rows.mapInArrow(pack, ROWS)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.shared import folded_words, prepare, store, text_or_empty
+from strandline.llm.tokens import release
 
 SAMPLE_EACH = 4000  # labelled texts of either kind that the model is fitted on, at most
 VOCABULARY = 3000  # words that can have a weight, at most
@@ -112,6 +113,7 @@ def labelled_sample(docs: DataFrame, known: DataFrame, each: int = SAMPLE_EACH)
     chosen = pick(1).unionByName(pick(0))  # at most 2 x each rows of three numbers: small enough to broadcast
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             held = [sorted(features(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -189,6 +191,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     prepare(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             above = [model.above(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
@@ -211,6 +214,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.udf("boolean", useArrow=True)
     def clean(text: str) -> bool:
+        release()
         return not (model.above(text)[:1] >= 0.5).any()
 
     return docs.where(clean(text_or_empty()))

@@ -1,6 +1,8 @@
 """Token files, packing and the cached encoder against the tokenizer itself."""
 
+import gc
 import random
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -8,7 +10,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from strandline.llm import packing, token_files
-from strandline.llm.tokens import DEFAULT_TOKENIZER, ChunkEncoder, Generations, encoder
+from strandline.llm.tokens import DEFAULT_TOKENIZER, ChunkEncoder, Generations, encoder, release
 from tests.llm.conftest import odd_rows
 
 TOKENIZER = Tokenizer.from_file(DEFAULT_TOKENIZER)
@@ -27,6 +29,16 @@ def test_cached_ids_are_the_tokenizers():
         assert encoder().encode(text).tolist() == ids(text), text
 
 
+def test_released_encoders_are_gone_at_once():
+    held = weakref.ref(encoder())
+    gc.disable()
+    try:
+        release()
+        assert held() is None
+    finally:
+        gc.enable()
+
+
 def test_random_strings():
     rng = random.Random(3)
     parts = ["İ", "ı", "ß", "ẞ", "ǅ", "ſ", "K", "Å", "é", "e\u0301", "\u0307", "\u0301", "中", "ª", "ª", "Ω", "ж", "a", "T", "s", "'", "'s", ".",
